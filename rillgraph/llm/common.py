@@ -67,19 +67,15 @@ def running(df: DataFrame, group: list[str], order: list[str], size: str, out: s
     Rows of a group are dealt to `fan` slices by a hash of the order columns, summed in
     each slice, and shifted by the slices before: no group, however large, meets in one
     task, and the order is total wherever `order` is. Slices follow the hash, so the order
-    inside a group is (hash, order), a fixed shuffle of the group.
+    inside a group is (hash, order), a fixed shuffle of the group. Group columns hold no nulls.
     """
+    keys = [*group, "_slice"]
     dealt = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(fan)))
-    each = dealt.groupBy(*group, "_slice").agg(F.sum(size).alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shift = each.select(*[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group)], F.col("_slice").alias("_s"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    shift = dealt.groupBy(*keys).agg(F.sum(size).alias("_sum")).select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     part = dealt.withColumn("_part", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    on = [F.col(g).eqNullSafe(F.col(f"_g_{i}")) for i, g in enumerate(group)]
-    cond = F.col("_slice") == F.col("_s")
-    for c in on:
-        cond = cond & c
-    return part.join(shift, cond).withColumn(out, F.col("_part") + F.col("_shift")).drop("_slice", "_s", "_part", "_shift", *[f"_g_{i}" for i in range(len(group))])
+    return part.join(shift, keys).withColumn(out, F.col("_part") + F.col("_shift")).drop("_slice", "_part", "_shift")
 
 
 def bitmap(ids: DataFrame, column: str, bits: int = 1 << 23) -> bytes:

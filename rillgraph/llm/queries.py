@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .ngram_join import op1_ngram_join
+from .packing import op5_packing
 from .quality import op3_quality
 from .toxicity import op7_toxicity
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_quality": op3_quality, "op7_toxicity": op7_toxicity}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_quality": op3_quality, "op5_packing": op5_packing, "op7_toxicity": op7_toxicity}
 ORACLE_SQL: dict[str, str] = {}
