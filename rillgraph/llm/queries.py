@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .embedding_dedup import op6_embedding_dedup
+from .fingerprints import op4_fingerprints
 from .ngram_join import op1_ngram_join
 from .packing import op5_packing
+from .pii import op9_pii
 from .quality import op3_quality
 from .suffix_dedup import op10_suffix_dedup
 from .toxicity import op7_toxicity
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_quality": op3_quality, "op5_packing": op5_packing, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_quality": op3_quality, "op5_packing": op5_packing, "op6_embedding_dedup": op6_embedding_dedup, "op4_fingerprints": op4_fingerprints, "op7_toxicity": op7_toxicity, "op9_pii": op9_pii, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE_SQL: dict[str, str] = {}
