@@ -11,12 +11,12 @@ to just those cells. Every linked pair meets in a cell.
 
 The order puts shingles that many texts hold last (a bounded table of the commonest, any
 table gives the same result), so common passages make no large cells. Texts made of little
-else than common shingles are the groups of near copies: their cells are joined by the
-second level, whose pivots are documents. Each such cell takes a few of its members as
-pivots, links what is within r of one, and repeats with what no pivot's component holds,
-within the window that the sizes allow. Rounds end when every cell is of one component or
-all its remaining pairs have been compared. A pair of two documents is thus compared
-unless both are known to be in one component.
+else than common shingles are the groups of near copies. Their cells are joined again, as
+second-level regions: each cell's smallest member is its pivot, cells that share members
+are one region, and the pivot of the rings inside a region is the empty set, from which the
+distance of x grows with |x|. Linked sets lie in the same ring or in two that touch, so a
+region's ring takes its own members and a copy of those of the next. Rings that are still
+large are joined block by block, and each block gives only the edges of its components.
 
 Sets that are equal are one class and compared once. Compared means with the whole sets.
 """
@@ -162,7 +162,7 @@ def _common_shingles(texts: DataFrame, words: int, least: int, most: int) -> np.
     return np.sort(np.array([r.s for r in rows], np.int64).view(np.uint64))
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, common_at: int = 32, common_most: int = 1 << 17, pivots: int = 4) -> DataFrame:
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, common_at: int = 32, common_most: int = 1 << 17, block: int = 1 << 19) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id.
 
     component_id is the smallest doc_id that links of similarity >= percent/100 reach. Null
@@ -170,7 +170,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     their own component (class_id null). Rows that repeat a doc_id each get a row; a null
     doc_id links as any other and a component of such rows alone has a null id. Other
     columns are not read. `common_at` and `common_most` set which cells are put last and
-    `pivots` how many documents a large cell tries first; none changes the result.
+    `block` how many shingles a task of the second level holds; none changes the result.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -265,26 +265,23 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     need = F.ceil(percent * (size(F.col("ma")) + size(F.col("mz"))) / (100 + percent) - 1e-6)
     rare = rare.where(F.col("k") + F.greatest(past(F.col("ma")), past(F.col("mz"))) >= need).select("a", "z")
 
+    # Second level: regions of common cells, rings of like size in each, blocks of a large ring.
     common_cells = cells.where("hot").select(F.col("k").alias("s"), F.col("a").alias("c"), size(F.col("ma")).alias("n"))
-    picks = [F.min_by("c", F.xxhash64("c", F.lit(i))).alias(f"p{i}") for i in range(pivots)]
-    chosen = common_cells.groupBy("s").agg(F.array_distinct(F.array(*[p for p in picks])).alias("p"))
-    stars = common_cells.join(chosen, "s").groupBy("c", "n").agg(F.array_distinct(F.flatten(F.collect_set("p"))).alias("p"))
-    stars = stars.select("c", F.explode("p").alias("p")).where("c <> p")
-    pairs = rare.unionByName(stars.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("z"))).distinct()
-    links = _verified(texts, pairs, words, percent)
-    roots = stable(components(links.select(F.col("a"), F.col("z").alias("b"))))
-
-    # Second level again, for cells that hold more than one component: all other pairs.
-    named = common_cells.join(roots, common_cells.c == roots.node, "left").select("s", "c", "n", F.coalesce("root", "c").alias("root"))
-    mixed = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", F.xxhash64("c")).alias("main")).where("lo <> hi").select("s", "main")
-    named = stable(named.join(mixed, "s"))
-    if not named.isEmpty():
-        other = named.where("root <> main").select("s", F.col("c").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-        rest = named.join(other, "s").where((F.col("root") != F.col("ru")) & (100 * F.least("n", "nu") >= percent * F.greatest("n", "nu")))
-        pairs = rest.select(F.least("c", "u").alias("a"), F.greatest("c", "u").alias("z")).distinct()
-        more = _verified(texts, pairs, words, percent)
-        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(known.unionByName(more.select("a", F.col("z").alias("b"))))
+    pivots = common_cells.groupBy("s").agg(F.min("c").alias("p"))
+    regions = components(common_cells.join(pivots, "s").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct())
+    rings = common_cells.select("c", "n").distinct().join(regions, F.col("c") == F.col("node")).select("c", "n", F.col("root").alias("region"))
+    ring = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
+    rings = rings.select("region", "c", "n", F.explode(F.array(ring, ring - 1)).alias("ring"))
+    blocks = rings.groupBy("region", "ring").agg(F.ceil(F.sum("n") / block).cast("int").alias("g"))
+    own = F.pmod(F.xxhash64("c"), F.col("g")).cast("int")
+    dealt = rings.join(blocks, ["region", "ring"]).select("region", "ring", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("region", "ring", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.col("own") <= F.col("other"), F.col("own") >= F.col("other"), "c").toDF("task", "left", "right", "c")
+
+    pairs = stable(rare.distinct())
+    dealt = stable(dealt)
+    held = stable(_held(texts, pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("z").alias("c"))).unionByName(dealt.select("c")), words))
+    links = _verified(pairs, held, percent).unionByName(dealt.join(held, "c").select("task", "left", "right", "c", "w").groupBy("task").applyInArrow(lambda t: _block_links(t, percent), "a long, z long"))
+    roots = components(links.select("a", F.col("z").alias("b")))
 
     members = placed.where("b is null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).alias("c"))
     classes = members.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("first"))
@@ -317,13 +314,9 @@ def _told(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield _pairs(x[0], x[1], x[2], [x[3], k], np.zeros(len(k), bool))
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, z) of classes whose whole sets are alike enough."""
-    import xxhash  # noqa: F401
-
-    pairs = stable(pairs)
-    ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("z").alias("c")))
-    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(ids.withColumn("c", F.col("c").cast("string")), "c"))
+def _held(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(c, w) of the classes in ids(c) and some others: the whole set of each, once."""
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.col("c").cast("string").alias("c")), "c"))
 
     def sets(batches):
         import xxhash
@@ -343,7 +336,11 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> D
             if keep:
                 yield pa.record_batch([pa.array([c for c, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.binary())], names=["c", "w"])
 
-    held = texts.mapInArrow(sets, "c long, w binary").groupBy("c").agg(F.first("w").alias("w"))
+    return texts.mapInArrow(sets, "c long, w binary").groupBy("c").agg(F.first("w").alias("w"))
+
+
+def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, z) of classes whose whole sets are alike enough."""
     both = pairs.join(held.select(F.col("c").alias("a"), F.col("w").alias("wa")), "a").join(held.select(F.col("c").alias("z"), F.col("w").alias("wz")), "z").select("a", "z", "wa", "wz")
 
     def alike(batches):
@@ -359,6 +356,48 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> D
     return both.mapInArrow(alike, "a long, z long")
 
 
+def _block_links(members: pa.Table, percent: int) -> pa.Table:
+    """Edges (a, z) of the components of links between the left and the right members, by whole sets."""
+    c = members["c"].to_numpy()
+    left, right = members["left"].to_numpy(zero_copy_only=False), members["right"].to_numpy(zero_copy_only=False)
+    sets = [np.frombuffer(w.as_buffer(), np.uint64) for w in members["w"]]
+    n = np.array([len(s) for s in sets], np.int64)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    shared = count >= 2
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    rows, columns = np.flatnonzero(left), np.flatnonzero(right)
+    at_row, at_column = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_row[rows], at_column[columns] = np.arange(len(rows)), np.arange(len(columns))
+    inter = np.zeros((len(rows), len(columns)), np.float32)  # counts under 2**24 are exact
+    for lo in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(column, (lo, lo + 2048))
+        x, y = np.zeros((len(rows), 2048), np.float32), np.zeros((len(columns), 2048), np.float32)
+        r, q = at_row[owner[a:b]], at_column[owner[a:b]]
+        x[r[r >= 0], column[a:b][r >= 0] - lo] = 1
+        y[q[q >= 0], column[a:b][q >= 0] - lo] = 1
+        inter += x @ y.T
+    top = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for k, i in enumerate(rows.tolist()):
+        for j in columns[np.flatnonzero(100 * inter[k] >= percent * (n[i] + n[columns] - inter[k]))].tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                top[max(a, b)] = min(a, b)
+    edges = [(c[i], c[find(i)]) for i in range(len(sets)) if find(i) != i]
+    return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "z": pa.array([x for _, x in edges], pa.int64())})
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
