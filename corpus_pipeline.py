@@ -1,15 +1,61 @@
-"""A corpus pipeline: each stage reads what the one before kept."""
+"""A corpus pipeline: each stage reads what the one before kept, and its decisions take effect.
+
+toxicity drops the documents that the factorization machine rejects; jaccard keeps the
+smallest doc_id of each component of near copies (documents without shingles, which link
+with nothing, all stay);
+pii puts pseudonyms into the texts; mixing writes the documents in the order of the
+schedule; packing cuts and packs them. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillgraph.llm.common import partitions, stable, table
+from rillgraph.llm.mixing import mix
+from rillgraph.llm.ngram_join import similarity_components
+from rillgraph.llm.packing import pack
+from rillgraph.llm.pii import pseudonymise
+from rillgraph.llm.toxicity import score
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = score(docs, table(spark, sf_dir, "labels"), keep=["text", *[c for c in COLUMNS if c not in ("doc_id", "text")]])
+    return scored.where("predicted = 0").select(*COLUMNS)
+
+
+def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = stable(similarity_components(docs))
+    gone = found.where("class_id is not null and doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    # Rows that repeat a doc_id: of equal ones with words, one stays. Rows without an id can't be named and stay.
+    again = found.where("class_id is not null and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    rows = docs.select(*COLUMNS)
+    repeated = rows.join(again, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return rows.join(gone.unionByName(again).distinct(), "doc_id", "left_anti").unionByName(repeated.select(*COLUMNS))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pseudonymise(docs.select(*COLUMNS), counts=False).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mix(docs.select(*COLUMNS))
+    return mixed.repartitionByRange(partitions(spark), "slot", "place").sortWithinPartitions("slot", "place").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("toxicity", toxicity), ("jaccard", jaccard), ("pii", pii), ("mixing", mixing), ("packing", packing)]
+ORACLE_SQL = None  # training and tokenizing are not SQL; tests hold each stage against plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2_chat
 from .embedding_dedup import op6_embedding_dedup
 from .fingerprints import op4_fingerprints
+from .mixing import op8_mixing
 from .ngram_join import op1_ngram_join
 from .packing import op5_packing
 from .pii import op9_pii
@@ -11,5 +13,5 @@ from .quality import op3_quality
 from .suffix_dedup import op10_suffix_dedup
 from .toxicity import op7_toxicity
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_quality": op3_quality, "op5_packing": op5_packing, "op6_embedding_dedup": op6_embedding_dedup, "op4_fingerprints": op4_fingerprints, "op7_toxicity": op7_toxicity, "op9_pii": op9_pii, "op10_suffix_dedup": op10_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_chat, op3_quality, op4_fingerprints, op5_packing, op6_embedding_dedup, op7_toxicity, op8_mixing, op9_pii, op10_suffix_dedup)}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL}

@@ -143,7 +143,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep
             s = model.value.scores(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s)], names=[*batch.schema.names[1:], "score"])
 
-    rows = docs.select(F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in keep])
+    rows = docs.select(F.col("text").cast("string").alias("_scored"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in keep])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     out = rows.mapInArrow(scored, f"{schema}, score double")
     return out.select("doc_id", (fold() == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"_{c}").alias(c) for c in keep])
