@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,44 +22,104 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import running, stable, table, tokenizer_path
+from .ngram_join import _LOWER, _P, _P_INVERSE, _Q, _TABLE, _WHITE, _mix, _power
 
 WINDOW, END, SHARES = 4096, 2, 64
-_ODD = re.compile("[\x1c-\x1f]")  # str.split() parts at these; the tokenizer doesn't
-_loaded: dict[str, tuple] = {}
-_MEMO = 300_000
+#: What is encoded with its whole text: white space of several bytes, controls that are none, special tokens.
+_ODD = re.compile("<[|]|[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_MEMO = 4_000_000  # words, about 32 bytes each
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
-        import os
+class Words:
+    """Ids of words met before, by a 64-bit hash of the word: sorted hashes, and where their ids lie."""
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path), {}
-    return _loaded[path]
-
-
-def token_bytes(text: str | None, path: str) -> bytes:
-    """The ids of a whole text as little-endian 32-bit numbers.
-
-    The tokenizer drops white space and joins nothing across it, so each run between white
-    space is encoded on its own and remembered (boundedly).
+        self.tokenizer = Tokenizer.from_file(path)
+        self.hashes, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word). A mark after an ASCII letter is parted from it by the tokenizer too."""
+        stems = [w[:-1] if len(w) > 1 and w[-1] in b".," and chr(w[-2]).isascii() and chr(w[-2]).isalpha() else w for w in words]
+        own, back = {}, []
+        for s in stems:
+            back.append(own.setdefault(s, len(own)))
+        found = self.tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in own] + [".", ","], add_special_tokens=False)
+        found = [e.ids for e in found]
+        marks = {46: found[-2], 44: found[-1]}
+        each = [found[k] if len(s) == len(w) else found[k] + marks[w[-1]] for k, s, w in zip(back, stems, words, strict=True)]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+    def texts(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        joined = _LOWER[np.frombuffer(b" ".join(raws) + b" ", np.uint8)]
+        white = _WHITE[joined]
+        starts = np.flatnonzero(~white & np.concatenate(([True], white[:-1])))
+        stops = np.flatnonzero(white & np.concatenate(([False], ~white[:-1])))
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(raws), np.int64)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[joined] * _power(_P, len(joined)))))
+        word = _mix((sums[stops] - sums[starts]) * _power(_P_INVERSE, len(joined))[starts] + (stops - starts).astype(np.uint64) * _Q)
+        unique, where, back = np.unique(word, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, unique)
+        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == unique if len(self.hashes) else np.zeros(len(unique), bool)
+        first, size = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        first[known], size[known] = self.first[at[known]], self.size[at[known]]
+        ids = self.ids
+        if not known.all():
+            flat = joined.tobytes()
+            new = np.flatnonzero(~known)
+            more, many = self._encode([flat[a:b] for a, b in zip(starts[where[new]].tolist(), stops[where[new]].tolist(), strict=True)])
+            size[new] = many
+            first[new] = len(ids) + np.cumsum(many) - many
+            ids = np.concatenate((ids, more))
+            if len(self.hashes) + len(new) <= _MEMO:
+                self.hashes = np.insert(self.hashes, at[new], unique[new])
+                self.first = np.insert(self.first, at[new], first[new])
+                self.size = np.insert(self.size, at[new], many)
+                self.ids = ids
+        many = size[back]
+        ends = np.cumsum(many)
+        place = np.repeat(first[back] - ends + many, many) + np.arange(int(ends[-1]))
+        last = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))
+        total = np.concatenate(([0], ends))[last]
+        return ids[place], np.diff(np.concatenate(([0], total)))
+
+
+_loaded: dict[str, Words] = {}
+
+
+def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
+    """The ids of whole texts as little-endian 32-bit numbers.
+
+    The tokenizer drops white space, puts letters in lower case and joins nothing across
+    white space, so each word is encoded on its own, once.
     """
-    tokenizer, memo = _tokenizer(path)
-    if not text:
-        return b""
-    if _ODD.search(text):
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    words = text.split()
-    missing = list({w for w in words if w not in memo})
-    if missing:
-        if len(memo) + len(missing) > _MEMO:
-            memo.clear()
-            missing = list(set(words))
-        for w, e in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-    return b"".join(map(memo.__getitem__, words))
+    if path not in _loaded:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _loaded[path] = Words(path)
+    words = _loaded[path]
+    out: list[bytes] = []
+    at = 0
+    while at < len(texts):
+        raws, size, odd = [], 0, {}
+        while at + len(raws) < len(texts) and (size < 1 << 20 or not raws):
+            t = texts[at + len(raws)]
+            if t and _ODD.search(t):
+                odd[len(raws)] = np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                t = None
+            raws.append((t or "").encode("utf-8", "replace"))
+            size += len(raws[-1])
+        ids, many = words.texts(raws)
+        ends = np.cumsum(many).tolist()
+        flat = ids.astype("<u4", copy=False).tobytes()
+        out += [odd.get(k) or flat[4 * (e - n) : 4 * e] for k, (e, n) in enumerate(zip(ends, many.tolist(), strict=True))]
+        at += len(raws)
+    return out
 
 
 def cuts(tokens: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -75,10 +136,11 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) ->
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
             rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = token_bytes(text, path) + last
+            names, texts = (c.to_pylist() for c in batch.columns)
+            for doc_id, ids in zip(names, token_bytes(texts, path), strict=True):
+                ids += last
                 n = len(ids) // 4
                 rows += [(doc_id, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n) for s, k in cuts(n, window)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5

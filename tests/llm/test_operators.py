@@ -157,9 +157,10 @@ def test_edited_fingerprints_of_odd_tables(spark):
 
 def test_packing_places_each_id_once(spark):
     rng = random.Random(5)
-    texts = [words(rng, rng.randrange(0, 3000)) for _ in range(60)] + [*ODD, "a\x1cb c", "naïve <|endoftext|>x don't\u0085z", "İ ́a"]
+    texts = [words(rng, rng.randrange(0, 3000)) for _ in range(60)] + [*ODD, "a\x1cb c", "naïve <|endoftext|>x don't\u0085z", "İ ́a", "İ ÀÉ Ñandú, 'S. it's. a,b c.d, ... ..x., é. É,", "<|ENDOFTEXT|> <|endoftext|>."]
     path = common.tokenizer_path()
-    tokenizer, _ = packing._tokenizer(path)
+    packing.token_bytes([""], path)
+    tokenizer = packing._loaded[path].tokenizer
     got = packing.pack(docs(spark, texts)).toPandas()
     for i, t in enumerate(texts):
         ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
