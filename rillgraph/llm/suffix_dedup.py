@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, stable, table
+from .common import bitmap, bounded_batches, stable, table
 from .ngram_join import _P, _P_INVERSE, _TABLE, _mix, _power
 
 LENGTH, K = 400, 100
+MOST = 20_000  # contexts of one anchor that are compared in one task, about 14 MB
 
 
 def _sums(raw: np.ndarray) -> np.ndarray:
@@ -43,31 +44,43 @@ def _prints(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarr
     return _mix((sums[stops] - sums[starts]) * _power(_P_INVERSE, n)[starts] + (stops - starts).astype(np.uint64))
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and fingerprints of the anchors of all strings of `length` bytes, and their contexts' ones."""
+def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, fingerprint, context's fingerprint) of the anchors of all strings of `length` bytes.
+
+    The texts together are shorter than 2**24 bytes, or one text is taken in pieces.
+    """
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    stops = np.cumsum([len(t) for t in texts])
     n = len(raw)
     if n < length:
         none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), none, none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), none, none
     sums = _sums(raw)
     at = np.arange(n - k + 1)
     prints = _prints(sums, at, at + k)
-    # The leftmost smallest of every `wide` prints: by doubling, carrying the places along.
-    wide = length - k + 1
-    low, place, span = prints, at, 1
-    while span * 2 <= wide:
-        right = low[span:] < low[:-span]
-        place = np.where(right, place[span:], place[:-span])
-        low = np.where(right, low[span:], low[:-span])
-        span *= 2
-    rest = wide - span
-    if rest:
-        place = np.where(low[rest:] < low[:-rest], place[rest:], place[:-rest])
-    found = place[np.concatenate(([True], place[1:] != place[:-1]))]
-    found = np.unique(found)
-    lo, hi = np.maximum(found - (length - k), 0), np.minimum(found + length, n)
+    wide, step = length - k + 1, (1 << 24) - length
+    found = []
+    for first in range(0, n - length + 1, step):
+        some = prints[first : first + step + wide - 1]
+        # The smallest of every `wide`, the leftmost if equal in their upper bits: by doubling.
+        low = (some & ~np.uint64((1 << 24) - 1)) | np.arange(len(some), dtype=np.uint64)
+        span = 1
+        while span * 2 <= wide:
+            low = np.minimum(low[span:], low[:-span])
+            span *= 2
+        if wide > span:
+            low = np.minimum(low[wide - span :], low[: -(wide - span)])
+        place = (low & np.uint64((1 << 24) - 1)).astype(np.int64) + first
+        start = np.arange(first, first + len(place))
+        bound = stops[np.searchsorted(stops, start, "right")]
+        place = place[start + length <= bound]  # strings within one text
+        found.append(place[np.concatenate(([True], place[1:] != place[:-1]))] if len(place) else place)
+    found = np.unique(np.concatenate(found))
+    text = np.searchsorted(stops, found, "right")
+    begin, end = np.concatenate(([0], stops))[text], stops[text]
+    lo, hi = np.maximum(found - (length - k), begin), np.minimum(found + length, end)
     context = _mix(_prints(sums, lo, hi) ^ (found - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    return found, prints[found], context
+    return text, found - begin, prints[found], context
 
 
 def _context(raw: bytes, at: int, length: int, k: int) -> tuple[int, bytes]:
@@ -76,30 +89,43 @@ def _context(raw: bytes, at: int, length: int, k: int) -> tuple[int, bytes]:
     return at - lo, raw[lo : at + length]
 
 
-def repeated_around(contexts: list[tuple[int, bytes]], length: int = LENGTH, k: int = K) -> list[np.ndarray]:
-    """For contexts of one anchor: which of their strings of `length` bytes another context has
-    too at the same distance. Gives the starts, counted from the context's first byte."""
-    left = length - k
-    starts, owner, prints = [], [], []
-    for c, (before, raw) in enumerate(contexts):
-        r = np.frombuffer(raw, np.uint8)
-        if len(r) < length:
-            continue
-        s = np.arange(min(len(r) - length, before) + 1)
-        starts.append(s)
-        owner.append(np.full(len(s), c))
-        prints.append(_prints(_sums(r), s, s + length) ^ ((left - before + s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    out = [np.zeros(0, np.int64) for _ in contexts]
-    if not starts:
-        return out
-    start, who, mark = np.concatenate(starts), np.concatenate(owner), np.concatenate(prints)
-    order = np.lexsort((who, mark))  # suffix order as far as equality goes, then position
-    same = mark[order][1:] == mark[order][:-1]
-    earlier, later = np.concatenate(([False], same)), np.concatenate((same, [False]))
-    hit = order[earlier | later]
-    for c in np.unique(who[hit]):
-        out[c] = np.sort(start[hit][who[hit] == c])
-    return out
+def window_prints(marks: np.ndarray, befores: np.ndarray, pieces: list[bytes], lo: int, hi: int, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, fingerprint) of the strings that lie lo <= distance < hi after the first place
+    from which they reach the anchor; equal fingerprints: equal strings at equal places by equal anchors."""
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    sums = _sums(np.frombuffer(b"".join(pieces), np.uint8))
+    shift = (length - k) - befores  # how much of the reach before the anchor is missing
+    first = np.maximum(0, lo - shift)
+    last = np.minimum(np.minimum(sizes - length, befores), hi - 1 - shift)
+    many = np.maximum(0, last - first + 1)
+    owner = np.repeat(np.arange(len(pieces)), many)
+    start = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + first[owner]
+    at = base[owner] + start
+    prints = _prints(sums, at, at + length)
+    prints = _mix(prints ^ _mix(marks.view(np.uint64)[owner] + (shift[owner] + start).astype(np.uint64)))
+    return owner, start, prints
+
+
+def repeated_around(marks: np.ndarray, befores: np.ndarray, pieces: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, last): the runs of starts, in bytes of the context, at which a string
+    of `length` bytes recurs in another context of the same anchor, at the same distance."""
+    owners, starts = [], []
+    step = max(1, (1 << 20) // len(pieces))
+    for lo in range(0, length - k + 1, step):
+        owner, start, prints = window_prints(marks, befores, pieces, lo, lo + step, length, k)
+        order = np.lexsort((owner, prints))  # suffix order as far as equality goes, then position
+        same = prints[order][1:] == prints[order][:-1]
+        hit = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]  # an earlier or a later match
+        owners.append(owner[hit])
+        starts.append(start[hit])
+    owner, start = np.concatenate(owners), np.concatenate(starts)
+    order = np.lexsort((start, owner))
+    owner, start = owner[order], start[order]
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))) if len(owner) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:], [len(owner)])) - 1 if len(first) else first
+    return owner[first], start[first], start[last]
 
 
 def _union(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -150,32 +176,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for batch in batches:
-            rows, at, marks, contexts = [], [], [], []
+            rows, some, size = [], [], 0
 
             def told():
-                return pa.record_batch([pa.array(np.concatenate(x)) for x in (rows, at, marks, contexts)], names=["row", "at", "mark", "context"])
+                text, at, marks, contexts = anchors(some, length, k)
+                columns = (np.array(rows, np.int64)[text], at.astype(np.int32), marks.view(np.int64), contexts.view(np.int64))
+                return pa.record_batch([pa.array(c) for c in columns], names=["row", "at", "mark", "context"])
 
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 seen[row] = seen.get(row, 0) + 1
                 if seen[row] > 2:  # two copies say as much as more
                     continue
-                p, m, c = anchors(np.frombuffer(text.as_py() or b"", np.uint8), length, k)
-                if len(p):
-                    rows.append(np.full(len(p), row, np.int64))
-                    at.append(p.astype(np.int32))
-                    marks.append(m.view(np.int64))
-                    contexts.append(c.view(np.int64))
-                if sum(map(len, rows[-64:])) > 1 << 16 and len(rows) % 64 == 0:
+                rows.append(row)
+                some.append(text.as_py() or b"")
+                size += len(some[-1])
+                if size > 1 << 18:
                     yield told()
-                    rows, at, marks, contexts = [], [], [], []
+                    rows, some, size = [], [], 0
             if rows:
                 yield told()
 
-    found = texts.mapInArrow(anchored, "row long, at int, mark long, context long")
+    found = stable(texts.mapInArrow(anchored, "row long, at int, mark long, context long"))
     kinds = found.groupBy("mark", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
-    several = kinds.groupBy("mark").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
+    several = found.groupBy("mark").agg(F.count("*").alias("all"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("all > 1").select("mark", (F.col("lo") < F.col("hi")).alias("mixed"))
     # state 1: the whole context repeats. 2: to be compared. 3: as 1, and compared for the others.
-    kinds = kinds.join(several, "mark").select("mark", "context", "one", F.when(F.col("n") == 1, 2).when(F.col("kinds") > 1, 3).otherwise(1).alias("state"))
+    kinds = kinds.join(several, "mark").select("mark", "context", "one", F.when(F.col("n") == 1, 2).when(F.col("mixed"), 3).otherwise(1).alias("state"))
     kinds = stable(kinds)
     here = found.join(kinds.where("state <> 2").select("mark", "context"), ["mark", "context"]).select("row", "at", F.lit(1).alias("state"), F.lit(None).cast("long").alias("mark"))
     compared = kinds.where("state <> 1").select("one.row", "one.at", F.lit(2).alias("state"), "mark")
@@ -203,31 +228,41 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     contexts = held.join(need, "row").select("row", "text", "work").mapInArrow(cut, "mark long, row long, lo long, before int, piece binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, group = None, []
-        out: list[tuple] = []
+        rows: list[tuple] = []
+        size = 0
 
-        def end():
-            if len(group) > 1:
-                for (row, lo, _, _), starts in zip(group, repeated_around([(b, p) for _, _, b, p in group], length, k), strict=True):
-                    if len(starts):
-                        breaks = np.flatnonzero(np.diff(starts) > 1)
-                        first, last = starts[np.concatenate(([0], breaks + 1))], starts[np.concatenate((breaks, [len(starts) - 1]))]
-                        out.extend((row, lo + a, lo + b + length) for a, b in zip(first.tolist(), last.tolist(), strict=True))
+        def told(rows):
+            mark, row, lo, before, piece = zip(*rows, strict=True)
+            c, first, last = repeated_around(np.array(mark, np.int64), np.array(before, np.int64), list(piece), length, k)
+            row, lo = np.array(row, np.int64)[c], np.array(lo, np.int64)[c]
+            return pa.record_batch([pa.array(x) for x in (row, lo + first, lo + last + length)], names=["row", "a", "b"])
 
         for batch in batches:
-            for m, row, lo, before, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if m != mark:
-                    end()
-                    mark, group = m, []
-                group.append((row, lo, before, piece))
-            if len(out) > 1 << 14:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["row", "a", "b"])
-                out.clear()
-        end()
-        if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["row", "a", "b"])
-
-    spans = contexts.repartition("mark").sortWithinPartitions("mark").mapInArrow(compare, "row long, a long, b long")
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size > 1 << 21 and r[0] != rows[-1][0]:  # whole groups
+                    yield told(rows)
+                    rows, size = [], 0
+                rows.append(r)
+                size += len(r[4])
+        if rows:
+            yield told(rows)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                mark, row, lo, before, piece = (c.to_pylist() for c in batch.slice(i, 512).columns)
+                c, start, prints = window_prints(np.array(mark, np.int64), np.array(before, np.int64), piece, 0, length, length, k)
+                yield pa.record_batch([pa.array(prints.view(np.int64)), pa.array(np.array(row, np.int64)[c]), pa.array(np.array(lo, np.int64)[c] + start)], names=["print", "row", "a"])
+
+    # An anchor with very many contexts is not compared in one task: its strings meet by their fingerprints.
+    heavy = kinds.where("state <> 1").groupBy("mark").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST).select("mark")
+    heavy = stable(heavy)
+    light = contexts.join(heavy, "mark", "left_anti").repartition("mark").sortWithinPartitions("mark").mapInArrow(compare, "row long, a long, b long")
+    spans = light
+    if not heavy.isEmpty():
+        each = contexts.join(heavy, "mark").select(*contexts.columns).mapInArrow(windows, "print long, row long, a long")
+        twice = each.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+        spans = light.unionByName(each.join(twice, "print").select("row", "a", (F.col("a") + length).alias("b")).distinct())
     whole = work.select("row", F.explode(F.filter("work", lambda w: w.state == 1)).alias("w")).select("row", F.col("w.at").alias("at"))
     whole = whole.select("row", F.greatest(F.col("at") - (length - k), F.lit(0)).cast("long").alias("a"), (F.col("at") + length).cast("long").alias("b"))
     return whole.unionByName(spans).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -244,6 +279,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     Null texts are empty; texts under `length` bytes lose nothing. Repeated rows are copies
     as any others. Rows may share or lack a doc_id. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     own = _named(docs, F.col("doc_id").cast("long").alias("doc_id"))
     spans = stable(repeated_spans(own, length, k))
     may, clean = _among(spans)
@@ -252,7 +288,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     told = told.unionByName(clean(own).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             rows = []
             for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
                 raw = text.as_py()
