@@ -76,6 +76,6 @@ def opaque_modules(calls: DataFrame, top: int = 8) -> DataFrame:
 def error_leaf_census(calls: DataFrame, wrappers: DataFrame) -> DataFrame:
     """One row: sites with an error result, of those wrappers, error result ports of the others, functions."""
     own = calls.where("error_results <> 0").join(wrappers.select("callee_fqn").distinct().withColumn("wrapper", F.lit(True)), "callee_fqn", "left")
-    mask = F.shiftleft(F.lit(1).cast("bigint"), F.least("resultc", F.lit(63)).cast("int")) - 1
+    mask = F.expr("shiftleft(cast(1 as bigint), cast(least(resultc, 63) as int)) - 1")
     ported = F.when(F.col("wrapper").isNull(), F.bit_count(F.col("error_results").bitwiseAND(mask))).otherwise(0)
     return own.agg(F.count("*").alias("sites"), F.count_if("wrapper").alias("wrappers"), F.coalesce(F.sum(ported), F.lit(0)).cast("long").alias("ports"), F.countDistinct("fn").alias("fns"))

@@ -41,6 +41,30 @@ SQL: dict[str, str] = {
     "flow_targets": """
         SELECT s.user_id, s.cs, s.user_id - 1 AS target FROM flow_sites s
         WHERE s.event_type = 'click' AND s.user_id % 4 > 0 AND s.user_id - 1 IN (SELECT user_id FROM events)""",
+    "flow_functions": """
+        SELECT DISTINCT 'U' || user_id AS iid, 'app.U' || user_id AS fqn, 'r' || (user_id % 5) AS repo FROM events""",
+    "flow_vertices": """
+        SELECT DISTINCT 'U' || user_id AS fn, CAST(0 AS INT) AS vid, CAST(0 AS INT) AS kind, CAST(-1 AS INT) AS cs FROM events
+        UNION ALL SELECT DISTINCT 'U' || user_id, 1, 3, -1 FROM events
+        UNION ALL SELECT 'U' || user_id, CAST(2 + 2 * cs AS INT), 6, CAST(cs AS INT) FROM flow_sites
+        UNION ALL SELECT 'U' || user_id, CAST(3 + 2 * cs AS INT), 7, CAST(cs AS INT) FROM flow_sites""",
+    "flow_edges": """
+        SELECT DISTINCT 'U' || user_id AS fn, CAST(0 AS INT) AS src, CAST(2 AS INT) AS dst FROM events
+        UNION ALL SELECT 'U' || user_id, CAST(3 + 2 * cs AS INT), CASE WHEN cs = n_sites - 1 THEN 1 ELSE CAST(4 + 2 * cs AS INT) END FROM flow_sites""",
+    "flow_calls": """
+        SELECT 'U' || user_id AS fn, CAST(cs AS INT) AS cs,
+               CASE event_type WHEN 'signup' THEN 'src.Signup' WHEN 'purchase' THEN 'db.Purchase' WHEN 'error' THEN 'san.Clean' WHEN 'view' THEN 'lib.View' ELSE 'app.Click' END AS callee_fqn,
+               CASE WHEN event_id % 3 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS dispatch_confidence FROM flow_sites""",
+    # Arguments by name: a conversation's turns are ports named by role, checked against a contract's names.
+    "named_ports": """
+        SELECT conv_id AS site, conv_id % 7 AS contract, turn AS idx, CASE WHEN turn % 5 = 4 THEN '' ELSE role || '_' || (turn % 6) END AS name FROM conversations""",
+    "named_args": """
+        SELECT contract, name, row_number() OVER (PARTITION BY contract ORDER BY name) - 1 AS pos
+        FROM (SELECT DISTINCT conv_id % 7 AS contract, role || '_' || (turn % 4) AS name FROM conversations) a""",
+    # Store: customers as functions, what their orders do as behaviour, in two versions.
+    "store_lines": """
+        SELECT 'C' || c_custkey AS iid, c_mktsegment AS bid, 'F:' || o_orderpriority || '->' || o_orderstatus AS line, o_orderdate AS day
+        FROM customer JOIN orders ON c_custkey = o_custkey""",
     # HTTP: routes and clients from the URLs of pages.
     "http_parts": """
         SELECT page_id, url, regexp_extract(url, '://([^/.]+)', 1) AS host, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path FROM pages""",
@@ -64,7 +88,11 @@ SQL: dict[str, str] = {
         SELECT p_partkey AS src, (p_partkey * 7 + 1) % (SELECT count(*) FROM part) AS dst FROM part WHERE p_size < 20""",
 }
 #: What each relation is made of, other relations first.
-NEEDS = {"flow_targets": ["flow_sites"], "http_routes": ["http_parts"], "http_clients": ["http_parts"]}
+NEEDS = {
+    **{n: ["flow_sites"] for n in ("flow_targets", "flow_vertices", "flow_edges", "flow_calls")}, 
+    "http_routes": ["http_parts"],
+    "http_clients": ["http_parts"],
+}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
