@@ -90,15 +90,20 @@ def confidence(c: Column) -> Column:
     return F.when(c == 0, F.lit(1.0)).otherwise(c)
 
 
+def _little(n: Column, width: int) -> Column:
+    """A number's bytes from the least on, in hex."""
+    return F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(n), 2 * width, "0"), F.lit("(..)"), F.lit(1))), "")
+
+
 def route_id(hops: Column, klass: Column, with_line: bool = True) -> Column:
     """12 hex digits that name a route of hops struct(repo, func, callee, line, kind); without lines, its fingerprint."""
 
     def sized(p: Column) -> Column:
-        return F.concat(F.lpad(F.hex(F.octet_length(p)), 16, "0"), F.hex(p))
+        return F.concat(_little(F.octet_length(p), 8), F.hex(p.cast("binary")))
 
     def hop(h: Column) -> Column:
-        line = [F.concat(F.lpad(F.hex(F.lit(4)), 16, "0"), F.lpad(F.hex(h["line"].cast("int")), 8, "0"))] if with_line else []
-        return F.concat(*[sized(h[k].cast("binary")) for k in ("repo", "func", "callee")], *line, sized(h["kind"].cast("binary")))
+        line = [F.concat(_little(F.lit(4), 8), _little(h["line"].cast("bigint"), 4))] if with_line else []
+        return F.concat(*[sized(h[k]) for k in ("repo", "func", "callee")], *line, sized(h["kind"]))
 
-    text = F.concat(sized(klass.cast("binary")), F.array_join(F.transform(hops, hop), ""))
+    text = F.concat(sized(klass), F.array_join(F.transform(hops, hop), ""))
     return F.substring(F.sha2(F.unhex(text), 256), 1, 12)

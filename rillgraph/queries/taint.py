@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import slot_text
+from ..functions.scalars import route_id, slot_text
 from ..operators import policy as po
+from ..operators import store
 from ..plans import chains as ch
 from ..plans.taint import Options, Program, analyse, static_facts, viewed_flows
 from ..sources.adapters import relation, with_sql
@@ -87,6 +88,18 @@ def views_merged(spark, sf_dir):
     return viewed_flows(r.flows, shape).select("fn", "in_slot", "out_slot")
 
 
+def impact_chains(spark, sf_dir):
+    """Chains that start or end in a changed function."""
+    found = chains(spark, sf_dir)
+    return store.impact(found, relation(spark, sf_dir, "flow_changed")).select(*found.columns, "via_change")
+
+
+def route_ids(spark, sf_dir):
+    """The name and the fingerprint of each user's whole route."""
+    hops = relation(spark, sf_dir, "flow_hops").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("cs", "repo", "func", "callee", "line", "kind"))).alias("hops"))
+    return hops.select("user_id", route_id(F.col("hops"), F.lit("purchase")).alias("route"), route_id(F.col("hops"), F.lit("purchase"), with_line=False).alias("fingerprint"))
+
+
 _T = ["flow_sites", "flow_targets", "flow_functions"]
 _LEVEL = """b{k} AS (SELECT t.user_id, min(n_sites) AS n, coalesce(min(CASE WHEN event_type = 'error' OR x.user_id IS NOT NULL THEN cs END), min(n_sites)) AS b
   FROM t LEFT JOIN (SELECT user_id FROM b{j} WHERE b < n) x ON x.user_id = t.target WHERE t.user_id % 4 = {k} GROUP BY t.user_id)"""
@@ -110,7 +123,18 @@ _FLOWS = _B + """,
 f AS (SELECT 'U' || user_id AS fn, 'param_0' AS in_slot, 'return_0' AS out_slot FROM b WHERE b = n
   UNION ALL SELECT 'U' || user_id, 'source', 'return_0' FROM k GROUP BY user_id HAVING max(CASE WHEN event_type = 'signup' THEN cs ELSE -2 END) > max(CASE WHEN blocked THEN cs ELSE -1 END))"""
 _STATIC = ["flow_sites", "flow_targets", "flow_vertices", "flow_edges", "flow_calls"]
-_F = (leaf_sites, static_edges, facts_ports, facts_seeds, summary_flows, summary_sinks, chains, chain_by_class, routes, views_merged)
+
+
+def _route_sql() -> str:
+    little = lambda n, w: f"array_to_string(list_reverse(regexp_extract_all(lpad(to_hex({n}), {2 * w}, '0'), '..')), '')"
+    sized = lambda x: f"{little(f'strlen({x})', 8)} || hex(CAST({x} AS BLOB))"
+    named = f"{sized('repo')} || {sized('func')} || {sized('callee')}"
+    line = f"{little('4', 8)} || {little('line', 4)}"
+    digest = lambda parts: f"substr(sha256(unhex({sized(chr(39) + 'purchase' + chr(39))} || string_agg({parts}, '' ORDER BY cs))), 1, 12)"
+    return f"SELECT user_id, {digest(f'{named} || {line} || ' + sized('kind'))} AS route, {digest(f'{named} || ' + sized('kind'))} AS fingerprint FROM flow_hops GROUP BY user_id"
+
+
+_F = (leaf_sites, static_edges, facts_ports, facts_seeds, summary_flows, summary_sinks, chains, chain_by_class, routes, views_merged, impact_chains, route_ids)
 QUERIES = {f.__name__: f for f in _F}
 ORACLE_SQL = {
     "leaf_sites": with_sql(_STATIC, "SELECT 'U' || s.user_id AS fn, CAST(s.cs AS BIGINT) AS cs FROM flow_sites s LEFT JOIN flow_targets t ON t.user_id = s.user_id AND t.cs = s.cs WHERE t.target IS NULL"),
@@ -120,6 +144,8 @@ ORACLE_SQL = {
     "summary_flows": with_sql(_T, _FLOWS + " SELECT * FROM f"),
     "summary_sinks": with_sql(_T, _H + " SELECT 'U' || user_id AS fn, 'param_0' AS in_slot, 'purchase' AS class, CAST(cs AS BIGINT) AS cs, 'U' || term AS term_fn, CAST(term_cs AS BIGINT) AS term_cs FROM h UNION ALL SELECT 'U' || user_id, 'source', 'purchase', CAST(cs AS BIGINT), 'U' || term, CAST(term_cs AS BIGINT) FROM s"),
     "chains": with_sql(_T, _H + " SELECT repo, iid AS fn, 'purchase' AS class, CAST(cs AS BIGINT) AS cs, 'U' || term AS term_fn, CAST(term_cs AS BIGINT) AS term_cs FROM s JOIN flow_functions ON iid = 'U' || user_id"),
+    "impact_chains": with_sql([*_T, "flow_changed"], _H + ", c AS (SELECT repo, f.iid AS fn, 'purchase' AS class, CAST(cs AS BIGINT) AS cs, 'U' || term AS term_fn, CAST(term_cs AS BIGINT) AS term_cs FROM s JOIN flow_functions f ON f.iid = 'U' || user_id), d AS (SELECT c.*, fn IN (SELECT iid FROM flow_changed) AS x, term_fn IN (SELECT iid FROM flow_changed) AS y FROM c) SELECT repo, fn, class, cs, term_fn, term_cs, CASE WHEN x AND y THEN 'both' WHEN x THEN 'source' ELSE 'sink' END AS via_change FROM d WHERE x OR y"),
+    "route_ids": with_sql(["flow_hops"], _route_sql()),
     "chain_by_class": with_sql(_T, _H + " SELECT 'purchase' AS class, count(*) AS n FROM s"),
     "views_merged": with_sql(_T, _FLOWS + " SELECT DISTINCT 'Kr1' AS fn, CASE in_slot WHEN 'param_0' THEN 'param_1' ELSE in_slot END AS in_slot, out_slot FROM f JOIN flow_functions ON iid = fn WHERE repo = 'r1'"),
 }

@@ -55,6 +55,14 @@ SQL: dict[str, str] = {
         SELECT 'U' || user_id AS fn, CAST(cs AS INT) AS cs,
                CASE event_type WHEN 'signup' THEN 'src.Signup' WHEN 'purchase' THEN 'db.Purchase' WHEN 'error' THEN 'san.Clean' WHEN 'view' THEN 'lib.View' ELSE 'app.Click' END AS callee_fqn,
                CASE WHEN event_id % 3 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS dispatch_confidence FROM flow_sites""",
+    "flow_changed": """
+        SELECT 'U' || user_id AS iid FROM flow_sites WHERE cs = n_sites - 1 AND event_type = 'error'""",
+    "flow_hops": """
+        SELECT user_id, cs, 'r' || (user_id % 5) AS repo, 'app.U' || user_id AS func, event_type AS callee, event_id % 100000 AS line,
+               CASE WHEN event_type = 'signup' THEN 'Source' WHEN event_type = 'purchase' THEN 'Sink' ELSE 'Call' END AS kind FROM flow_sites""",
+    # Copies of functions: a customer's orders are copies of one function in several repositories.
+    "function_copies": """
+        SELECT 'F' || o_custkey AS iid, o_orderpriority AS repo, o_orderstatus <> 'P' AS has_flow, o_orderstatus AS content FROM orders""",
     # Arguments by name: a conversation's turns are ports named by role, checked against a contract's names.
     "named_ports": """
         SELECT conv_id AS site, conv_id % 7 AS contract, turn AS idx, CASE WHEN turn % 5 = 4 THEN '' ELSE role || '_' || (turn % 6) END AS name FROM conversations""",
@@ -89,7 +97,7 @@ SQL: dict[str, str] = {
 }
 #: What each relation is made of, other relations first.
 NEEDS = {
-    **{n: ["flow_sites"] for n in ("flow_targets", "flow_vertices", "flow_edges", "flow_calls")}, 
+    **{n: ["flow_sites"] for n in ("flow_targets", "flow_vertices", "flow_edges", "flow_calls", "flow_changed", "flow_hops")}, 
     "http_routes": ["http_parts"],
     "http_clients": ["http_parts"],
 }

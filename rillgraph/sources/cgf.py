@@ -134,7 +134,7 @@ def encode(value: dict, message: str = "PACKAGE") -> bytes:
     return out
 
 
-def _rows(package: dict, ordinal: str) -> Iterator[tuple[str, dict]]:
+def rows_of(package: dict, ordinal: str) -> Iterator[tuple[str, dict]]:
     repo = package["repo"]
     yield "package", {"repo": repo, "commit_sha": package["commit_sha"], "package_path": package["package_path"], "language": package["language"] or "go", "pkg_ord": ordinal}
     for f in package["functions"]:
@@ -186,7 +186,7 @@ def load(spark: SparkSession, folders: list[str]) -> dict[str, DataFrame]:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = list(_rows(decode(content), path))
+                rows = list(rows_of(decode(content), path))
                 for i in range(0, len(rows), 5000):
                     part = rows[i : i + 5000]
                     yield pa.record_batch([pa.array([k for k, _ in part]), pa.array([json.dumps(r) for _, r in part])], names=["kind", "body"])
