@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import route_id, slot_text
 from ..operators import policy as po
 from ..operators import store
+from ..plans import backward
 from ..plans import chains as ch
 from ..plans.taint import Options, Program, analyse, static_facts, viewed_flows
 from ..sources.adapters import relation, with_sql
@@ -94,6 +95,17 @@ def impact_chains(spark, sf_dir):
     return store.impact(found, relation(spark, sf_dir, "flow_changed")).select(*found.columns, "via_change")
 
 
+def backward_verdicts(spark, sf_dir):
+    p, r = _result(spark, sf_dir)
+    out = backward.confirm(ch.chains(r, p), r, p)
+    return out.select("fn", F.col("cs").cast("long").alias("cs"), "term_fn", F.col("term_cs").cast("long").alias("term_cs"), "verdict")
+
+
+def backward_stats(spark, sf_dir):
+    p, r = _result(spark, sf_dir)
+    return backward.stats(backward.confirm(ch.chains(r, p), r, p)).select("verdict", "n")
+
+
 def route_ids(spark, sf_dir):
     """The name and the fingerprint of each user's whole route."""
     hops = relation(spark, sf_dir, "flow_hops").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("cs", "repo", "func", "callee", "line", "kind"))).alias("hops"))
@@ -134,7 +146,7 @@ def _route_sql() -> str:
     return f"SELECT user_id, {digest(f'{named} || {line} || ' + sized('kind'))} AS route, {digest(f'{named} || ' + sized('kind'))} AS fingerprint FROM flow_hops GROUP BY user_id"
 
 
-_F = (leaf_sites, static_edges, facts_ports, facts_seeds, summary_flows, summary_sinks, chains, chain_by_class, routes, views_merged, impact_chains, route_ids)
+_F = (leaf_sites, static_edges, facts_ports, facts_seeds, summary_flows, summary_sinks, chains, chain_by_class, routes, views_merged, impact_chains, backward_verdicts, backward_stats, route_ids)
 QUERIES = {f.__name__: f for f in _F}
 ORACLE_SQL = {
     "leaf_sites": with_sql(_STATIC, "SELECT 'U' || s.user_id AS fn, CAST(s.cs AS BIGINT) AS cs FROM flow_sites s LEFT JOIN flow_targets t ON t.user_id = s.user_id AND t.cs = s.cs WHERE t.target IS NULL"),
@@ -145,6 +157,9 @@ ORACLE_SQL = {
     "summary_sinks": with_sql(_T, _H + " SELECT 'U' || user_id AS fn, 'param_0' AS in_slot, 'purchase' AS class, CAST(cs AS BIGINT) AS cs, 'U' || term AS term_fn, CAST(term_cs AS BIGINT) AS term_cs FROM h UNION ALL SELECT 'U' || user_id, 'source', 'purchase', CAST(cs AS BIGINT), 'U' || term, CAST(term_cs AS BIGINT) FROM s"),
     "chains": with_sql(_T, _H + " SELECT repo, iid AS fn, 'purchase' AS class, CAST(cs AS BIGINT) AS cs, 'U' || term AS term_fn, CAST(term_cs AS BIGINT) AS term_cs FROM s JOIN flow_functions ON iid = 'U' || user_id"),
     "impact_chains": with_sql([*_T, "flow_changed"], _H + ", c AS (SELECT repo, f.iid AS fn, 'purchase' AS class, CAST(cs AS BIGINT) AS cs, 'U' || term AS term_fn, CAST(term_cs AS BIGINT) AS term_cs FROM s JOIN flow_functions f ON f.iid = 'U' || user_id), d AS (SELECT c.*, fn IN (SELECT iid FROM flow_changed) AS x, term_fn IN (SELECT iid FROM flow_changed) AS y FROM c) SELECT repo, fn, class, cs, term_fn, term_cs, CASE WHEN x AND y THEN 'both' WHEN x THEN 'source' ELSE 'sink' END AS via_change FROM d WHERE x OR y"),
+    # No function of this adapter tells fields apart, so the walk back confirms every chain.
+    "backward_verdicts": with_sql(_T, _H + " SELECT 'U' || user_id AS fn, CAST(cs AS BIGINT) AS cs, 'U' || term AS term_fn, CAST(term_cs AS BIGINT) AS term_cs, 'confirmed' AS verdict FROM s"),
+    "backward_stats": with_sql(_T, _H + " SELECT 'confirmed' AS verdict, count(*) AS n FROM s"),
     "route_ids": with_sql(["flow_hops"], _route_sql()),
     "chain_by_class": with_sql(_T, _H + " SELECT 'purchase' AS class, count(*) AS n FROM s"),
     "views_merged": with_sql(_T, _FLOWS + " SELECT DISTINCT 'Kr1' AS fn, CASE in_slot WHEN 'param_0' THEN 'param_1' ELSE in_slot END AS in_slot, out_slot FROM f JOIN flow_functions ON iid = fn WHERE repo = 'r1'"),
