@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TABLES = "documents embeddings pages benchmark labels conversations".split()
+from ..plans.fixpoint import components, stable
+
+__all__ = ["bitmap", "bounded_batches", "components", "lean", "partitions", "running", "stable", "table", "tokenizer_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,53 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept where a lost executor takes nothing along.
-
-    The folder is the cluster's spark.checkpoint.dir; only a session that names
-    none (a test) gets one of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "rillgraph-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Lets Arrow batches end by size, so that a worker's memory does not follow the texts' lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f for mapInArrow, which gives its memory back to the system at the end of a task: an idle worker holds none."""
 
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges(a, b): root is the smallest node it reaches.
+    return run
 
-    Alternating large-star and small-star rounds, each a min-aggregate and an equi-join,
-    so a hub's neighbours are never gathered. Self-edges count as a node without links.
-    Every round is kept in stable storage and compared with the one before.
-    """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    loops = pairs.where("u = v").select("u", "v")
-    now = stable(pairs.where("u <> v").distinct())
-    seen = None
-    for _ in range(rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == tuple(mark):
-            break
-        seen = tuple(mark)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stable(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    tops = now.select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(tops).unionByName(loops.select(F.col("u").alias("node"), F.col("u").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def running(df: DataFrame, group: list[str], order: list[str], size: str, out: str, fan: int = 1024) -> DataFrame:

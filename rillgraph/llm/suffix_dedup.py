@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, bounded_batches, stable, table
+from .common import bitmap, bounded_batches, lean, stable, table
 from .ngram_join import _P, _P_INVERSE, _TABLE, _mix, _power
 
 LENGTH, K = 400, 100
@@ -111,7 +111,7 @@ def repeated_around(marks: np.ndarray, befores: np.ndarray, pieces: list[bytes],
     """(context, first, last): the runs of starts, in bytes of the context, at which a string
     of `length` bytes recurs in another context of the same anchor, at the same distance."""
     owners, starts = [], []
-    step = max(1, (1 << 20) // len(pieces))
+    step = max(1, (1 << 18) // len(pieces))
     for lo in range(0, length - k + 1, step):
         owner, start, prints = window_prints(marks, befores, pieces, lo, lo + step, length, k)
         order = np.lexsort((owner, prints))  # suffix order as far as equality goes, then position
@@ -159,7 +159,7 @@ def _among(rows: DataFrame):
 
         def split(df: DataFrame) -> DataFrame:
             fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-            return df.select(F.xxhash64("row").alias("_filter"), *df.columns).mapInArrow(some, fields)
+            return df.select(F.xxhash64("row").alias("_filter"), *df.columns).mapInArrow(lean(some), fields)
 
         return split
 
@@ -196,7 +196,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
             if rows:
                 yield told()
 
-    found = stable(texts.mapInArrow(anchored, "row long, at int, mark long, context long"))
+    found = stable(texts.mapInArrow(lean(anchored), "row long, at int, mark long, context long"))
     kinds = found.groupBy("mark", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
     several = found.groupBy("mark").agg(F.count("*").alias("all"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("all > 1").select("mark", (F.col("lo") < F.col("hi")).alias("mixed"))
     # state 1: the whole context repeats. 2: to be compared. 3: as 1, and compared for the others.
@@ -217,7 +217,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                     before, piece = _context(raw, w["at"], length, k)
                     out.append((w["mark"], row, w["at"] - before, before, piece))
                     size += len(piece)
-                if size > 1 << 23:
+                if size > 1 << 21:
                     yield _cut_rows(out)
                     out, size = [], 0
             if out:
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
 
     may, _ = _among(need)
     held = may(texts).groupBy("row").agg(F.first("text").alias("text"))
-    contexts = held.join(need, "row").select("row", "text", "work").mapInArrow(cut, "mark long, row long, lo long, before int, piece binary")
+    contexts = held.join(need, "row").select("row", "text", "work").mapInArrow(lean(cut), "mark long, row long, lo long, before int, piece binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -239,7 +239,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > 1 << 21 and r[0] != rows[-1][0]:  # whole groups
+                if size > 1 << 19 and r[0] != rows[-1][0]:  # whole groups
                     yield told(rows)
                     rows, size = [], 0
                 rows.append(r)
@@ -257,10 +257,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     # An anchor with very many contexts is not compared in one task: its strings meet by their fingerprints.
     heavy = kinds.where("state <> 1").groupBy("mark").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST).select("mark")
     heavy = stable(heavy)
-    light = contexts.join(heavy, "mark", "left_anti").repartition("mark").sortWithinPartitions("mark").mapInArrow(compare, "row long, a long, b long")
+    light = contexts.join(heavy, "mark", "left_anti").repartition("mark").sortWithinPartitions("mark").mapInArrow(lean(compare), "row long, a long, b long")
     spans = light
     if not heavy.isEmpty():
-        each = contexts.join(heavy, "mark").select(*contexts.columns).mapInArrow(windows, "print long, row long, a long")
+        each = contexts.join(heavy, "mark").select(*contexts.columns).mapInArrow(lean(windows), "print long, row long, a long")
         twice = each.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
         spans = light.unionByName(each.join(twice, "print").select("row", "a", (F.col("a") + length).alias("b")).distinct())
     whole = work.select("row", F.explode(F.filter("work", lambda w: w.state == 1)).alias("w")).select("row", F.col("w.at").alias("at"))
@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
             types = [pa.int64()] * 4 + [pa.binary(), pa.string()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return told.mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return told.mapInArrow(lean(kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
