@@ -51,13 +51,13 @@ def running(df: DataFrame, group: list[str], order: list[str], size: str, out: s
     task, and the order is total wherever `order` is. Slices follow the hash, so the order
     inside a group is (hash, order), a fixed shuffle of the group. Group columns hold no nulls.
     """
-    keys = [*group, "_slice"]
-    dealt = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(fan)))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shift = dealt.groupBy(*keys).agg(F.sum(size).alias("_sum")).select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
+    keys = [*group, "__run_slice"]
+    dealt = df.withColumn("__run_slice", F.pmod(F.xxhash64(*order), F.lit(fan)))
+    before = Window.partitionBy(*group).orderBy("__run_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shift = dealt.groupBy(*keys).agg(F.sum(size).alias("__run_sum")).select(*keys, F.coalesce(F.sum("__run_sum").over(before), F.lit(0)).alias("__run_shift"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    part = dealt.withColumn("_part", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    return part.join(shift, keys).withColumn(out, F.col("_part") + F.col("_shift")).drop("_slice", "_part", "_shift")
+    part = dealt.withColumn("__run_part", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return part.join(shift, keys).withColumn(out, F.col("__run_part") + F.col("__run_shift")).drop("__run_slice", "__run_part", "__run_shift")
 
 
 def bitmap(ids: DataFrame, column: str, bits: int = 1 << 23) -> bytes:

@@ -70,18 +70,18 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, block: int = BLOC
     shares = shares or SHARES
     if min([default, *shares.values()]) < 1:
         raise ValueError("shares are positive whole numbers")
-    named = docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("\0null")), "_size": F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long") + 1, "_hash": F.xxhash64("text")})
-    placed = running(named, ["_source"], ["doc_id", "_hash"], "_size", "_at")
-    totals = {r["_source"]: -(-r["n"] // block) for r in named.groupBy("_source").agg(F.sum("_size").alias("n")).collect()}
+    named = docs.withColumns({"__mix_source": F.coalesce(F.col("source").cast("string"), F.lit("\0null")), "__mix_size": F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long") + 1, "__mix_hash": F.xxhash64("text")})
+    placed = running(named, ["__mix_source"], ["doc_id", "__mix_hash"], "__mix_size", "__mix_at")
+    totals = {r["__mix_source"]: -(-r["n"] // block) for r in named.groupBy("__mix_source").agg(F.sum("__mix_size").alias("n")).collect()}
     rows = schedule(totals, shares, default)
     # One row per source and phase: at most the square of the number of sources.
     spark = docs.sparkSession
-    plan = spark.createDataFrame(rows, "_source string, _first long, _past long, _shares long, _period long, _start long, _slots array<long>")
-    number = F.floor(F.col("_at") / F.lit(block))
-    found = placed.withColumn("block", number).join(F.broadcast(plan) if len(rows) <= 4096 else plan, "_source").where("block >= _first and block < _past")
-    j = F.col("block") - F.col("_first")
-    slot = F.col("_start") + F.floor(j / F.col("_shares")) * F.col("_period") + F.element_at("_slots", (j % F.col("_shares") + 1).cast("int"))
-    found = found.withColumn("slot", slot.cast("long")).withColumn("place", (F.col("_at") - F.col("block") * block).cast("long"))
+    plan = spark.createDataFrame(rows, "__mix_source string, __mix_first long, __mix_past long, __mix_shares long, __mix_period long, __mix_start long, __mix_slots array<long>")
+    number = F.floor(F.col("__mix_at") / F.lit(block))
+    found = placed.withColumn("block", number).join(F.broadcast(plan) if len(rows) <= 4096 else plan, "__mix_source").where("block >= __mix_first and block < __mix_past")
+    j = F.col("block") - F.col("__mix_first")
+    slot = F.col("__mix_start") + F.floor(j / F.col("__mix_shares")) * F.col("__mix_period") + F.element_at("__mix_slots", (j % F.col("__mix_shares") + 1).cast("int"))
+    found = found.withColumn("slot", slot.cast("long")).withColumn("place", (F.col("__mix_at") - F.col("block") * block).cast("long"))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("block", "slot", "place")], "block", "slot", "place")
 
 

@@ -181,13 +181,13 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "rillgraph-
     columns = [c for c in docs.columns if c != out and not (counts and c in {f"n_{k}" for k in KINDS})]
     quoted = [F.col(f"`{c}`") for c in columns]
     text = F.col(f"`{text_col}`").cast("string")
-    found = docs.select(*quoted, text.alias("_text"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("_found"))
-    kinds = F.transform("_found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
-    found = found.withColumn("_found", F.when(F.size("_found") > 0, kinds).otherwise(F.array().cast("array<struct<m:string,k:string>>")))
-    new = F.transform("_found", lambda x: pseudonym(secret, x.k, x.m))
-    mixed = F.array_join(F.zip_with(F.split("_text", ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    text = F.when(F.size("_found") > 0, mixed).otherwise(F.col("_text")).alias(out)
-    of = lambda k: F.size(F.filter("_found", lambda x: x.k == k)).cast("long").alias(f"n_{k}")
+    found = docs.select(*quoted, text.alias("__pii_text"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("__pii_found"))
+    kinds = F.transform("__pii_found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
+    found = found.withColumn("__pii_found", F.when(F.size("__pii_found") > 0, kinds).otherwise(F.array().cast("array<struct<m:string,k:string>>")))
+    new = F.transform("__pii_found", lambda x: pseudonym(secret, x.k, x.m))
+    mixed = F.array_join(F.zip_with(F.split("__pii_text", ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    text = F.when(F.size("__pii_found") > 0, mixed).otherwise(F.col("__pii_text")).alias(out)
+    of = lambda k: F.size(F.filter("__pii_found", lambda x: x.k == k)).cast("long").alias(f"n_{k}")
     numbers = [of(k) for k in KINDS] if counts else []
     return found.select(*quoted, text, *numbers).select(*[F.col(f"`{c}`") for c in docs.columns if c in columns or c == out], *([] if out in docs.columns else [out]), *([f"n_{k}" for k in KINDS] if counts else []))
 

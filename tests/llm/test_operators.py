@@ -355,3 +355,26 @@ def test_chat_rotates_every_participant(spark):
     said = [r.text[int(a) : int(b)] for a, b in (x.split(":") for x in r.mask.split(","))]
     assert said == ["hi<|im_end|>", "ünd<|im_end|>", "ünd<|im_end|>"] and r.n_masked == sum(map(len, said)) and r.n_turns == 5
     assert chat.perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_columns_of_clashing_names_do_no_harm(spark):
+    names = "row c n b blob a z ma k slot block place _text _found _source _at _slice _hash label y score held_out predicted doc_tokens bucket next edited group_id turns spans at mark".split()
+    plain = docs(spark, ["one two three four five six", "one two three four five six", "10.1.2.3", None])
+    extra = plain.withColumns({x: F.lit("x") for x in names})
+    none = spark.createDataFrame([(0, 1, 0, "l"), (1, 0, 1, "l")], "doc_id long, quality int, toxic int, text string")
+    key = lambda df: sorted(str(r) for r in df.collect())
+    assert key(ngram_join.similarity_components(extra)) == key(ngram_join.similarity_components(plain))
+    assert key(suffix_dedup.remove_repeats(extra)) == key(suffix_dedup.remove_repeats(plain))
+    assert key(packing.pack(extra)) == key(packing.pack(plain))
+    assert key(fingerprints.edited_fingerprints(extra)) == key(fingerprints.edited_fingerprints(plain))
+    assert key(fingerprints.exact_groups(extra)) == key(fingerprints.exact_groups(plain))
+    for module in (toxicity, quality):
+        assert key(module.score(extra, none)) == key(module.score(plain, none))
+    mixed = mixing.mix(extra)
+    assert mixed.count() == 4 and {"block", "slot", "place"} <= set(mixed.columns) and len(mixed.columns) == len(set(mixed.columns))
+    shown = pii.pseudonymise(extra)
+    assert "10.1.2.3" not in {r.text for r in shown.collect()} and [c for c in shown.columns if not c.startswith("n_")] == [c for c in extra.columns if not c.startswith("n_")]
+    turns = spark.createDataFrame([(1, 0, "a", "x", "p")], "conv_id long, turn long, role string, text string, p string")
+    assert chat.perspectives(turns).count() == 1
+    vectors = spark.createDataFrame([(1, [1.0, 2.0], 0, "q"), (2, [1.0, 2.0], 0, "q")], "vec_id long, embedding array<float>, label int, name string")
+    assert [r.n_links for r in embedding_dedup.near_groups(vectors).collect()] == [1, 1]
