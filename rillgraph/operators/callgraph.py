@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import closure, stable
+from ..plans.fixpoint import closure, grown, stable
 
 RELATIONS = (0, 2, 3)
 
@@ -82,7 +82,7 @@ def paths(edges: DataFrame, nodes: DataFrame, source: str, target: str, limit: i
     found: DataFrame | None = None
     for depth in range(1, max_depth + 1):
         hit = walk.join(goal, "node", "left_semi").select("path")
-        found = stable(hit if found is None else found.unionByName(hit))
+        found = stable(hit) if found is None else grown(found, hit)
         # A shorter path beats any longer one: enough of them end the search.
         if depth == max_depth or found.limit(limit).count() >= limit:
             break

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import stable
+from ..plans.fixpoint import grown, stable
 
 
 def sinks_of_cells(reads: DataFrame, copies: DataFrame, rounds: int = 64) -> DataFrame:
@@ -22,7 +22,7 @@ def sinks_of_cells(reads: DataFrame, copies: DataFrame, rounds: int = 64) -> Dat
         new = stable(more.join(found, found.columns, "left_anti"))
         if new.isEmpty():
             break
-        found = stable(found.unionByName(new))
+        found = grown(found, new)
     return found
 
 

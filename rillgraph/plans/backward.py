@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import paths_comparable, residual_after
-from .fixpoint import stable
+from .fixpoint import grown, stable
 from .taint import Program, Result
 
 MAX_DEMAND = 8
@@ -117,7 +117,7 @@ def confirm(found: DataFrame, result: Result, program: Program, rounds: int = 20
         new = stable(more.join(started, STATE, "left_anti"))
         if new.isEmpty():
             break
-        started = stable(started.unionByName(new))
+        started = grown(started, new)
     else:
         raise RuntimeError("the walk back did not settle")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import confidence, slot_text
-from .fixpoint import stable
+from .fixpoint import grown, stable
 from .taint import UNMODELED, Program, Result
 
 MAX_DEPTH = 32
@@ -55,7 +55,7 @@ def routes(result: Result, program: Program, depth: int = MAX_DEPTH) -> DataFram
         hop = F.concat_ws("#", "fn", F.col("cs").cast("string"), "callee_fqn")
         on = on.select(*key, "body", "callee", "through", F.concat("hops", F.array(hop)).alias("hops"), F.concat("seen", F.array("body")).alias("seen"), F.least("conf", "c").alias("conf"))
         ended = on.where("callee = ''").select(*key, "hops", "conf")
-        done = stable(ended if done is None else done.unionByName(ended))
+        done = stable(ended) if done is None else grown(done, ended)
         # The smallest ways on; a shorter complete route ends the search of its hit.
         rest = on.where("callee <> ''").join(done.select(*key).distinct(), key, "left_anti")
         pick = Window.partitionBy(*key, "body", "through").orderBy(F.array_join("hops", "|"))

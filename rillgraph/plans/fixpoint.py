@@ -4,24 +4,51 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept where a lost executor takes nothing along.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what must outlive an executor: the cluster's spark.checkpoint.dir.
 
-    The folder is the cluster's spark.checkpoint.dir; only a session that names
-    none (a test) gets one of its own.
+    Only a session that names none (a test) gets one of its own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "rillgraph-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "rillgraph-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept where a lost executor takes nothing along."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a table in the shared folder, and what deletes it: for large intermediate rows
+    that nothing reads any more once later ones are stable."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
+def grown(known: DataFrame, new: DataFrame) -> DataFrame:
+    """known and new, kept; rounds do not add partitions without end."""
+    most = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stable(known.unionByName(new).coalesce(most))
+
+
 def closure(start: DataFrame, step: DataFrame, key: list[str], src: str = "src", dst: str = "dst", rounds: int = 10_000) -> DataFrame:
     """All (key..., node) that `start` reaches along step(src, dst), start included.
 
@@ -37,7 +64,7 @@ def closure(start: DataFrame, step: DataFrame, key: list[str], src: str = "src",
         new = stable(found.join(known, columns, "left_anti"))
         if new.isEmpty():
             return known
-        known = stable(known.unionByName(new))
+        known = grown(known, new)
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
@@ -105,6 +132,6 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         start = colour.where("node = label").select(F.col("label").alias("key"), "node")
         member = closure(start, back, ["key"])
         found = member.select("node", F.col("key").alias("scc"))
-        done = stable(found if done is None else done.unionByName(found))
+        done = stable(found) if done is None else grown(done, found)
         left = stable(colour.join(found.select("node"), "node", "left_anti").select("node", F.xxhash64("part", "label").alias("part")))
     return done if done is not None else left.select("node", F.col("node").alias("scc"))

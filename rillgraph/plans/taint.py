@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import getter_field, paths_comparable, slot_base, slot_path, slot_text
 from ..operators import policy as po
-from .fixpoint import stable
+from .fixpoint import grown, stable
 
 OUT, IN = -1, -2  # pseudo vertices: data that leaves by a stream, data that a helper received
 UNMODELED = "unmodeled-write"
@@ -267,7 +267,7 @@ def summarise(facts: Facts, contract: DataFrame | None, rounds: int = 1000) -> t
         new = stable(_edges_of(flows, facts).join(edges, ["fn", "src", "dst", "call"], "left_anti"))
         if new.isEmpty():
             return reach, flows
-        edges = stable(edges.unionByName(new))
+        edges = grown(edges, new)
         changed = new.select("fn").distinct()
         again = close(edges.join(changed, "fn", "left_semi"), facts.seeds.join(changed, "fn", "left_semi"))
         reach = stable(reach.join(changed, "fn", "left_anti").unionByName(again))
@@ -298,7 +298,7 @@ def find_hits(reach: DataFrame, facts: Facts, contract: DataFrame | None, heap:
         fresh = stable(more.join(steps, more.columns, "left_anti"))
         if fresh.isEmpty():
             return steps
-        steps = stable(steps.unionByName(fresh))
+        steps = grown(steps, fresh)
         new = fresh
     raise RuntimeError("hits did not settle")
 
@@ -322,7 +322,7 @@ def cell_hits(flows: DataFrame, hits: DataFrame, rounds: int = 64) -> DataFrame:
         new = stable(more.join(found, found.columns, "left_anti"))
         if new.isEmpty():
             break
-        found = stable(found.unionByName(new))
+        found = grown(found, new)
     fits = paths_comparable(F.col("out_path"), slot_path(F.col("reader_slot")))
     return found.join(written, "cell").where(fits).select(*found.columns).distinct()
 
