@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import components, stable
+from ..plans.fixpoint import components, stable, written
 
-__all__ = ["bitmap", "bounded_batches", "components", "lean", "partitions", "running", "stable", "table", "tokenizer_path"]
+__all__ = ["bitmap", "bounded_batches", "components", "lean", "partitions", "running", "stable", "table", "tokenizer_path", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, bounded_batches, lean, stable, table
+from .common import bitmap, bounded_batches, lean, stable, table, written
 from .ngram_join import _P, _P_INVERSE, _TABLE, _mix, _power
 
 LENGTH, K = 400, 100
@@ -144,9 +144,9 @@ def _named(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("row"), text.alias("text"), *more)
 
 
-def _among(rows: DataFrame):
-    """Splits a scan of (row, ...) by a fixed-size filter of the given rows: (may be there, is not there)."""
-    bits = rows.sparkSession.sparkContext.broadcast(bitmap(rows, "row"))
+def _among(rows: DataFrame, column: str = "row"):
+    """Splits rows by a fixed-size filter of the given values of a column: (may be among them, is not)."""
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(rows, column, 1 << 25))
 
     def having(wanted: bool):
         def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def _among(rows: DataFrame):
 
         def split(df: DataFrame) -> DataFrame:
             fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-            return df.select(F.xxhash64("row").alias("_filter"), *df.columns).mapInArrow(lean(some), fields)
+            return df.select(F.xxhash64(column).alias("_filter"), *df.columns).mapInArrow(lean(some), fields)
 
         return split
 
@@ -196,16 +196,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
             if rows:
                 yield told()
 
-    found = stable(texts.mapInArrow(lean(anchored), "row long, at int, mark long, context long"))
-    kinds = found.groupBy("mark", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
-    several = found.groupBy("mark").agg(F.count("*").alias("all"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("all > 1").select("mark", (F.col("lo") < F.col("hi")).alias("mixed"))
+    found, drop = written(texts.mapInArrow(lean(anchored), "row long, at int, mark long, context long"))
+    # Most anchors occur once: they leave before anything else is dealt out.
+    several = stable(found.groupBy("mark").agg(F.count("*").alias("all"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("all > 1").select("mark", (F.col("lo") < F.col("hi")).alias("mixed")))
+    again = _among(several, "mark")[0](found)
+    kinds = again.groupBy("mark", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
     # state 1: the whole context repeats. 2: to be compared. 3: as 1, and compared for the others.
-    kinds = kinds.join(several, "mark").select("mark", "context", "one", F.when(F.col("n") == 1, 2).when(F.col("mixed"), 3).otherwise(1).alias("state"))
+    kinds = kinds.join(several, "mark").select("mark", "context", "one", F.when((F.col("n") == 1) & F.col("mixed"), 2).when(F.col("mixed"), 3).otherwise(1).alias("state"))
     kinds = stable(kinds)
-    here = found.join(kinds.where("state <> 2").select("mark", "context"), ["mark", "context"]).select("row", "at", F.lit(1).alias("state"), F.lit(None).cast("long").alias("mark"))
+    here = again.join(kinds.where("state <> 2").select("mark", "context"), ["mark", "context"]).select("row", "at", F.lit(1).alias("state"), F.lit(None).cast("long").alias("mark"))
     compared = kinds.where("state <> 1").select("one.row", "one.at", F.lit(2).alias("state"), "mark")
     work = here.unionByName(compared).groupBy("row").agg(F.collect_set(F.struct("at", "state", "mark")).alias("work"))
     work = stable(work)
+    drop()
     need = work.select("row", F.filter("work", lambda w: w.state == 2).alias("work")).where(F.size("work") > 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
