@@ -11,8 +11,8 @@ frames that do not spell it out. Frames are
 
 and all frames grow together to one least fixpoint over (function, frame, vertex, residual),
 so recursion needs no cut. Where a frame meets a source seed the finding is confirmed; a
-finding without any is refuted, unless it uses what the walk does not model (cells,
-streams, contracts that reshape their arguments): then it is undecided.
+finding without any is refuted, unless it goes through a cell or the program has stream
+ports, which the walk does not model: then it is undecided.
 """
 
 from __future__ import annotations
@@ -75,12 +75,28 @@ def confirm(found: DataFrame, result: Result, program: Program, rounds: int = 20
     path_of = stable(program.vertex.select("fn", "vid", F.col("path").alias("declared")))
     inner = stable(facts.seeds.where("seed not in ('source', 'stream_in')").select("fn", "vid", F.regexp_extract("seed", r"^([^\[]*)", 1).alias("slot")).join(path_of, ["fn", "vid"]))
     own = facts.inputs
-    bodies = stable(program.function.select(F.col("iid").alias("callee"), F.col("iid").alias("body")))
+    bodies = program.function.select(F.col("iid").alias("callee"), F.col("iid").alias("body"))
+    plain = F.lit(False)
     if program.contract is not None:
-        bodies = stable(bodies.unionByName(program.contract.where("kind = 0 and not client_streaming and not server_streaming").select(F.col("iid").alias("callee"), F.col("handler").alias("body"))).distinct())
-    inputs = stable(own.join(bodies, "callee").select("fn", "vid", "cs", "body", "slot", F.col("path").alias("declared")).distinct())
-    sites = inputs.select("fn", "cs", "body").distinct()
-    landing = stable(facts.landing.join(sites, ["fn", "cs"]).select("fn", "vid", "cs", "body", "out_slot", "land_path").distinct())
+        plain = (F.col("kind") == 0) & ~F.col("client_streaming") & ~F.col("server_streaming")
+        bodies = bodies.unionByName(program.contract.where(plain).select(F.col("iid").alias("callee"), F.col("handler").alias("body"))).distinct()
+    bodies = stable(bodies)
+    inputs = own.join(bodies, "callee").select("fn", "vid", "cs", "body", "slot", F.col("path").alias("declared"))
+    sites = inputs.select("fn", "cs", "body").withColumn("only", F.lit(""))
+    if program.contract is not None:
+        # Contracts that show their handlers' parameters under other numbers, and at most one result.
+        named = lambda c: F.concat(F.lit("param_"), c.cast("string"))
+        c = program.contract.where(~plain)
+        shown = c.where("kind = 1").select("iid", "handler", F.posexplode("gql_param_idx").alias("j", "p")).select("iid", "handler", named(F.col("j")).alias("slot"), named(F.col("p")).alias("inner_slot"))
+        shown = shown.unionByName(c.where("kind = 2").select("iid", "handler", F.explode("request_params").alias("p")).select("iid", "handler", F.lit("param_0").alias("slot"), named(F.col("p")).alias("inner_slot")))
+        shown = shown.unionByName(c.where("kind = 0 and server_streaming and not client_streaming").select("iid", "handler", F.lit("param_1").alias("slot"), F.lit("param_0").alias("inner_slot")))
+        used = own.withColumnRenamed("callee", "iid").join(shown, ["iid", "slot"])
+        inputs = inputs.unionByName(used.select("fn", "vid", "cs", F.col("handler").alias("body"), F.col("inner_slot").alias("slot"), F.col("path").alias("declared")))
+        answers_back = own.withColumnRenamed("callee", "iid").join(c.where("kind = 1").select("iid", "handler"), "iid")
+        sites = sites.unionByName(answers_back.select("fn", "cs", F.col("handler").alias("body"), F.lit("return_0").alias("only")))
+    inputs = stable(inputs.distinct())
+    landing = facts.landing.join(sites.distinct(), ["fn", "cs"]).where("only = '' or only = out_slot")
+    landing = stable(landing.select("fn", "vid", "cs", "body", "out_slot", "land_path").distinct())
     outs = stable(facts.out_fact.select(F.col("fn").alias("body"), "out_slot", "out_path", F.col("vid").alias("out_vid")))
     edges = facts.edges
 
@@ -125,8 +141,7 @@ def confirm(found: DataFrame, result: Result, program: Program, rounds: int = 20
     met = states.where(F.col("frame").startswith("T|")).join(seeds, ["fn", "vid"]).join(path_of, ["fn", "vid"], "left")
     field = F.array_join(F.concat(F.coalesce("declared", none), "rest").cast("array<string>"), ".")
     met = met.groupBy(F.col("frame").alias("top")).agg(F.max("exact").alias("sure"), F.array_join(F.array_sort(F.collect_set(field)), ",").alias("source_fields"))
-    shaped = program.callsite.where("stream_op > 0").limit(1).select(F.lit(1))
-    unmodelled = not shaped.isEmpty() or (program.contract is not None and not program.contract.where("kind <> 0 or client_streaming or server_streaming").isEmpty())
+    unmodelled = not program.callsite.where("stream_op > 0").isEmpty()
     out = found.withColumn("top", finding).join(met, "top", "left")
     verdict = F.when(F.col("via") != "", "undecided").when(F.col("sure").isNotNull(), "confirmed").otherwise("undecided" if unmodelled else "refuted")
     return out.select("fn", "class", "cs", "term_fn", "term_cs", "via", verdict.alias("verdict"), F.coalesce("sure", F.lit(False)).alias("exact"), F.coalesce("source_fields", F.lit("")).alias("source_fields"))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..plans.fixpoint import stable
 from ..plans.taint import Program
@@ -181,7 +182,12 @@ SCHEMAS = {
 
 def load(spark: SparkSession, folders: list[str]) -> dict[str, DataFrame]:
     """The relations of all packages (*.pb, not in subfolders) of the folders. Raises if there is none."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pb").load(folders).select("path", "content")
+    try:
+        files = spark.read.format("binaryFile").load([f"{f.rstrip('/')}/*.pb" for f in folders]).select("path", "content")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise FileNotFoundError(f"no packages in one of {', '.join(folders)}") from None
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

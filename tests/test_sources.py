@@ -69,6 +69,23 @@ def test_http_linked_finding_from_files(spark, folder, capsys):
     assert "contracts http: 1" in capsys.readouterr().out
 
 
+def test_persisted_graph_and_verdicts(spark, folder, capsys):
+    graph = str(folder / "graph")
+    run = lambda *more: main(["taint", str(folder), "--policy", str(folder / "policy.toml"), *more])
+    for _ in range(2):
+        assert run("--graph", graph, "--backward", "--phases") == 0
+    out, err = capsys.readouterr()
+    assert '"verdict": "confirmed"' in out and '"phase": "analyse"' in err
+    assert main(["query", "reach", "--graph", graph, "--fn", "srv.Get"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"repos": ["app", "srv"], "endpoints": ["http GET /api/users/{id} (chi)"]}
+    assert main(["query", "path", "--graph", graph, "--from", "app.Call", "--to", "srv.Get"]) == 0
+    assert [p["path"] for p in json.loads(capsys.readouterr().out)] == [[iid(2), iid(9), iid(1)]]
+    assert main(["query", "reach", "--graph", graph, "--fn", "nobody"]) == 1
+    capsys.readouterr()
+    assert main(["summary", str(folder), "--policy", str(folder / "policy.toml"), "--fn", "srv"]) == 0
+    assert capsys.readouterr().out == f"srv.Get: param_0 -> sqli {iid(1)}:0\n"
+
+
 def test_empty_folder(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         cgf.load(spark, [str(tmp_path)])
