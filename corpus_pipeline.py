@@ -56,6 +56,6 @@ ORACLE_SQL = None  # training and tokenizing are not SQL; tests hold each stage
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = stable(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

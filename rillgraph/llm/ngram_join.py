@@ -130,7 +130,7 @@ def _common_shingles(texts: DataFrame, words: int, least: int, most: int) -> np.
     that a partition of the input meets more than once. Only the order of cells depends on it."""
 
     def counted(batches):
-        seen, held = set(), np.zeros(0, np.uint64)
+        seen: set[int] = set()
         parts: list[np.ndarray] = []
         total: dict[int, int] = {}
 
@@ -153,10 +153,10 @@ def _common_shingles(texts: DataFrame, words: int, least: int, most: int) -> np.
                 flush()
                 size = 0
         flush()
-        del held
         keys = np.fromiter(total, np.uint64, len(total)).view(np.int64)
+        counts = np.fromiter(total.values(), np.int64, len(total))
         for i in range(0, len(keys), 1 << 16):
-            yield pa.record_batch([pa.array(keys[i : i + (1 << 16)]), pa.array(list(total.values())[i : i + (1 << 16)], pa.int64())], names=["s", "n"])
+            yield pa.record_batch([pa.array(keys[i : i + (1 << 16)]), pa.array(counts[i : i + (1 << 16)])], names=["s", "n"])
 
     rows = texts.mapInArrow(counted, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "s").limit(most).collect()
     return np.sort(np.array([r.s for r in rows], np.int64).view(np.uint64))

@@ -10,7 +10,8 @@ and compared only with those around the same anchor.
  1. Every anchor gives a row with the fingerprint of its whole context, the bytes that
     strings with that anchor can reach. A context that occurs twice repeats wholly; an
     anchor whose contexts all differ in one row alone repeats nowhere.
- 2. Where an anchor has several contexts, one of each kind is compared: the suffixes at
+ 2. Where an anchor has several contexts, one of each kind that shares the bytes on either
+    side with another is compared: the suffixes at
     each distance from the anchor are put in order (of their first `length` bytes), and the
     previous and next smaller positions in a run of equals are the earlier and later matches.
 
@@ -44,8 +45,12 @@ def _prints(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarr
     return _mix((sums[stops] - sums[starts]) * _power(_P_INVERSE, n)[starts] + (stops - starts).astype(np.uint64))
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, fingerprint, context's fingerprint) of the anchors of all strings of `length` bytes.
+def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, fingerprint, context's fingerprint, sides) of the anchors of all strings of `length` bytes.
+
+    Each such string reaches either half its spare bytes before the anchor or half of them
+    behind it; sides holds 32 bits for the bytes of the first kind and 32 for the second, 0
+    where the text ends before.
 
     The texts together are shorter than 2**24 bytes, or one text is taken in pieces.
     """
@@ -54,7 +59,7 @@ def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.nd
     n = len(raw)
     if n < length:
         none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), none, none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), none, none, none
     sums = _sums(raw)
     at = np.arange(n - k + 1)
     prints = _prints(sums, at, at + k)
@@ -80,7 +85,11 @@ def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.nd
     begin, end = np.concatenate(([0], stops))[text], stops[text]
     lo, hi = np.maximum(found - (length - k), begin), np.minimum(found + length, end)
     context = _mix(_prints(sums, lo, hi) ^ (found - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    return text, found - begin, prints[found], context
+    half = (length - k) // 2
+    left, right = found - half >= begin, found + length - half <= end
+    before = np.where(left, _prints(sums, np.maximum(found - half, 0), found + k) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+    behind = np.where(right, _prints(sums, found, np.minimum(found + length - half, n)) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+    return text, found - begin, prints[found], context, before << np.uint64(32) | behind
 
 
 def _context(raw: bytes, at: int, length: int, k: int) -> tuple[int, bytes]:
@@ -179,9 +188,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
             rows, some, size = [], [], 0
 
             def told():
-                text, at, marks, contexts = anchors(some, length, k)
-                columns = (np.array(rows, np.int64)[text], at.astype(np.int32), marks.view(np.int64), contexts.view(np.int64))
-                return pa.record_batch([pa.array(c) for c in columns], names=["row", "at", "mark", "context"])
+                text, at, marks, contexts, sides = anchors(some, length, k)
+                columns = (np.array(rows, np.int64)[text], at.astype(np.int32), marks.view(np.int64), contexts.view(np.int64), sides.view(np.int64))
+                return pa.record_batch([pa.array(c) for c in columns], names=["row", "at", "mark", "context", "sides"])
 
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 seen[row] = seen.get(row, 0) + 1
@@ -196,16 +205,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
             if rows:
                 yield told()
 
-    found, drop = written(texts.mapInArrow(lean(anchored), "row long, at int, mark long, context long"))
+    found, drop = written(texts.mapInArrow(lean(anchored), "row long, at int, mark long, context long, sides long"))
     # Most anchors occur once: they leave before anything else is dealt out.
     several = stable(found.groupBy("mark").agg(F.count("*").alias("all"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("all > 1").select("mark", (F.col("lo") < F.col("hi")).alias("mixed")))
     again = _among(several, "mark")[0](found)
-    kinds = again.groupBy("mark", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
+    kinds = again.groupBy("mark", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "sides")).alias("one"))
     # state 1: the whole context repeats. 2: to be compared. 3: as 1, and compared for the others.
     kinds = kinds.join(several, "mark").select("mark", "context", "one", F.when((F.col("n") == 1) & F.col("mixed"), 2).when(F.col("mixed"), 3).otherwise(1).alias("state"))
     kinds = stable(kinds)
     here = again.join(kinds.where("state <> 2").select("mark", "context"), ["mark", "context"]).select("row", "at", F.lit(1).alias("state"), F.lit(None).cast("long").alias("mark"))
-    compared = kinds.where("state <> 1").select("one.row", "one.at", F.lit(2).alias("state"), "mark")
+    # A string that two contexts share has all bytes of one side or of the other in common.
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("one.sides", 32).alias("print")), F.struct(F.lit(1).alias("side"), F.col("one.sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("print")))
+    reach = kinds.where("state <> 1").select("one.row", "one.at", "mark", F.explode(sides).alias("s")).where("s.print <> 0").select("row", "at", "mark", "s.side", "s.print")
+    shared = reach.groupBy("mark", "side", "print").agg(F.count("*").alias("n")).where("n > 1").select("mark", "side", "print")
+    compared = stable(reach.join(shared, ["mark", "side", "print"]).select("row", "at", F.lit(2).alias("state"), "mark").distinct())
     work = here.unionByName(compared).groupBy("row").agg(F.collect_set(F.struct("at", "state", "mark")).alias("work"))
     work = stable(work)
     drop()
@@ -258,7 +271,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                 yield pa.record_batch([pa.array(prints.view(np.int64)), pa.array(np.array(row, np.int64)[c]), pa.array(np.array(lo, np.int64)[c] + start)], names=["print", "row", "a"])
 
     # An anchor with very many contexts is not compared in one task: its strings meet by their fingerprints.
-    heavy = kinds.where("state <> 1").groupBy("mark").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST).select("mark")
+    heavy = compared.groupBy("mark").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST).select("mark")
     heavy = stable(heavy)
     light = contexts.join(heavy, "mark", "left_anti").repartition("mark").sortWithinPartitions("mark").mapInArrow(lean(compare), "row long, a long, b long")
     spans = light
