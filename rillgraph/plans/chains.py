@@ -48,7 +48,7 @@ def routes(result: Result, program: Program, depth: int = MAX_DEPTH) -> DataFram
     first = steps.where("seed = 'source'").select(F.col("fn").alias("src"), "class", F.col("cs").alias("cs0"), "term_fn", "term_cs").distinct()
     front = first.select(*key, F.col("src").alias("fn"), F.lit("source").alias("seed"), F.col("cs0").alias("at"), F.array().cast("array<string>").alias("hops"), F.array("src").alias("seen"), F.lit(1.0).alias("conf"))
     done: DataFrame | None = None
-    for level in range(depth):
+    for _ in range(depth):
         s = steps.select("fn", "seed", "class", "term_fn", "term_cs", "cs", "callee", "through", "body", "callee_fqn", F.col("conf").alias("c"))
         on = front.join(s, ["fn", "seed", "class", "term_fn", "term_cs"]).where(F.col("at").isNull() | (F.col("at") == F.col("cs")))
         on = on.where((F.col("callee") == "") | ~F.array_contains("seen", F.col("body")))
