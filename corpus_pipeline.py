@@ -4,7 +4,7 @@ toxicity drops the documents that the factorization machine rejects; jaccard kee
 smallest doc_id of each component of near copies (documents without shingles, which link
 with nothing, all stay);
 pii puts pseudonyms into the texts; mixing writes the documents in the order of the
-schedule; packing cuts and packs them. All but the last return the columns of documents.
+schedule; packing cuts them and packs ranges of that order, so that sequences follow the schedule. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rillgraph.llm.common import partitions, stable, table
 from rillgraph.llm.mixing import mix
 from rillgraph.llm.ngram_join import similarity_components
-from rillgraph.llm.packing import pack
+from rillgraph.llm.packing import pack_in_order
 from rillgraph.llm.pii import pseudonymise
 from rillgraph.llm.toxicity import score
 
@@ -47,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack_in_order(docs)
 
 
 STAGES = [("toxicity", toxicity), ("jaccard", jaccard), ("pii", pii), ("mixing", mixing), ("packing", packing)]

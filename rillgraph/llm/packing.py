@@ -6,7 +6,8 @@ plan needs: every combination of up to three multiples that fills the window exa
 column, non-negative least squares gives how often to use each, the counts are rounded
 down to what there is, and the rest, tails included, is packed greedily, longest first,
 each pattern as often as the histogram allows. Pieces find their places by their rank
-among those of the same length.
+among those of the same length. Input whose order means something (the pipeline's schedule)
+is packed in ranges of consecutive pieces instead, and sequences are numbered in its order.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import running, stable, table, tokenizer_path
@@ -28,6 +29,7 @@ WINDOW, END, SHARES = 4096, 2, 64
 #: What is encoded with its whole text: white space of several bytes, controls that are none, special tokens.
 _ODD = re.compile("<[|]|[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _MEMO = 4_000_000  # words, about 32 bytes each
+REACH = 256  # windows of a range that is packed by itself: about one period of the example schedule
 
 
 class Words:
@@ -131,23 +133,27 @@ def cuts(tokens: int, window: int = WINDOW) -> list[tuple[int, int]]:
     return out + [(s, n) for s, n in ((at, main), (at + main, tokens - at - main)) if n]
 
 
-def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece; a null or empty text has one token, `end`."""
+def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, place: bool = False) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece; a null or empty text has one token, `end`.
+
+    With `place`, the columns _part (string) and _row (long) of docs too.
+    """
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
             rows = []
-            names, texts = (c.to_pylist() for c in batch.columns)
-            for doc_id, ids in zip(names, token_bytes(texts, path), strict=True):
+            names, texts, *own = (c.to_pylist() for c in batch.columns)
+            for doc_id, ids, *at in zip(names, token_bytes(texts, path), *own, strict=True):
                 ids += last
                 n = len(ids) // 4
-                rows += [(doc_id, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n) for s, k in cuts(n, window)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                rows += [(doc_id, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n, *at) for s, k in cuts(n, window)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * (5 + len(own))
+            kinds = [*[pa.int64()] * 5, *[pa.string(), pa.int64()][: len(own)]]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_part", "_row"][: len(columns)])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *["_part", "_row"] * place)
+    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", _part string, _row long" * place)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, sweeps: int = 400) -> np.ndarray:
@@ -226,5 +232,64 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
     return place.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.floor(nth / F.col("k"))).cast("long").alias("sequence_id"), (F.col("at") + F.pmod(nth, F.col("k")) * F.col("length")).cast("long").alias("offset"))
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with (_part, _row), by which its rows have their order: files by name and rows in
+    them where docs is read from Parquet, else partitions and rows in them."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        # Only a bare scan: rows of a plan over one may have been put in another order since.
+        return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_part"), F.col("_metadata.row_index").alias("_row"))
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    return numbered.withColumn("_part", F.lpad(F.shiftright("_row", 33).cast("string"), 10, "0"))
+
+
+def sequences(length: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of pieces in their order: the plan's sequences, each pattern spread
+    over the whole order, equal lengths dealt in order, numbered by the mean place of their tokens."""
+    sizes, counts = np.unique(length, return_counts=True)
+    patterns = plan(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), window)
+    dealt = [p for _, p in sorted(((i + 0.5) / times, p) for p, (_, times) in enumerate(patterns) for i in range(times))]
+    found = np.empty(len(length), np.int64)
+    for n in sizes.tolist():
+        each = np.array([pattern.get(n, 0) for pattern, _ in patterns])[dealt]
+        found[length == n] = np.repeat(np.arange(len(dealt)), each)
+    middle = np.cumsum(length) - length / 2
+    number = np.empty(len(dealt), np.int64)
+    number[np.argsort(np.bincount(found, middle * length) / np.bincount(found, length), kind="stable")] = np.arange(len(dealt))
+    found = number[found]
+    by = np.argsort(found, kind="stable")
+    own, sums = length[by], np.bincount(found, length).astype(np.int64)
+    offset = np.empty(len(length), np.int64)
+    offset[by] = np.cumsum(own) - own - (np.cumsum(sums) - sums)[found[by]]
+    return found, offset
+
+
+def pack_in_order(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END, reach: int = REACH) -> DataFrame:
+    """The columns of pack; sequences follow the order of the rows of docs.
+
+    Every `reach` windows of consecutive tokens are a range, packed by itself, so any prefix of
+    sequence_id holds a prefix of the input to within one range. A range costs at most
+    the padding of its last sequences. No range, whatever the input, is more than reach * window rows.
+    """
+    cut = stable(pieces(placed(docs), path or tokenizer_path(), window, end, True)).withColumn("_slice", F.shiftright("_row", 16))
+    # One row for each part and 65,536 of its rows.
+    slices = cut.groupBy("_part", "_slice").agg(F.sum("length").alias("_n"))
+    before = slices.withColumn("_before", F.sum("_n").over(Window.orderBy("_part", "_slice")) - F.col("_n")).drop("_n")
+    inside = Window.partitionBy("_part", "_slice").orderBy("_row", "start")
+    at = cut.withColumn("_at", F.sum("length").over(inside) - F.col("length")).join(before, ["_part", "_slice"])
+    at = at.withColumn("_at", F.col("_at") + F.col("_before")).withColumn("_range", F.floor(F.col("_at") / F.lit(reach * window)).cast("long"))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def fill(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows["_at"].to_numpy())))
+        found = sequences(rows["length"].to_numpy(), window)
+        return pa.table([*(rows[c] for c in [*columns, "_range"]), *(pa.array(x) for x in found)], names=[*columns, "_range", "_sequence", "offset"])
+
+    packed = stable(at.select(*columns, "_at", "_range").groupBy("_range").applyInArrow(fill, ", ".join(f"{c} long" for c in [*columns, "_range", "_sequence", "offset"])))
+    # One row for each range.
+    many = packed.groupBy("_range").agg((F.max("_sequence") + 1).alias("_n"))
+    base = many.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_base"))
+    return packed.join(F.broadcast(base), "_range").select(*columns, (F.col("_base") + F.col("_sequence")).alias("sequence_id"), "offset")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))

@@ -31,3 +31,26 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in seen["mixing"].collect()} == unique and seen["mixing"].columns == pipeline.COLUMNS
     assert {r.doc_id for r in seen["packing"].collect()} == unique
     assert pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_sequences_follow_the_schedule(spark, tmp_path):
+    import random
+
+    rng = random.Random(12)
+    # Lengths go with sources, so that an order by length would part the sources.
+    of = {"src0": (8, 1500), "src1": (2, 40), "src2": (3, 300)}
+    rows = [(s, words(rng, n)) for s, (shares, n) in of.items() for _ in range(shares * 3 * 65536 // (n * 5))]
+    rows = [(i, t, "en", s, len(t)) for i, (s, t) in enumerate(rows)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = pipeline.mixing(spark, table, "")
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    for ordered in (spark.read.parquet(str(tmp_path / "mixed")), pipeline.stable(mixed)):
+        got = pipeline.packing(spark, ordered, "").toPandas()
+        assert got.groupby("doc_id").length.sum().eq(got.groupby("doc_id").doc_tokens.first()).all() and len(set(got.doc_id)) == len(rows)
+        for _, s in got.sort_values("offset").groupby("sequence_id"):
+            assert s.offset.tolist() == [0, *s.length.cumsum()[:-1]] and s.length.sum() <= 4096
+        got["source"] = [rows[i][3] for i in got.doc_id]
+        for part in (0.2, 0.4, 0.6, 0.8):
+            head = got[got.sequence_id < part * (got.sequence_id.max() + 1)]
+            shares = head.groupby("source").length.sum() / head.length.sum()
+            assert all(abs(shares.get(s, 0) - of[s][0] / 13) < 0.08 for s in of), (part, shares)
