@@ -21,7 +21,11 @@ DATE = r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = "|".join([EMAIL, IPV4, DATE, PHONE, SSN, CARD])
+#: Groups of digits, 13 digits or more, up to where another value starts; the cards among them are found by `_cards`.
+RUN = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{EMAIL}|{IPV4}|{DATE}|{PHONE}|{SSN})[0-9]++)*+"
+ANY = "|".join([EMAIL, IPV4, DATE, PHONE, SSN, RUN])
+#: How cards are written: in one group, or in the groups that issuers print.
+GROUPED = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}|[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{3}){3})$"
 KINDS = ("email", "ip", "date", "phone", "ssn", "card")
 
 
@@ -161,11 +165,51 @@ def kind_of(m: Column) -> Column:
         .when(whole(DATE), F.when(_day(m).isNotNull(), "date").otherwise(""))
         .when(whole(PHONE), "phone")
         .when(whole(SSN), F.when(~area.isin("000", "666") & ~area.startswith("9"), "ssn").otherwise(""))
-        .when(_is_card(m), "card")
         .otherwise("")
     )
 
 
+def _cards(m: Column) -> Column:
+    """The segments (m, k) of a run of groups of digits, in order; together they are the run.
+
+    At every group, a card in the groups that issuers print comes first, the shortest if there
+    are several; what is left between such cards is a card if its first up to 19 digits
+    are one in whatever groups, and so on behind them.
+    """
+    segment = lambda x, k: F.struct(x.alias("m"), F.lit(k).alias("k"))
+    none = F.array().cast("array<struct<m:string,k:string>>")
+
+    def tries(groups: Column) -> Column:
+        """Each group g, its number i, and the card c (with `own`, its separator behind, and n groups) that starts there, or null."""
+        own = lambda i: F.transform(F.array(*[F.lit(n) for n in (1, 3, 4, 5)]), lambda n: F.struct(F.array_join(F.slice(groups, i + 1, n), "").alias("own"), n.alias("n")))
+        bare = lambda c: F.rtrim(c.own, F.lit(" -"))
+        return F.transform(groups, lambda g, i: F.struct(g.alias("g"), i.alias("i"), F.get(F.filter(own(i), lambda c: bare(c).rlike(GROUPED) & _is_card(bare(c))), 0).alias("c")))
+
+    # As an element of an array the groups are computed once, not at every use.
+    starts = F.get(F.transform(F.array(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0))), tries), 0)
+
+    def step(s: Column, x: Column) -> Column:
+        # `rest` is the text behind the last card, from its separator on.
+        card = F.rtrim(x.c.own, F.lit(" -"))
+        taken = F.concat(s.out, F.array(segment(s.rest, ""), segment(card, "card")))
+        new = F.when(x.i < s.next, s).when(x.c.isNotNull(), F.struct(taken.alias("out"), F.substring(x.c.own, F.length(card) + 1, F.lit(1)).alias("rest"), (x.i + x.c.n).alias("next")))
+        return new.otherwise(F.struct(s.out.alias("out"), F.concat(s.rest, x.g).alias("rest"), s.next.alias("next")))
+
+    start = F.struct(none.alias("out"), F.lit("").alias("rest"), F.lit(0).alias("next"))
+    parts = F.aggregate(starts, start, step, lambda s: F.concat(s.out, F.array(segment(s.rest, ""))))
+
+    def odd(x: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(x.m, F.lit(CARD), F.lit(0)), lambda c: F.struct(c.alias("m"), F.when(_is_card(c), "card").otherwise("").alias("k")))
+        return F.flatten(F.zip_with(F.split(x.m, CARD, -1), found, lambda b, f: F.when(f.isNull(), F.array(segment(b, ""))).otherwise(F.array(segment(b, ""), f))))
+
+    return F.flatten(F.transform(parts, lambda x: F.when(x.k == "card", F.array(x)).otherwise(odd(x))))
+
+
+def segments(m: Column) -> Column:
+    """The segments (m, k) of a match of ANY: one, or those of a run."""
+    return F.when(m.rlike("^[0-9 -]+$") & ~m.rlike(f"^(?:{DATE}|{PHONE}|{SSN})$"), _cards(m)).otherwise(F.array(F.struct(m.alias("m"), kind_of(m).alias("k"))))
+
+
 def pseudonym(key: Column, kind: Column, m: Column) -> Column:
     return F.when(kind == "email", _email(key, m)).when(kind == "ip", _ip(key, m)).when(kind == "date", _date(key, m)).when(kind == "phone", _phone(key, m)).when(kind == "ssn", _fill(m, _permute_digits(key, "ssn", _digits(m)))).when(kind == "card", _card(key, m)).otherwise(m)
 
@@ -182,12 +226,12 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "rillgraph-
     quoted = [F.col(f"`{c}`") for c in columns]
     text = F.col(f"`{text_col}`").cast("string")
     found = docs.select(*quoted, text.alias("__pii_text"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("__pii_found"))
-    kinds = F.transform("__pii_found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
-    found = found.withColumn("__pii_found", F.when(F.size("__pii_found") > 0, kinds).otherwise(F.array().cast("array<struct<m:string,k:string>>")))
-    new = F.transform("__pii_found", lambda x: pseudonym(secret, x.k, x.m))
+    kinds = F.transform("__pii_found", segments)
+    found = found.withColumn("__pii_found", F.when(F.size("__pii_found") > 0, kinds).otherwise(F.array().cast("array<array<struct<m:string,k:string>>>")))
+    new = F.transform("__pii_found", lambda found: F.array_join(F.transform(found, lambda x: pseudonym(secret, x.k, x.m)), ""))
     mixed = F.array_join(F.zip_with(F.split("__pii_text", ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     text = F.when(F.size("__pii_found") > 0, mixed).otherwise(F.col("__pii_text")).alias(out)
-    of = lambda k: F.size(F.filter("__pii_found", lambda x: x.k == k)).cast("long").alias(f"n_{k}")
+    of = lambda k: F.size(F.filter(F.flatten("__pii_found"), lambda x: x.k == k)).cast("long").alias(f"n_{k}")
     numbers = [of(k) for k in KINDS] if counts else []
     return found.select(*quoted, text, *numbers).select(*[F.col(f"`{c}`") for c in docs.columns if c in columns or c == out], *([] if out in docs.columns else [out]), *([f"n_{k}" for k in KINDS] if counts else []))
 

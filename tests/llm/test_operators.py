@@ -378,3 +378,31 @@ def test_columns_of_clashing_names_do_no_harm(spark):
     assert chat.perspectives(turns).count() == 1
     vectors = spark.createDataFrame([(1, [1.0, 2.0], 0, "q"), (2, [1.0, 2.0], 0, "q")], "vec_id long, embedding array<float>, label int, name string")
     assert [r.n_links for r in embedding_dedup.near_groups(vectors).collect()] == [1, 1]
+
+
+def test_pii_beside_foreign_digits(spark):
+    card, phone, ssn = "4111111111111111", "555-123-4567", "123-45-6789"
+    alone = {r.doc_id: r.text for r in pii.pseudonymise(docs(spark, [card, "4111 1111 1111 1111", phone, ssn, "3782 822463 10005", "2020-01-31", "10.1.2.3", "42ann@x.org"])).collect()}
+    new, grouped, other, number, amex, day, ip, mail = (alone[i] for i in range(8))
+    want = {
+        "4111 1111 1111 1111 12/25": f"{grouped} 12/25",
+        f"{card} 123": f"{new} 123",
+        f"{card}-123": f"{new}-123",
+        f"CA 90210 {phone}": f"CA 90210 {other}",
+        f"Room 123 {phone}": f"Room 123 {other}",
+        f"pay 42 {card}": f"pay 42 {new}",
+        "1234 4111 1111 1111 1111 7": f"1234 {grouped} 7",
+        f"{card} {card} 4111 1111 1111 1111": f"{new} {new} {grouped}",
+        f"7 {card} {ssn} 9 {phone} 2": f"7 {new} {number} 9 {other} 2",
+        f"12 3782 822463 10005 {card} 2020-01-31": f"12 {amex} {new} {day}",
+        f"{card} 10.1.2.3": f"{new} {ip}",
+        f"{card} 42ann@x.org": f"{new} {mail}",
+        "1 2 " * 5000: "1 2 " * 5000,
+        f"4111111111111112 {card}.": f"4111111111111112 {new}.",
+    }
+    got = pii.pseudonymise(docs(spark, list(want))).orderBy("doc_id").collect()
+    assert [r.text for r in got] == list(want.values())
+    assert [r.n_card for r in got] == [1, 1, 1, 0, 0, 1, 1, 3, 1, 2, 1, 1, 0, 1]
+    # Other groups than issuers print, as long as nothing foreign is beside them.
+    odd = pii.pseudonymise(docs(spark, ["41 1111 1111 111111, 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1"])).first()
+    assert odd.n_card == 2 and re.sub(r"\D", "", odd.text) == 2 * new
