@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import route_id, slot_text
@@ -15,7 +17,7 @@ from ..sources.adapters import relation, with_sql
 RULES = [("sources", 0, "signup", "src.Signup", None, "return"), ("sinks", 0, "purchase", "db.Purchase", None, "any"), ("sanitizers", 0, "clean", "san.Clean", None, "any")]
 
 
-def program(spark, sf_dir) -> Program:
+def program(spark, sf_dir, targets="flow_targets") -> Program:
     none = F.array().cast("array<int>")
     function = relation(spark, sf_dir, "flow_functions").select("iid", "fqn", "repo", F.lit(True).alias("has_flow"), none.alias("source_params"))
     v = relation(spark, sf_dir, "flow_vertices")
@@ -24,7 +26,7 @@ def program(spark, sf_dir) -> Program:
     calls = relation(spark, sf_dir, "flow_calls")
     one = F.lit(1).cast("bigint")
     callsite = calls.select("fn", "cs", F.lit(0).alias("kind"), "callee_fqn", one.alias("argc"), one.alias("resultc"), F.lit(False).alias("recv"), "dispatch_confidence", F.lit(0).alias("stream_op"), F.lit(False).alias("stream_client"), F.lit(0).cast("bigint").alias("error_results"))
-    t = relation(spark, sf_dir, "flow_targets")
+    t = relation(spark, sf_dir, targets)
     target = t.select(F.concat(F.lit("U"), "user_id").alias("fn"), F.col("cs").cast("int").alias("cs"), F.concat(F.lit("U"), "target").alias("callee"))
     return Program(function, vertex, relation(spark, sf_dir, "flow_edges"), callsite, target)
 
@@ -33,22 +35,22 @@ def _rules(spark):
     return spark.createDataFrame(RULES, po.SCHEMA)
 
 
-def _result(spark, sf_dir, **options):
-    p = program(spark, sf_dir)
+def _result(spark, sf_dir, targets="flow_targets", **options):
+    p = program(spark, sf_dir, targets)
     return p, analyse(p, _rules(spark), Options(**options))
 
 
-def leaf_sites(spark, sf_dir):
-    return static_facts(program(spark, sf_dir), _rules(spark), Options(), False).leaf_sites.select("fn", F.col("cs").cast("long").alias("cs"))
+def leaf_sites(spark, sf_dir, targets="flow_targets"):
+    return static_facts(program(spark, sf_dir, targets), _rules(spark), Options(), False).leaf_sites.select("fn", F.col("cs").cast("long").alias("cs"))
 
 
-def static_edges(spark, sf_dir):
-    e = static_facts(program(spark, sf_dir), _rules(spark), Options(), False).edges
+def static_edges(spark, sf_dir, targets="flow_targets"):
+    e = static_facts(program(spark, sf_dir, targets), _rules(spark), Options(), False).edges
     return e.select("fn", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "call")
 
 
-def facts_ports(spark, sf_dir):
-    i = static_facts(program(spark, sf_dir), _rules(spark), Options(), False).inputs
+def facts_ports(spark, sf_dir, targets="flow_targets"):
+    i = static_facts(program(spark, sf_dir, targets), _rules(spark), Options(), False).inputs
     return i.select("fn", F.col("vid").cast("long").alias("vid"), F.col("cs").cast("long").alias("cs"), "callee", "slot")
 
 
@@ -57,52 +59,52 @@ def facts_seeds(spark, sf_dir):
     return s.select("fn", "seed", F.col("vid").cast("long").alias("vid"))
 
 
-def summary_flows(spark, sf_dir):
-    f = _result(spark, sf_dir)[1].flows
+def summary_flows(spark, sf_dir, targets="flow_targets"):
+    f = _result(spark, sf_dir, targets)[1].flows
     return f.select("fn", slot_text(F.col("in_slot"), F.col("in_path")).alias("in_slot"), slot_text(F.col("out_slot"), F.col("out_path")).alias("out_slot"))
 
 
-def summary_sinks(spark, sf_dir):
-    h = _result(spark, sf_dir)[1].hits
+def summary_sinks(spark, sf_dir, targets="flow_targets"):
+    h = _result(spark, sf_dir, targets)[1].hits
     return h.select("fn", "in_slot", "class", F.col("cs").cast("long").alias("cs"), "term_fn", F.col("term_cs").cast("long").alias("term_cs"))
 
 
-def chains(spark, sf_dir):
-    p, r = _result(spark, sf_dir)
+def chains(spark, sf_dir, targets="flow_targets"):
+    p, r = _result(spark, sf_dir, targets)
     return ch.chains(r, p).select("repo", "fn", "class", F.col("cs").cast("long").alias("cs"), "term_fn", F.col("term_cs").cast("long").alias("term_cs"))
 
 
-def chain_by_class(spark, sf_dir):
-    p, r = _result(spark, sf_dir)
+def chain_by_class(spark, sf_dir, targets="flow_targets"):
+    p, r = _result(spark, sf_dir, targets)
     return ch.by_class(ch.chains(r, p))
 
 
-def routes(spark, sf_dir):
-    p, r = _result(spark, sf_dir)
+def routes(spark, sf_dir, targets="flow_targets"):
+    p, r = _result(spark, sf_dir, targets)
     return ch.routes(r, p).withColumn("hops", F.array_join("hops", ">"))
 
 
-def views_merged(spark, sf_dir):
+def views_merged(spark, sf_dir, targets="flow_targets"):
     """Flows of two contracts, each bound by all functions of a repository, seen through the contract's shape."""
-    p, r = _result(spark, sf_dir)
+    p, r = _result(spark, sf_dir, targets)
     shape = p.function.where("repo in ('r1', 'r2')").select(F.concat(F.lit("K"), "repo").alias("iid"), F.col("iid").alias("handler"), F.when(F.col("repo") == "r1", 1).otherwise(2).alias("kind"), F.lit(False).alias("client_streaming"), F.lit(False).alias("server_streaming"), F.array(F.lit(3), F.lit(0)).alias("gql_param_idx"), F.array(F.lit(0)).alias("request_params"))
     return viewed_flows(r.flows, shape).select("fn", "in_slot", "out_slot")
 
 
-def impact_chains(spark, sf_dir):
+def impact_chains(spark, sf_dir, targets="flow_targets"):
     """Chains that start or end in a changed function."""
-    found = chains(spark, sf_dir)
+    found = chains(spark, sf_dir, targets)
     return store.impact(found, relation(spark, sf_dir, "flow_changed")).select(*found.columns, "via_change")
 
 
-def backward_verdicts(spark, sf_dir):
-    p, r = _result(spark, sf_dir)
+def backward_verdicts(spark, sf_dir, targets="flow_targets"):
+    p, r = _result(spark, sf_dir, targets)
     out = backward.confirm(ch.chains(r, p), r, p)
     return out.select("fn", F.col("cs").cast("long").alias("cs"), "term_fn", F.col("term_cs").cast("long").alias("term_cs"), "verdict")
 
 
-def backward_stats(spark, sf_dir):
-    p, r = _result(spark, sf_dir)
+def backward_stats(spark, sf_dir, targets="flow_targets"):
+    p, r = _result(spark, sf_dir, targets)
     return backward.stats(backward.confirm(ch.chains(r, p), r, p)).select("verdict", "n")
 
 
@@ -147,7 +149,9 @@ def _route_sql() -> str:
 
 
 _F = (leaf_sites, static_edges, facts_ports, facts_seeds, summary_flows, summary_sinks, chains, chain_by_class, routes, views_merged, impact_chains, backward_verdicts, backward_stats, route_ids)
-QUERIES = {f.__name__: f for f in _F}
+#: What follows calls, over all of them: calls may be nested as deep as there are users.
+_WHOLE = (leaf_sites, static_edges, facts_ports, summary_flows, summary_sinks, chains, chain_by_class, routes, views_merged, impact_chains, backward_verdicts, backward_stats)
+QUERIES = {f.__name__: f for f in _F} | {f"{f.__name__}_whole": partial(f, targets="flow_targets_whole") for f in _WHOLE}
 ORACLE_SQL = {
     "leaf_sites": with_sql(_STATIC, "SELECT 'U' || s.user_id AS fn, CAST(s.cs AS BIGINT) AS cs FROM flow_sites s LEFT JOIN flow_targets t ON t.user_id = s.user_id AND t.cs = s.cs WHERE t.target IS NULL"),
     "static_edges": with_sql(_STATIC, "SELECT fn, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, false AS call FROM flow_edges UNION ALL SELECT 'U' || s.user_id, CAST(2 + 2 * s.cs AS BIGINT), CAST(3 + 2 * s.cs AS BIGINT), true FROM flow_sites s LEFT JOIN flow_targets t ON t.user_id = s.user_id AND t.cs = s.cs WHERE t.target IS NULL AND event_type <> 'error'"),

@@ -41,6 +41,10 @@ SQL: dict[str, str] = {
     "flow_targets": """
         SELECT s.user_id, s.cs, s.user_id - 1 AS target FROM flow_sites s
         WHERE s.event_type = 'click' AND s.user_id % 4 > 0 AND s.user_id - 1 IN (SELECT user_id FROM events)""",
+    # The same without the cut of call depth that the levels of the queries' SQL need.
+    "flow_targets_whole": """
+        SELECT s.user_id, s.cs, s.user_id - 1 AS target FROM flow_sites s
+        WHERE s.event_type = 'click' AND s.user_id - 1 IN (SELECT user_id FROM events)""",
     "flow_functions": """
         SELECT DISTINCT 'U' || user_id AS iid, 'app.U' || user_id AS fqn, 'r' || (user_id % 5) AS repo FROM events""",
     "flow_vertices": """
@@ -97,7 +101,7 @@ SQL: dict[str, str] = {
 }
 #: What each relation is made of, other relations first.
 NEEDS = {
-    **{n: ["flow_sites"] for n in ("flow_targets", "flow_vertices", "flow_edges", "flow_calls", "flow_changed", "flow_hops")}, 
+    **{n: ["flow_sites"] for n in ("flow_targets", "flow_targets_whole", "flow_vertices", "flow_edges", "flow_calls", "flow_changed", "flow_hops")}, 
     "http_routes": ["http_parts"],
     "http_clients": ["http_parts"],
 }

@@ -187,3 +187,39 @@ def test_chains_and_routes(spark):
     assert [(c.fn, c["class"], c.cs, c.term_fn, c.term_cs) for c in found] == [("S", "sqli", 1, "L", 0)]
     route = chains.routes(r, program).collect()
     assert [(x.hops, x.confidence) for x in route] == [(["S#1#M", "M#0#L", "L#0#db.Exec"], 0.5)]
+
+
+def test_whole_queries_follow_calls_of_any_depth(spark, tmp_path):
+    import random
+
+    from rillgraph.queries import taint as queries
+
+    rng = random.Random(3)
+    sites = {u: rng.choices(["signup", "click", "view", "purchase", "error"], [2, 5, 2, 3, 0.3], k=5) for u in range(1, 9)}
+    sites |= {u: ["signup", "click", "purchase"] for u in range(2, 8)}
+    rows = [(100 * u + i, u, e, i) for u, own in sites.items() for i, e in enumerate(own)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts long").write.parquet(str(tmp_path / "events.parquet"))
+    passes, flows, sinks = {}, set(), set()
+    reached = {0: set()}  # the sinks that each user's parameter reaches: (site, user, site there)
+    for u, own in sorted(sites.items()):
+        calls = [e == "click" and u - 1 in sites for e in own]
+        stops = [e == "error" or (c and not passes[u - 1]) for e, c in zip(own, calls, strict=True)]
+        passes[u] = not any(stops)
+        reached[u] = set()
+        for slot, tainted in (("param_0", True), ("source", False)):
+            for i, e in enumerate(own):
+                found = {(i, u, i)} if e == "purchase" else {(i, *x[1:]) for x in reached[u - 1]} if calls[i] else set()
+                if tainted:
+                    sinks |= {(f"U{u}", slot, a, f"U{b}", c) for a, b, c in found}
+                    if slot == "param_0":
+                        reached[u] |= found
+                tainted = (tainted and not stops[i]) or (slot == "source" and e == "signup")
+            if tainted:
+                flows.add((f"U{u}", slot, "return_0"))
+    want = {(f, a, b, c) for f, slot, a, b, c in sinks if slot == "source"}
+    assert max(int(f[1:]) - int(b[1:]) for f, _, b, _ in want) > 4
+    assert all(q.keywords == {"targets": "flow_targets_whole"} for name, q in queries.QUERIES.items() if name.endswith("_whole"))
+    p, r = queries._result(spark, str(tmp_path), "flow_targets_whole")
+    assert {tuple(x) for x in r.flows.select("fn", slot_text(F.col("in_slot"), F.col("in_path")), slot_text(F.col("out_slot"), F.col("out_path"))).collect()} == flows
+    assert {tuple(x) for x in r.hits.select("fn", "in_slot", "cs", "term_fn", "term_cs").collect()} == sinks
+    assert {tuple(x) for x in chains.chains(r, p).select("fn", "cs", "term_fn", "term_cs").collect()} == want
