@@ -73,7 +73,7 @@ def cg_blast_endpoints(spark, sf_dir):
 
 def cg_paths(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    out = cg.paths(edges, nodes, "part.red.widget", "cust.BUILDING", limit=20, max_depth=4)
+    out = cg.paths(edges, nodes, "part.red.widget", "cust.BUILDING", limit=20)
     return out.select(F.array_join("path", ">").alias("path"), "length")
 
 
