@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import components, stable, written
 
-__all__ = ["bitmap", "bounded_batches", "components", "lean", "partitions", "running", "stable", "table", "tokenizer_path", "written"]
+__all__ = ["among", "bitmap", "bounded_batches", "components", "freed", "lean", "partitions", "running", "sorted_groups", "stable", "table", "tokenizer_path", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,13 +62,15 @@ def running(df: DataFrame, group: list[str], order: list[str], size: str, out: s
     return part.join(shift, keys).withColumn(out, F.col("__run_part") + F.col("__run_shift")).drop("__run_slice", "__run_part", "__run_shift")
 
 
-def bitmap(ids: DataFrame, column: str, bits: int = 1 << 23) -> bytes:
-    """A fixed-size filter: bit pmod(xxhash64(id), bits) is set for every id.
+def bitmap(ids: DataFrame, column: str, most: int = 1 << 29) -> bytes:
+    """A filter of the 64-bit hashes in `column`: bit pmod(hash, bits) is set for every one.
 
-    At most bits/8 bytes (1 MB) whatever the input; it lets a scan drop most rows that a
-    later exact join would drop, and never one that the join needs.
+    16 bits for each row of ids, but `most` at most (64 MB, whatever the input); beyond, it only
+    drops less. It lets a scan drop most rows that a later exact join would drop, and never
+    one that the join needs.
     """
-    slot = F.pmod(F.xxhash64(column), F.lit(bits))
+    bits = min(most, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
+    slot = F.pmod(F.col(column), F.lit(bits))
     rows = ids.select((slot / 32768).cast("long").alias("k"), F.pmod(slot, F.lit(32768)).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("b")).collect()
     out = bytearray(bits // 8)
     for k, b in rows:
@@ -74,6 +78,41 @@ def bitmap(ids: DataFrame, column: str, bits: int = 1 << 23) -> bytes:
     return bytes(out)
 
 
+def among(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes may be in the filter."""
+    mask = np.frombuffer(bits, np.uint8)
+    slot = hashes % (len(mask) * 8)
+    return (mask[slot >> 3] >> (slot & 7)) & 1 == 1
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups of equal first column in batches that are sorted by it, each as one table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if held and held[0].column(0)[0].as_py() != key[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            held.append(batch.slice(a, b - a))
+            if b < len(key):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of frames that nothing refers to any more.
+
+    They otherwise stay until the driver's JVM happens to collect its garbage, which on a large heap is long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     try:
         import public_tokenizers

@@ -1,22 +1,23 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles are alike, exactly.
 
-The space is the metric d(x, y) = 1 - |x & y| / |x | y| over sets of shingles. Almost all
-texts of a corpus lie at distance 1 from each other, so documents alone make useless first
-pivots: every window would hold everything. The first level of pivots are therefore the
-one-shingle sets {s}. d(x, {s}) is 1 - 1/|x| for s in x and 1 else, so the cells nearest to
-x are those of its own shingles, and a fixed order of shingles breaks the ties. Two sets
-within distance r share at least (1 - r) |x| of x's shingles, so the cell nearest to y is
-among the first |x| - ceil((1 - r) |x|) + 1 of x: that is x's window, and x is replicated
-to just those cells. Every linked pair meets in a cell.
-
-The order puts shingles that many texts hold last (a bounded table of the commonest, any
-table gives the same result), so common passages make no large cells. Texts made of little
-else than common shingles are the groups of near copies. Their cells are joined again, as
-second-level regions: each cell's smallest member is its pivot, cells that share members
-are one region, and the pivot of the rings inside a region is the empty set, from which the
-distance of x grows with |x|. Linked sets lie in the same ring or in two that touch, so a
-region's ring takes its own members and a copy of those of the next. Rings that are still
-large are joined block by block, and each block gives only the edges of its components.
+The space is the metric d(x, y) = 1 - |x & y| / |x | y| over sets of shingles; linked sets are
+within r = 1 - similarity. Almost all texts of a corpus lie at distance 1 from each other, where
+no pivot tells them apart. So the space is first cut into candidate regions that no link leaves:
+
+ 1. Two linked sets share at least (1 - r) |x| of x's shingles. Whatever the order of shingles,
+    the first of them that they share is among the first |x| - ceil((1 - r) |x|) + 1 of either:
+    each set enters the cells of those shingles, and every linked pair meets in a cell. The order puts
+    shingles that many texts hold last. A cell of at most 32 sets gives the pairs that sizes and
+    counts of shared cells still admit; a larger one joins all its sets. Regions are the components.
+ 2. A region that fits a task is compared there, with whole sets.
+ 3. A larger one is parted by pivots, documents of its own: each document is at home with the
+    nearest. If d(x, y) <= r and x is at home with p, then d(y, p) <= d(x, p) + r <= d(x, q) + r <=
+    d(y, q) + 2r for y's own nearest pivot q: so y is replicated into p's region if it is within that
+    window. Documents within r of a pivot are linked by that; in its region they are
+    compared only with those that are not, as far as the distances to the pivot differ by at
+    most r. The regions are joined in the same way, until they fit.
+ 4. A region whose windows hold nearly all of it (equidistant sets) is compared block by block;
+    each block gives only the edges of its components.
 
 Sets that are equal are one class and compared once. Compared means with the whole sets.
 """
@@ -24,15 +25,18 @@ Sets that are equal are one class and compared once. Compared means with the who
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, partitions, stable
+from .common import among, bitmap, bounded_batches, components, freed, lean, partitions, sorted_groups, stable, table, written
 
 WORDS, PERCENT = 5, 80
+PIVOTS = 8  # of a region at each level
+EPS = 1e-9
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -117,68 +121,55 @@ def _prefix(s: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray
     size = n - (percent * n + 99) // 100 + 1
     if not len(common):
         return s[:size], 0
-    at = np.searchsorted(common, s)
-    hot = common[np.minimum(at, len(common) - 1)] == s
+    hot = _is_common(s, common)
     cold = s[~hot]
     if len(cold) >= size:
         return cold[:size], 0
     return np.concatenate((cold, s[hot][: size - len(cold)])), size - len(cold)
 
 
-def _common_shingles(texts: DataFrame, words: int, least: int, most: int) -> np.ndarray:
-    """At most `most` shingles that at least `least` distinct sets hold, by the counts of those
-    that a partition of the input meets more than once. Only the order of cells depends on it."""
+def _is_common(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
 
-    def counted(batches):
+
+def _members(texts: DataFrame, words: int) -> DataFrame:
+    """Rows (doc_id, c, n) of every document: its class and set size; and rows (s, k): shingles that k > 1 of
+    some thousand neighbouring distinct sets hold."""
+
+    def read(batches):
         seen: set[int] = set()
         parts: list[np.ndarray] = []
-        total: dict[int, int] = {}
+        size = 0
 
-        def flush():
-            nonlocal parts
-            if parts:
-                values, n = np.unique(np.concatenate(parts), return_counts=True)
-                for v, k in zip(values[n > 1].tolist(), n[n > 1].tolist(), strict=True):
-                    total[v] = total.get(v, 0) + k
-            parts = []
+        def counted():
+            values, n = np.unique(np.concatenate(parts), return_counts=True)
+            values, n = values[n > 1].view(np.int64), n[n > 1]
+            none = pa.nulls(len(n), pa.int64())
+            return pa.record_batch([none, none, none, pa.array(values), pa.array(n.astype(np.int64))], names=names)
 
-        size = 0
-        for _, sets, classes in _sets(batches, words):
+        names = ["doc_id", "c", "n", "s", "k"]
+        for ids, sets, classes in _sets(batches, words):
+            none = pa.nulls(len(ids), pa.int64())
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, none], names=names)
             for s, c in zip(sets, classes, strict=True):
                 if c and c not in seen:
                     seen.add(c)
                     parts.append(s)
                     size += len(s)
-            if size > 1 << 22:
-                flush()
-                size = 0
-        flush()
-        keys = np.fromiter(total, np.uint64, len(total)).view(np.int64)
-        counts = np.fromiter(total.values(), np.int64, len(total))
-        for i in range(0, len(keys), 1 << 16):
-            yield pa.record_batch([pa.array(keys[i : i + (1 << 16)]), pa.array(counts[i : i + (1 << 16)])], names=["s", "n"])
+            if size > 1 << 21:
+                yield counted()
+                parts, size = [], 0
+        if parts:
+            yield counted()
 
-    rows = texts.mapInArrow(counted, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "s").limit(most).collect()
-    return np.sort(np.array([r.s for r in rows], np.int64).view(np.uint64))
+    return texts.mapInArrow(lean(read), "doc_id long, c long, n long, s long, k long")
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, common_at: int = 32, common_most: int = 1 << 17, block: int = 1 << 19) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id.
-
-    component_id is the smallest doc_id that links of similarity >= percent/100 reach. Null
-    and empty texts and those without words have no shingles, link with nothing and are
-    their own component (class_id null). Rows that repeat a doc_id each get a row; a null
-    doc_id links as any other and a component of such rows alone has a null id. Other
-    columns are not read. `common_at` and `common_most` set which cells are put last and
-    `block` how many shingles a task of the second level holds; none changes the result.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    common = _common_shingles(texts, words, common_at, common_most)
-    sent = spark.sparkContext.broadcast(common)
-    buckets = partitions(spark)
+def _entries(texts: DataFrame, common: np.ndarray, words: int, percent: int, buckets: int) -> DataFrame:
+    """(b, blob): the entries (cell, class, size and number of common cells) of all classes for the cells
+    of their windows, packed by bucket. A common cell is spread over 64 buckets."""
+    sent = texts.sparkSession.sparkContext.broadcast(common)
 
-    # Each text's class, and its entries for the cells of its window, packed by bucket.
     def entered(batches):
         common = sent.value
         seen: set[int] = set()
@@ -188,18 +179,15 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
         def packed():
             cell, row = np.concatenate(cells), np.concatenate(rows)
-            where = (cell % np.uint64(buckets)).astype(np.int64)
+            salt = np.where(_is_common(cell, common), row[:, 0] & 63, 0).view(np.uint64)
+            where = (_mix(cell + salt * _P) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-            blobs = [np.rec.fromarrays([cell[o], row[o, 0], row[o, 1]], names="s,c,m").tobytes() for b in range(buckets) if len(o := order[cuts[b] : cuts[b + 1]])]
             keys = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            none = [None] * len(keys)
-            return pa.record_batch([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=names)
+            blobs = [np.rec.fromarrays([cell[o], row[o, 0], row[o, 1]], names="s,c,m").tobytes() for b in keys for o in [order[cuts[b] : cuts[b + 1]]]]
+            return pa.record_batch([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["b", "blob"])
 
-        names = ["doc_id", "c", "n", "b", "blob"]
-        for ids, sets, classes in _sets(batches, words):
-            none = [None] * len(ids)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary())], names=names)
+        for _, sets, classes in _sets(batches, words):
             for s, c in zip(sets, classes, strict=True):
                 if c and c not in seen:
                     seen.add(c)
@@ -207,160 +195,167 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     cells.append(window)
                     rows.append(np.tile(np.array([[c, len(s) << 32 | hot]], np.int64), (len(window), 1)))
                     held += len(window)
-            if held > 1 << 21:
+            if held > 1 << 20:
                 yield packed()
                 cells, rows, held = [], [], 0
         if held:
             yield packed()
 
-    placed = texts.mapInArrow(entered, "doc_id long, c long, n long, b long, blob binary")
+    return texts.mapInArrow(lean(entered), "b long, blob binary")
+
+
+def _cells(entries: DataFrame, common: np.ndarray, percent: int, most: int = 32) -> DataFrame:
+    """(a, z, ma, mz, k). Of a cell of at most `most` classes: the pairs whose sizes admit a link, with
+    the number of cells that they share here. Of a larger one, with k = 0: each class beside
+    the cell's smallest, or, if the cell is spread, beside the smallest here, and that one beside the cell itself."""
+    sent = entries.sparkSession.sparkContext.broadcast(common)
+    kind = np.dtype([("s", np.uint64), ("c", np.int64), ("m", np.int64)])
 
-    # Cells of rare shingles: every pair whose sizes admit a link, with how many cells it shares.
-    # Cells of common shingles: their entries, for the second level.
     def met(batches):
-        kept: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kept.setdefault(b, []).append(blob)
         common = sent.value
-        kind = np.dtype([("s", np.uint64), ("c", np.int64), ("m", np.int64)])
-        for b in list(kept):
-            e = np.frombuffer(b"".join(kept.pop(b)), kind)
-            if len(common):
-                at = np.searchsorted(common, e["s"])
-                hot = common[np.minimum(at, len(common) - 1)] == e["s"]
-            else:
-                hot = np.zeros(len(e), bool)
-            h = np.unique(e[hot])
-            for i in range(0, len(h), 1 << 16):
-                x = h[i : i + (1 << 16)]
-                yield _pairs(x["c"], np.zeros(len(x), np.int64), x["m"], x["s"].view(np.int64), np.ones(len(x), bool))
-            e = e[~hot]
+        for group in sorted_groups(batches):
+            e = np.frombuffer(b"".join(group.column(1).to_pylist()), kind)
             e = e[np.lexsort((e["c"], e["s"]))]
-            e = e[np.concatenate(([True], (e["s"][1:] != e["s"][:-1]) | (e["c"][1:] != e["c"][:-1])))] if len(e) else e
-            cut = np.flatnonzero(np.concatenate(([True], e["s"][1:] != e["s"][:-1], [True]))) if len(e) else np.zeros(1, int)
+            e = e[np.concatenate(([True], (e["s"][1:] != e["s"][:-1]) | (e["c"][1:] != e["c"][:-1])))]
+            new = np.concatenate(([True], e["s"][1:] != e["s"][:-1]))
+            cut = np.flatnonzero(np.concatenate((new, [True])))
             sizes = np.diff(cut)
+            spread = _is_common(e["s"][cut[:-1]], common)
+            large = spread | (sizes > most)
+            if large.any():
+                cell = np.cumsum(new) - 1
+                pivot = e["c"][cut[:-1]]  # the smallest of the cell
+                own = large[cell]
+                stars = np.stack((e["c"][own], pivot[cell[own]]))
+                stars = np.concatenate((stars, np.stack((pivot[spread], e["s"][cut[:-1]][spread].view(np.int64)))), axis=1)
+                yield from _told([np.concatenate((stars, np.zeros_like(stars)))], stars=True)
             found: list[np.ndarray] = []
             held = 0
             n = e["m"] >> 32
-            for m in np.unique(sizes[sizes > 1]).tolist():
-                at = cut[:-1][sizes == m]
+            for m in np.unique(sizes[~large & (sizes > 1)]).tolist():
+                at = cut[:-1][~large & (sizes == m)]
                 for k in range(1, m):  # the pairs (j, j + k) of all cells of m entries at once
                     for j in range(m - k):
                         x, y = at + j, at + j + k
                         ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
                         found.append(np.stack((e["c"][x[ok]], e["c"][y[ok]], e["m"][x[ok]], e["m"][y[ok]])))
                         held += int(ok.sum())
-                    if held > 1 << 20:
+                    if held > 1 << 19:
                         yield from _told(found)
                         found, held = [], 0
             yield from _told(found)
 
-    cells = placed.where("b is not null").select("b", "blob").repartition(buckets, "b").mapInArrow(met, "a long, z long, ma long, mz long, k long, hot boolean")
-    cells = stable(cells)
-    size = lambda c: F.shiftright(c, 32)
-    # Shared shingles are at most those counted, the common ones and those past either window.
-    past = lambda c: F.ceil(size(c) * percent / 100) - 1 + c.bitwiseAND(F.lit(0xFFFFFFFF))
-    rare = cells.where("not hot").groupBy("a", "z", "ma", "mz").agg(F.sum("k").alias("k"))
-    need = F.ceil(percent * (size(F.col("ma")) + size(F.col("mz"))) / (100 + percent) - 1e-6)
-    rare = rare.where(F.col("k") + F.greatest(past(F.col("ma")), past(F.col("mz"))) >= need).select("a", "z")
-
-    # Second level: regions of common cells, rings of like size in each, blocks of a large ring.
-    common_cells = cells.where("hot").select(F.col("k").alias("s"), F.col("a").alias("c"), size(F.col("ma")).alias("n"))
-    pivots = common_cells.groupBy("s").agg(F.min("c").alias("p"))
-    regions = components(common_cells.join(pivots, "s").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct())
-    rings = common_cells.select("c", "n").distinct().join(regions, F.col("c") == F.col("node")).select("c", "n", F.col("root").alias("region"))
-    ring = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    rings = rings.select("region", "c", "n", F.explode(F.array(ring, ring - 1)).alias("ring"))
-    blocks = rings.groupBy("region", "ring").agg(F.ceil(F.sum("n") / block).cast("int").alias("g"))
-    own = F.pmod(F.xxhash64("c"), F.col("g")).cast("int")
-    dealt = rings.join(blocks, ["region", "ring"]).select("region", "ring", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("region", "ring", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.col("own") <= F.col("other"), F.col("own") >= F.col("other"), "c").toDF("task", "left", "right", "c")
-
-    pairs = stable(rare.distinct())
-    dealt = stable(dealt)
-    held = stable(_held(texts, pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("z").alias("c"))).unionByName(dealt.select("c")), words))
-    links = _verified(pairs, held, percent).unionByName(dealt.join(held, "c").select("task", "left", "right", "c", "w").groupBy("task").applyInArrow(lambda t: _block_links(t, percent), "a long, z long"))
-    roots = components(links.select("a", F.col("z").alias("b")))
-
-    members = placed.where("b is null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).alias("c"))
-    classes = members.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("first"))
-    classes = classes.join(roots, classes.c == roots.node, "left").select("c", "first", F.coalesce("root", "c").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classes.join(smallest, "root").select(F.col("c").alias("class_id"), "component_id")
-    return members.join(classes, members.c == classes.class_id, "left").select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("class_id").isNull(), F.col("doc_id"))).alias("component_id"), "class_id")
+    return entries.mapInArrow(lean(met), "a long, z long, ma long, mz long, k long")
 
 
-def _pairs(a, z, ma, mz_or_cell, hot) -> pa.RecordBatch:
-    if hot.all():
-        columns = [a, z, ma, np.zeros(len(a), np.int64), mz_or_cell, hot]
-    else:
-        columns = [a, z, ma, *mz_or_cell, hot]
-    return pa.record_batch([pa.array(x) for x in columns], names=["a", "z", "ma", "mz", "k", "hot"])
-
-
-def _told(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, z, ma, mz), each once with its count."""
+def _told(found: list[np.ndarray], stars: bool = False) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, z, ma, mz), each once with its count; of stars the count is 0."""
     rows = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
     if not rows.shape[1]:
         return
     order = np.lexsort((rows[1], rows[0]))
     rows = rows[:, order]
     new = np.flatnonzero(np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))))
-    counts = np.diff(np.concatenate((new, [rows.shape[1]])))
+    counts = np.zeros(len(new), np.int64) if stars else np.diff(np.concatenate((new, [rows.shape[1]])))
     rows = rows[:, new]
     for i in range(0, len(new), 1 << 16):
-        x, k = rows[:, i : i + (1 << 16)], counts[i : i + (1 << 16)]
-        yield _pairs(x[0], x[1], x[2], [x[3], k], np.zeros(len(k), bool))
-
+        columns = [*rows[:, i : i + (1 << 16)], counts[i : i + (1 << 16)]]
+        yield pa.record_batch([pa.array(x) for x in columns], names=["a", "z", "ma", "mz", "k"])
 
-def _held(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(c, w) of the classes in ids(c) and some others: the whole set of each, once."""
-    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.col("c").cast("string").alias("c")), "c"))
 
-    def sets(batches):
-        import xxhash
+def _held(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(c, text) of the classes in wanted(c) and a few others: one text of each."""
+    bits = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, "c"))
 
-        bits = np.frombuffer(wanted.value, np.uint8)
+    def chosen(batches):
         seen: set[int] = set()
-        for _, found, classes in _sets(batches, words):
-            keep = []
-            for s, c in zip(found, classes, strict=True):
-                if c and c not in seen:
-                    # Spark's xxhash64 of the decimal string, seed 42.
-                    slot = (xxhash.xxh64_intdigest(str(c), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
-                    slot %= len(bits) * 8
-                    if bits[slot >> 3] >> (slot & 7) & 1:
-                        seen.add(c)
-                        keep.append((c, s.tobytes()))
-            if keep:
-                yield pa.record_batch([pa.array([c for c, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.binary())], names=["c", "w"])
-
-    return texts.mapInArrow(sets, "c long, w binary").groupBy("c").agg(F.first("w").alias("w"))
-
-
-def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, z) of classes whose whole sets are alike enough."""
-    both = pairs.join(held.select(F.col("c").alias("a"), F.col("w").alias("wa")), "a").join(held.select(F.col("c").alias("z"), F.col("w").alias("wz")), "z").select("a", "z", "wa", "wz")
-
-    def alike(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                inter = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "z"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(alike, "a long, z long")
-
-
-def _block_links(members: pa.Table, percent: int) -> pa.Table:
-    """Edges (a, z) of the components of links between the left and the right members, by whole sets."""
-    c = members["c"].to_numpy()
-    left, right = members["left"].to_numpy(zero_copy_only=False), members["right"].to_numpy(zero_copy_only=False)
-    sets = [np.frombuffer(w.as_buffer(), np.uint64) for w in members["w"]]
+            at = 0
+            for ids, _, classes in _sets(iter([batch]), words):
+                c = np.array(classes, np.int64)
+                may = among(bits.value, c) & (c != 0)
+                keep = []
+                for i in np.flatnonzero(may).tolist():
+                    if classes[i] not in seen:
+                        seen.add(classes[i])
+                        keep.append(i)
+                if keep:
+                    yield pa.record_batch([pa.array(c[keep]), batch.column(1).take(pa.array(np.array(keep) + at))], names=["c", "text"])
+                at += len(ids)
+
+    return texts.mapInArrow(lean(chosen), "c long, text string").groupBy("c").agg(F.first("text").alias("text"))
+
+
+def _likeness(x: np.ndarray, y: np.ndarray) -> float:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    inter = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return inter / (len(x) + len(y) - inter)
+
+
+def _voronoi(large: DataFrame, held: DataFrame, depth: int, words: int, percent: int) -> DataFrame:
+    """(g, c, n, p, d, own, linked): the pivots p of region g that document c is at home with or in whose
+    window it lies, at distance d. large has g, c and the number of parts that a region is dealt to."""
+    r = 1 - percent / 100
+    least = [F.min(F.struct(F.xxhash64("c", F.lit(depth * PIVOTS + i)).alias("h"), "c")).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = large.groupBy("g").agg(*least, F.max("parts").alias("parts"))
+    pivots = pivots.select("g", "parts", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.c") for i in range(PIVOTS)]))).alias("c")).join(held, "c")
+    task = lambda salt: F.xxhash64("g", salt).alias("task")
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(task("salt"), F.lit(True).alias("pivot"), "g", "c", "text")
+    rows = large.join(held, "c").select(task(F.pmod(F.xxhash64("c"), "parts").cast("int")), F.lit(False).alias("pivot"), "g", "c", "text")
+
+    def distances(batches):
+        task, names, pivots = None, [], []
+        for batch in batches:
+            tasks, kinds, regions, classes = (c.to_pylist() for c in batch.columns[:4])
+            sets = shingle_sets([t.as_py() for t in batch.column(4).cast(pa.binary())], words)
+            out: list[tuple] = []
+            for t, pivot, g, c, s in zip(tasks, kinds, regions, classes, sets, strict=True):
+                if t != task:
+                    task, names, pivots = t, [], []
+                if pivot:
+                    names.append(c)
+                    pivots.append(s)
+                    continue
+                d = np.array([1 - _likeness(s, p) for p in pivots])
+                home = int(np.argmin(d))
+                out += [(g, c, len(s), names[i], float(d[i]), i == home, d[i] <= r + EPS) for i in np.flatnonzero(d <= d[home] + 2 * r + EPS).tolist()]
+            if out:
+                types = [pa.int64()] * 4 + [pa.float64(), pa.bool_(), pa.bool_()]
+                yield pa.record_batch([pa.array(x, y) for x, y in zip(zip(*out, strict=True), types, strict=True)], names=["g", "c", "n", "p", "d", "own", "linked"])
+
+    rows = pivots.unionByName(rows).repartition("task").sortWithinPartitions("task", F.desc("pivot"))
+    return rows.mapInArrow(lean(distances), "g long, c long, n long, p long, d double, own boolean, linked boolean")
+
+
+def _linked_blocks(work: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, z): edges of the components of links between the left and the right documents of each task."""
+
+    def compared(batches):
+        edges: list[tuple[int, int]] = []
+
+        def told():
+            out = pa.record_batch([pa.array([x for x, _ in edges], pa.int64()), pa.array([x for _, x in edges], pa.int64())], names=["a", "z"])
+            edges.clear()
+            return out
+
+        for group in sorted_groups(batches):
+            if group.num_rows > 1:
+                sets = shingle_sets([t.as_py() for t in group.column("text").cast(pa.binary())], words)
+                edges += _block_links(group.column("c").to_numpy(), sets, *(group.column(x).to_numpy(zero_copy_only=False) for x in ("left", "right")), percent)
+            if len(edges) > 1 << 14:
+                yield told()
+        yield told()
+
+    rows = work.join(held, "c").select("task", "c", "left", "right", "text").repartition("task").sortWithinPartitions("task")
+    return rows.mapInArrow(lean(compared), "a long, z long")
+
+
+def _block_links(c: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges (a, z) of the components of links between the left and the right members, by whole sets.
+
+    Memory is the product of the left and the right ones, 4 bytes each, and 2,048 columns of either."""
     n = np.array([len(s) for s in sets], np.int64)
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), n)
@@ -374,31 +369,111 @@ def _block_links(members: pa.Table, percent: int) -> pa.Table:
     at_row, at_column = np.full(len(sets), -1), np.full(len(sets), -1)
     at_row[rows], at_column[columns] = np.arange(len(rows)), np.arange(len(columns))
     inter = np.zeros((len(rows), len(columns)), np.float32)  # counts under 2**24 are exact
-    for lo in range(0, int(shared.sum()), 2048):
-        a, b = np.searchsorted(column, (lo, lo + 2048))
-        x, y = np.zeros((len(rows), 2048), np.float32), np.zeros((len(columns), 2048), np.float32)
+    total = int(shared.sum())
+    wide = min(2048, max(1, total))
+    for lo in range(0, total, wide):
+        a, b = np.searchsorted(column, (lo, lo + wide))
+        x, y = np.zeros((len(rows), wide), np.float32), np.zeros((len(columns), wide), np.float32)
         r, q = at_row[owner[a:b]], at_column[owner[a:b]]
         x[r[r >= 0], column[a:b][r >= 0] - lo] = 1
         y[q[q >= 0], column[a:b][q >= 0] - lo] = 1
         inter += x @ y.T
-    top = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
+    ok = np.zeros(inter.shape, bool)
+    for i, row in enumerate(rows.tolist()):
+        ok[i] = 100 * inter[i].astype(np.int64) >= percent * (n[row] + n[columns] - inter[i].astype(np.int64))
+    edges, free = [], np.ones(len(sets), bool)
+    for first in rows.tolist():
+        if not free[first]:
+            continue
+        free[first], front = False, np.array([first])
+        while len(front):
+            near = np.zeros(len(sets), bool)
+            r, q = at_row[front], at_column[front]
+            near[columns] |= ok[r[r >= 0]].any(0)
+            near[rows] |= ok[:, q[q >= 0]].any(1)
+            front = np.flatnonzero(near & free)
+            free[front] = False
+            edges += [(int(x), int(c[first])) for x in c[front]]
+    return edges
+
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, common_at: int = 32, common_most: int = 1 << 17, most: int = 2048, block: int = 1 << 19) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, class_id.
 
-    for k, i in enumerate(rows.tolist()):
-        for j in columns[np.flatnonzero(100 * inter[k] >= percent * (n[i] + n[columns] - inter[k]))].tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                top[max(a, b)] = min(a, b)
-    edges = [(c[i], c[find(i)]) for i in range(len(sets)) if find(i) != i]
-    return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "z": pa.array([x for _, x in edges], pa.int64())})
+    component_id is the smallest doc_id that links of similarity >= percent/100 reach. Null
+    and empty texts and those without words have no shingles, link with nothing and are
+    their own component (class_id null). Rows that repeat a doc_id each get a row; a null
+    doc_id links as any other and a component of such rows alone has a null id. Other
+    columns are not read. `common_at` and `common_most` set which cells are put last, `most`
+    and `block` how many documents and shingles of a region are compared in one task; none changes the result.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    r = 1 - percent / 100
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    read, _ = written(_members(texts, words))
+    members = read.where("c is not null").select("doc_id", "c", "n")
+    counts = read.where("s is not null").groupBy("s").agg(F.sum("k").alias("k")).where(F.col("k") >= common_at)
+    common = np.sort(np.array([x.s for x in counts.orderBy(F.desc("k"), "s").limit(common_most).collect()], np.int64).view(np.uint64))
+    kinds = members.where("c <> 0").groupBy("c").agg(F.max("n").alias("n"), F.min("doc_id").alias("first"))
+    kinds, drop_kinds = written(kinds)
+
+    # Candidate regions: what cells join.
+    buckets = partitions(spark)
+    entries = _entries(texts, common, words, percent, 8 * buckets).repartition(buckets, "b").sortWithinPartitions("b")
+    cells, drop_cells = written(_cells(entries, common, percent))
+    size = lambda m: F.shiftright(m, 32)
+    # Shared shingles are at most those counted, the common ones and those past either window.
+    past = lambda m: F.ceil(size(m) * percent / 100) - 1 + m.bitwiseAND(F.lit(0xFFFFFFFF))
+    need = F.ceil(percent * (size(F.col("ma")) + size(F.col("mz"))) / (100 + percent) - 1e-6)
+    rare = cells.where("k > 0").groupBy("a", "z", "ma", "mz").agg(F.sum("k").alias("k")).where(F.col("k") + F.greatest(past(F.col("ma")), past(F.col("mz"))) >= need)
+    regions, drop_regions = written(components(rare.select("a", "z").unionByName(cells.where("k = 0").select("a", "z").distinct()), "a", "z"))
+    drop_cells()
+    freed(spark)
+
+    todo = regions.join(kinds, F.col("node") == F.col("c")).select(F.col("root").alias("g"), "c", "n")
+    sized = lambda some: some.join(some.groupBy("g").agg(F.count("*").alias("docs"), F.ceil(F.greatest(F.count("*") / most, F.sum("n") / block)).cast("int").alias("parts")).where("docs > 1"), "g")
+    todo, drop_todo = written(sized(todo))
+    drops = [drop_kinds, drop_todo]
+    drop_regions()
+    held, drop_held = written(_held(texts, todo.select("c"), words))
+    freed(spark)
+    work, links = [], []
+    depth = 0
+    while True:
+        work.append(todo.where("parts = 1").select(F.col("g").alias("task"), "c", F.lit(True).alias("left"), F.lit(True).alias("right")))
+        large = todo.where("parts > 1")
+        if large.isEmpty():
+            break
+        seen, drop_seen = written(_voronoi(large, held, depth, words, percent))
+        drops.append(drop_seen)
+        links.append(seen.where("linked and c <> p").select(F.col("c").alias("a"), F.col("p").alias("z")))
+        # Two documents linked with the pivot need no comparison; one linked with it and one that is not are no nearer than their distances to it differ.
+        far = seen.groupBy("g", "p").agg(F.max("own").alias("home"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("far")).where("home and far is not null").select("g", "p", "far")
+        inner = seen.join(far, ["g", "p"]).where(~F.col("linked") | (F.col("d") >= F.col("far") - r - EPS))
+        inner, drop_inner = written(inner.select("g", "p", "c", "n"))
+        # A region whose windows hold nearly all of it is equidistant, more pivots would not part it: blocks.
+        whole = large.groupBy("g").agg(F.max("docs").alias("docs"))
+        parted = inner.groupBy("g", "p").agg(F.count("*").alias("k")).groupBy("g").agg(F.max("k").alias("top"), F.sum("k").alias("sum"))
+        flat = whole.join(parted, "g").where("top > 0.7 * docs or sum > 2 * docs").select("g")
+        own = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
+        blocks = large.join(flat, "g").select("g", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        work.append(blocks.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "c", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right")))
+        deeper = inner.join(flat, "g", "left_anti").select(F.xxhash64("g", "p", F.lit(depth)).alias("g"), "c", "n")
+        todo, drop_todo = written(sized(deeper))
+        drops += [drop_inner, drop_todo]
+        depth += 1
+    links.append(_linked_blocks(reduce(DataFrame.unionByName, work), held, words, percent))
+    roots = components(reduce(DataFrame.unionByName, links), "a", "z")
+    classes = kinds.join(roots, F.col("c") == F.col("node"), "left").select("c", "first", F.coalesce("root", "c").alias("root"))
+    smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = stable(classes.join(smallest, "root").select(F.col("c").alias("class_id"), "component_id"))
+    for drop in [*drops, drop_held]:
+        drop()
+    freed(spark)
+    component = F.coalesce("component_id", F.when(F.col("class_id").isNull(), F.col("doc_id")))
+    return members.join(classes, members.c == classes.class_id, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "class_id")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return similarity_components(table(spark, sf_dir, "documents"))
