@@ -7,7 +7,7 @@ no pivot tells them apart. So the space is first cut into candidate regions that
  1. Two linked sets share at least (1 - r) |x| of x's shingles. Whatever the order of shingles,
     the first of them that they share is among the first |x| - ceil((1 - r) |x|) + 1 of either:
     each set enters the cells of those shingles, and every linked pair meets in a cell. The order puts
-    shingles that many texts hold last. A cell of at most 32 sets gives the pairs that sizes and
+    shingles that many texts hold last. A cell of at most 128 sets gives the pairs that sizes and
     counts of shared cells still admit; a larger one joins all its sets. Regions are the components.
  2. A region that fits a task is compared there, with whole sets.
  3. A larger one is parted by pivots, documents of its own: each document is at home with the
@@ -115,57 +115,86 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list,
             at += len(some)
 
 
-def _prefix(s: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """x's window: its first cells by (common, hash), and how many of those are common ones."""
+class Common:
+    """Shingles that many sets hold, sorted, with their counts in the sample; they come last in the order, by count."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
+        order = np.argsort(shingles)
+        self.shingles, self.counts = shingles[order], counts[order]
+
+    def find(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of s are common, the counts of those)."""
+        if not len(self.shingles):
+            return np.zeros(len(s), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        hot = self.shingles[at] == s
+        return hot, self.counts[at[hot]]
+
+
+def _prefix(s: np.ndarray, common: Common, percent: int) -> tuple[np.ndarray, int]:
+    """x's window: its first cells by (common, count, hash), and how many of those are common ones."""
     n = len(s)
     size = n - (percent * n + 99) // 100 + 1
-    if not len(common):
-        return s[:size], 0
-    hot = _is_common(s, common)
+    hot, counts = common.find(s)
     cold = s[~hot]
     if len(cold) >= size:
         return cold[:size], 0
-    return np.concatenate((cold, s[hot][: size - len(cold)])), size - len(cold)
-
+    last = s[hot][np.argsort(counts, kind="stable")]
+    return np.concatenate((cold, last[: size - len(cold)])), size - len(cold)
 
-def _is_common(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    return common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
 
-
-def _members(texts: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, c, n) of every document: its class and set size; and rows (s, k): shingles that k > 1 of
-    some thousand neighbouring distinct sets hold."""
+def _members(texts: DataFrame, words: int, buckets: int, sample: int) -> DataFrame:
+    """Rows (doc_id, c, n) of every document: its class and set size; and rows (b, blob): the shingles of one
+    in `sample` of the classes, by hash, packed by bucket."""
 
     def read(batches):
         seen: set[int] = set()
         parts: list[np.ndarray] = []
         size = 0
+        names = ["doc_id", "c", "n", "b", "blob"]
 
-        def counted():
-            values, n = np.unique(np.concatenate(parts), return_counts=True)
-            values, n = values[n > 1].view(np.int64), n[n > 1]
-            none = pa.nulls(len(n), pa.int64())
-            return pa.record_batch([none, none, none, pa.array(values), pa.array(n.astype(np.int64))], names=names)
+        def packed():
+            s = np.concatenate(parts)
+            where = (s % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+            keys = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            none = pa.nulls(len(keys), pa.int64())
+            return pa.record_batch([none, none, none, pa.array(keys, pa.int64()), pa.array([s[order[cuts[b] : cuts[b + 1]]].tobytes() for b in keys], pa.binary())], names=names)
 
-        names = ["doc_id", "c", "n", "s", "k"]
         for ids, sets, classes in _sets(batches, words):
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, none], names=names)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, pa.nulls(len(ids), pa.binary())], names=names)
             for s, c in zip(sets, classes, strict=True):
-                if c and c not in seen:
+                if c and c % sample == 0 and c not in seen:
                     seen.add(c)
                     parts.append(s)
                     size += len(s)
-            if size > 1 << 21:
-                yield counted()
+            if size > 1 << 20:
+                yield packed()
                 parts, size = [], 0
         if parts:
-            yield counted()
+            yield packed()
+
+    return texts.mapInArrow(lean(read), "doc_id long, c long, n long, b long, blob binary")
+
 
-    return texts.mapInArrow(lean(read), "doc_id long, c long, n long, s long, k long")
+def _common(packed: DataFrame, buckets: int, least: int, most: int) -> Common:
+    """The commonest shingles of the sample, `most` at most, of those that `least` of its sets hold.
+    Only the order of cells depends on them; copies of a class in other partitions count too."""
+
+    def counted(batches):
+        for group in sorted_groups(batches):
+            values, n = np.unique(np.frombuffer(b"".join(group.column(1).to_pylist()), np.uint64), return_counts=True)
+            keep = n >= least
+            yield pa.record_batch([pa.array(values[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["s", "k"])
+
+    rows = packed.repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(lean(counted), "s long, k long")
+    rows = rows.orderBy(F.desc("k"), "s").limit(most).toArrow()
+    return Common(rows["s"].to_numpy().view(np.uint64), rows["k"].to_numpy())
 
 
-def _entries(texts: DataFrame, common: np.ndarray, words: int, percent: int, buckets: int) -> DataFrame:
+def _entries(texts: DataFrame, common: Common, words: int, percent: int, buckets: int) -> DataFrame:
     """(b, blob): the entries (cell, class, size and number of common cells) of all classes for the cells
     of their windows, packed by bucket. A common cell is spread over 64 buckets."""
     sent = texts.sparkSession.sparkContext.broadcast(common)
@@ -179,7 +208,7 @@ def _entries(texts: DataFrame, common: np.ndarray, words: int, percent: int, buc
 
         def packed():
             cell, row = np.concatenate(cells), np.concatenate(rows)
-            salt = np.where(_is_common(cell, common), row[:, 0] & 63, 0).view(np.uint64)
+            salt = np.where(common.find(cell)[0], row[:, 0] & 63, 0).view(np.uint64)
             where = (_mix(cell + salt * _P) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(buckets + 1))
@@ -204,7 +233,7 @@ def _entries(texts: DataFrame, common: np.ndarray, words: int, percent: int, buc
     return texts.mapInArrow(lean(entered), "b long, blob binary")
 
 
-def _cells(entries: DataFrame, common: np.ndarray, percent: int, most: int = 32) -> DataFrame:
+def _cells(entries: DataFrame, common: Common, percent: int, most: int = 128) -> DataFrame:
     """(a, z, ma, mz, k). Of a cell of at most `most` classes: the pairs whose sizes admit a link, with
     the number of cells that they share here. Of a larger one, with k = 0: each class beside
     the cell's smallest, or, if the cell is spread, beside the smallest here, and that one beside the cell itself."""
@@ -220,7 +249,7 @@ def _cells(entries: DataFrame, common: np.ndarray, percent: int, most: int = 32)
             new = np.concatenate(([True], e["s"][1:] != e["s"][:-1]))
             cut = np.flatnonzero(np.concatenate((new, [True])))
             sizes = np.diff(cut)
-            spread = _is_common(e["s"][cut[:-1]], common)
+            spread = common.find(e["s"][cut[:-1]])[0]
             large = spread | (sizes > most)
             if large.any():
                 cell = np.cumsum(new) - 1
@@ -397,29 +426,29 @@ def _block_links(c: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
     return edges
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, common_at: int = 32, common_most: int = 1 << 17, most: int = 2048, block: int = 1 << 19) -> DataFrame:
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, sample: int = 8, common_at: int = 3, common_most: int = 1 << 19, most: int = 2048, block: int = 1 << 19) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id.
 
     component_id is the smallest doc_id that links of similarity >= percent/100 reach. Null
     and empty texts and those without words have no shingles, link with nothing and are
     their own component (class_id null). Rows that repeat a doc_id each get a row; a null
     doc_id links as any other and a component of such rows alone has a null id. Other
-    columns are not read. `common_at` and `common_most` set which cells are put last, `most`
+    columns are not read. `sample`, `common_at` and `common_most` set which cells are put last, `most`
     and `block` how many documents and shingles of a region are compared in one task; none changes the result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     r = 1 - percent / 100
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    read, _ = written(_members(texts, words))
-    members = read.where("c is not null").select("doc_id", "c", "n")
-    counts = read.where("s is not null").groupBy("s").agg(F.sum("k").alias("k")).where(F.col("k") >= common_at)
-    common = np.sort(np.array([x.s for x in counts.orderBy(F.desc("k"), "s").limit(common_most).collect()], np.int64).view(np.uint64))
+    buckets = partitions(spark)
+    read, drop_read = written(_members(texts, words, 8 * buckets, sample))
+    common = _common(read.where("b is not null").select("b", "blob"), buckets, common_at, common_most)
+    members, _ = written(read.where("c is not null").select("doc_id", "c", "n"))
+    drop_read()
     kinds = members.where("c <> 0").groupBy("c").agg(F.max("n").alias("n"), F.min("doc_id").alias("first"))
     kinds, drop_kinds = written(kinds)
 
     # Candidate regions: what cells join.
-    buckets = partitions(spark)
     entries = _entries(texts, common, words, percent, 8 * buckets).repartition(buckets, "b").sortWithinPartitions("b")
     cells, drop_cells = written(_cells(entries, common, percent))
     size = lambda m: F.shiftright(m, 32)

@@ -68,15 +68,15 @@ def drifting(rng, n=60, size=60):
     return [" ".join(t) for t in out]
 
 
-@pytest.mark.parametrize("common_at,most,block", [(32, 2048, 1 << 19), (3, 10, 400), (3, 2048, 1 << 19), (10**9, 6, 1 << 19)])
-def test_ngram_join_is_exact(spark, common_at, most, block):
+@pytest.mark.parametrize("sample,common_at,most,block", [(8, 3, 2048, 1 << 19), (1, 3, 10, 400), (8, 10**9, 6, 1 << 19)])
+def test_ngram_join_is_exact(spark, sample, common_at, most, block):
     rng = random.Random(1)
     texts = near_copies(rng) + ODD + [words(rng, 40) + " shared passage of seven words here now" for _ in range(20)] + drifting(rng)
     texts += [f"a template of words that all share {i}" for i in range(50)] + near_copies(rng, 1, 60)
     sets = [shingles(t) for t in texts]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     want = roots(len(sets), links)
-    got = {r.doc_id: r for r in ngram_join.similarity_components(docs(spark, texts), common_at=common_at, most=most, block=block).collect()}
+    got = {r.doc_id: r for r in ngram_join.similarity_components(docs(spark, texts), sample=sample, common_at=common_at, most=most, block=block).collect()}
     assert [got[i].n_shingles for i in range(len(sets))] == [len(s) for s in sets]
     assert [got[i].component_id for i in range(len(sets))] == want
 
