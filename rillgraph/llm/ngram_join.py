@@ -97,8 +97,8 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[np.ndarray], list[int]]]:
-    """(ids, sets, class of each set) of about a megabyte of text at a time; class 0: empty."""
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[np.ndarray], list[int], pa.RecordBatch]]:
+    """(ids, sets, class of each set, the rows) of about a megabyte of text at a time; class 0: empty."""
     import xxhash
 
     for batch in batches:
@@ -111,7 +111,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list,
                 size += len(some[-1])
             sets = shingle_sets(some, words)
             classes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0 for s in sets]
-            yield ids[at : at + len(some)], sets, classes
+            yield ids[at : at + len(some)], sets, classes, batch.slice(at, len(some))
             at += len(some)
 
 
@@ -144,14 +144,14 @@ def _prefix(s: np.ndarray, common: Common, percent: int) -> tuple[np.ndarray, in
 
 
 def _members(texts: DataFrame, words: int, buckets: int, sample: int) -> DataFrame:
-    """Rows (doc_id, c, n) of every document: its class and set size; and rows (b, blob): the shingles of one
+    """Rows (doc_id, c, n, h) of every document: its class, set size and text's hash; and rows (b, blob): the shingles of one
     in `sample` of the classes, by hash, packed by bucket."""
 
     def read(batches):
         seen: set[int] = set()
         parts: list[np.ndarray] = []
         size = 0
-        names = ["doc_id", "c", "n", "b", "blob"]
+        names = ["doc_id", "c", "n", "h", "b", "blob"]
 
         def packed():
             s = np.concatenate(parts)
@@ -160,11 +160,11 @@ def _members(texts: DataFrame, words: int, buckets: int, sample: int) -> DataFra
             cuts = np.searchsorted(where[order], np.arange(buckets + 1))
             keys = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
             none = pa.nulls(len(keys), pa.int64())
-            return pa.record_batch([none, none, none, pa.array(keys, pa.int64()), pa.array([s[order[cuts[b] : cuts[b + 1]]].tobytes() for b in keys], pa.binary())], names=names)
+            return pa.record_batch([none, none, none, none, pa.array(keys, pa.int64()), pa.array([s[order[cuts[b] : cuts[b + 1]]].tobytes() for b in keys], pa.binary())], names=names)
 
-        for ids, sets, classes in _sets(batches, words):
+        for ids, sets, classes, rest in _sets(batches, words):
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, pa.nulls(len(ids), pa.binary())], names=names)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), rest.column(2), none, pa.nulls(len(ids), pa.binary())], names=names)
             for s, c in zip(sets, classes, strict=True):
                 if c and c % sample == 0 and c not in seen:
                     seen.add(c)
@@ -176,7 +176,7 @@ def _members(texts: DataFrame, words: int, buckets: int, sample: int) -> DataFra
         if parts:
             yield packed()
 
-    return texts.mapInArrow(lean(read), "doc_id long, c long, n long, b long, blob binary")
+    return texts.mapInArrow(lean(read), "doc_id long, c long, n long, h long, b long, blob binary")
 
 
 def _common(packed: DataFrame, buckets: int, least: int, most: int) -> Common:
@@ -216,7 +216,7 @@ def _entries(texts: DataFrame, common: Common, words: int, percent: int, buckets
             blobs = [np.rec.fromarrays([cell[o], row[o, 0], row[o, 1]], names="s,c,m").tobytes() for b in keys for o in [order[cuts[b] : cuts[b + 1]]]]
             return pa.record_batch([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["b", "blob"])
 
-        for _, sets, classes in _sets(batches, words):
+        for _, sets, classes, _ in _sets(batches, words):
             for s, c in zip(sets, classes, strict=True):
                 if c and c not in seen:
                     seen.add(c)
@@ -298,19 +298,15 @@ def _held(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def chosen(batches):
         seen: set[int] = set()
-        for batch in batches:
-            at = 0
-            for ids, _, classes in _sets(iter([batch]), words):
-                c = np.array(classes, np.int64)
-                may = among(bits.value, c) & (c != 0)
-                keep = []
-                for i in np.flatnonzero(may).tolist():
-                    if classes[i] not in seen:
-                        seen.add(classes[i])
-                        keep.append(i)
-                if keep:
-                    yield pa.record_batch([pa.array(c[keep]), batch.column(1).take(pa.array(np.array(keep) + at))], names=["c", "text"])
-                at += len(ids)
+        for _, _, classes, rows in _sets(batches, words):
+            c = np.array(classes, np.int64)
+            keep = []
+            for i in np.flatnonzero(among(bits.value, c) & (c != 0)).tolist():
+                if classes[i] not in seen:
+                    seen.add(classes[i])
+                    keep.append(i)
+            if keep:
+                yield pa.record_batch([pa.array(c[keep]), rows.column(1).take(pa.array(keep))], names=["c", "text"])
 
     return texts.mapInArrow(lean(chosen), "c long, text string").groupBy("c").agg(F.first("text").alias("text"))
 
@@ -427,11 +423,12 @@ def _block_links(c: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, sample: int = 8, common_at: int = 3, common_most: int = 1 << 19, most: int = 2048, block: int = 1 << 19) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id.
+    """One row per document: doc_id, n_shingles, component_id, class_id, group_id, text_hash.
 
     component_id is the smallest doc_id that links of similarity >= percent/100 reach. Null
     and empty texts and those without words have no shingles, link with nothing and are
-    their own component (class_id null). Rows that repeat a doc_id each get a row; a null
+    their own component (class_id and group_id null). class_id names equal sets and group_id
+    components, whatever their ids; text_hash is xxhash64 of the text. Rows that repeat a doc_id each get a row; a null
     doc_id links as any other and a component of such rows alone has a null id. Other
     columns are not read. `sample`, `common_at` and `common_most` set which cells are put last, `most`
     and `block` how many documents and shingles of a region are compared in one task; none changes the result.
@@ -439,11 +436,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     bounded_batches(spark)
     r = 1 - percent / 100
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     buckets = partitions(spark)
     read, drop_read = written(_members(texts, words, 8 * buckets, sample))
     common = _common(read.where("b is not null").select("b", "blob"), buckets, common_at, common_most)
-    members, _ = written(read.where("c is not null").select("doc_id", "c", "n"))
+    members, _ = written(read.where("c is not null").select("doc_id", "c", "n", "h"))
     drop_read()
     kinds = members.where("c <> 0").groupBy("c").agg(F.max("n").alias("n"), F.min("doc_id").alias("first"))
     kinds, drop_kinds = written(kinds)
@@ -496,12 +493,31 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     roots = components(reduce(DataFrame.unionByName, links), "a", "z")
     classes = kinds.join(roots, F.col("c") == F.col("node"), "left").select("c", "first", F.coalesce("root", "c").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stable(classes.join(smallest, "root").select(F.col("c").alias("class_id"), "component_id"))
+    classes = stable(classes.join(smallest, "root").select(F.col("c").alias("class_id"), "component_id", F.col("root").alias("group_id")))
     for drop in [*drops, drop_held]:
         drop()
     freed(spark)
     component = F.coalesce("component_id", F.when(F.col("class_id").isNull(), F.col("doc_id")))
-    return members.join(classes, members.c == classes.class_id, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "class_id")
+    return members.join(classes, members.c == classes.class_id, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "class_id", "group_id", F.col("h").alias("text_hash"))
+
+
+def one_of_each(docs: DataFrame, most: int = 1 << 20, **how) -> DataFrame:
+    """The rows of docs, one of each component of similarity_components: the smallest doc_id, of
+    rows that share it the one with the smallest text hash, of equal ones any.
+
+    A row without an id stays only where its component has none with one. Rows without words
+    all stay. Rows to drop are told by (doc_id, text hash); up to `most` of them are broadcast, at 16 bytes each.
+    """
+    found = similarity_components(docs, **how).where("group_id is not null").select("doc_id", "text_hash", "group_id")
+    found, drop = written(found)
+    first = found.groupBy("group_id").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first")).where("rows > 1")
+    marks = found.join(first, "group_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("_stays")).distinct()
+    marks, _ = written(marks)
+    drop()
+    freed(docs.sparkSession)
+    mark = F.broadcast(marks) if marks.count() <= most else marks
+    rows = docs.join(mark, docs["doc_id"].cast("long").eqNullSafe(mark["_id"]) & (F.xxhash64(docs["text"].cast("string")) == mark["_hash"]), "left")
+    return rows.where("_stays is null").select(*docs.columns).unionByName(rows.where("_stays").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

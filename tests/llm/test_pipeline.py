@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from tests.llm.test_operators import docs, labelled, words
 
@@ -44,7 +46,7 @@ def test_sequences_follow_the_schedule(spark, tmp_path):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     mixed = pipeline.mixing(spark, table, "")
     mixed.write.parquet(str(tmp_path / "mixed"))
-    for ordered in (spark.read.parquet(str(tmp_path / "mixed")), pipeline.stable(mixed)):
+    for ordered in (spark.read.parquet(str(tmp_path / "mixed")), pipeline.written(mixed)[0]):
         got = pipeline.packing(spark, ordered, "").toPandas()
         assert got.groupby("doc_id").length.sum().eq(got.groupby("doc_id").doc_tokens.first()).all() and len(set(got.doc_id)) == len(rows)
         for _, s in got.sort_values("offset").groupby("sequence_id"):
@@ -54,3 +56,20 @@ def test_sequences_follow_the_schedule(spark, tmp_path):
             head = got[got.sequence_id < part * (got.sequence_id.max() + 1)]
             shares = head.groupby("source").length.sum() / head.length.sum()
             assert all(abs(shares.get(s, 0) - of[s][0] / 13) < 0.08 for s in of), (part, shares)
+
+
+def test_odd_tables_pass_all_stages(spark, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    same = "one two three four five six seven"
+    rows = [(1, same), (1, same), (1, "eight nine ten eleven twelve"), (2, same), (None, same), (None, "only here without any id"), (3, None), (3, None), (4, ""), (5, "w " * 4000)]
+    odd = docs(spark, [t for _, t in rows], [i for i, _ in rows]).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")})
+    for name, table in (("odd", odd), ("none", odd.where("false"))):
+        folder = tmp_path / name
+        table.withColumn("score", F.lit("clash")).write.parquet(str(folder / "documents.parquet"))
+        labels.write.parquet(str(folder / "labels.parquet"))
+        table = spark.read.parquet(str(folder / "documents.parquet"))
+        kept = sorted((r.doc_id or 0, r.text or "") for r in pipeline.jaccard(spark, table, "").collect())
+        if name == "odd":
+            assert kept == sorted([(1, same), (1, rows[2][1]), (0, rows[5][1]), (3, ""), (3, ""), (4, ""), (5, rows[9][1])])
+        assert pipeline.run(spark, str(folder)).agg(F.count("*")).first()[0] >= len(kept)
