@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm.common import partitions, stable, table
+from rillgraph.llm.common import partitions, table, written
 from rillgraph.llm.mixing import mix
-from rillgraph.llm.ngram_join import similarity_components
+from rillgraph.llm.ngram_join import one_of_each
 from rillgraph.llm.packing import pack_in_order
 from rillgraph.llm.pii import pseudonymise
 from rillgraph.llm.toxicity import score
@@ -23,30 +23,29 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine, fitted on the labels, does not reject. Null and empty texts have a score as any other."""
     scored = score(docs, table(spark, sf_dir, "labels"), keep=["text", *[c for c in COLUMNS if c not in ("doc_id", "text")]])
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stable(similarity_components(docs))
-    gone = found.where("class_id is not null and doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    # Rows that repeat a doc_id: of equal ones with words, one stays. Rows without an id can't be named and stay.
-    again = found.where("class_id is not null and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    rows = docs.select(*COLUMNS)
-    repeated = rows.join(again, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return rows.join(gone.unionByName(again).distinct(), "doc_id", "left_anti").unionByName(repeated.select(*COLUMNS))
+    """One document of each component of near copies; without words all stay (see one_of_each)."""
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms in their texts and n_chars of the new text; null texts stay null."""
     return pseudonymise(docs.select(*COLUMNS), counts=False).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, range-partitioned and sorted by their place in the schedule; a null source is a source."""
     mixed = mix(docs.select(*COLUMNS))
     return mixed.repartitionByRange(partitions(spark), "slot", "place").sortWithinPartitions("slot", "place").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences that follow the rows' order; null texts are one end id."""
     return pack_in_order(docs)
 
 
@@ -55,7 +54,10 @@ ORACLE_SQL = None  # training and tokenizing are not SQL; tests hold each stage
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed rows of the documents that the stages keep. Each stage's rows are written, and deleted once the next stand."""
+    docs, drop = table(spark, sf_dir, "documents"), lambda: None
     for _, stage in STAGES[:-1]:
-        docs = stable(stage(spark, docs, sf_dir))
+        before = drop
+        docs, drop = written(stage(spark, docs, sf_dir))
+        before()
     return STAGES[-1][1](spark, docs, sf_dir)
