@@ -1,19 +1,19 @@
 """Suffix-array dedup: bytes covered by long strings that occur elsewhere too.
 
-A position repeats if the longest previous factor (the longest match with a suffix that
-starts earlier) or the longest next one there reaches `length` bytes. Whether it does is
-decided in suffix order among the suffixes that can match at all: in each string of
+A position repeats if its longest previous factor (the longest match with a suffix that starts
+earlier) or its longest next one reaches `length` bytes. A suffix array of a whole corpus would have to be
+in one memory; so suffixes are ordered among those that can match at all: in each string of
 `length` bytes the smallest fingerprint of its k-byte substrings (the leftmost, if equal) is
-its anchor, equal strings have equal anchors at the same place, so suffixes are ordered
-and compared only with those around the same anchor.
+its anchor, and equal strings have equal anchors at the same place.
 
  1. Every anchor gives a row with the fingerprint of its whole context, the bytes that
     strings with that anchor can reach. A context that occurs twice repeats wholly; an
     anchor whose contexts all differ in one row alone repeats nowhere.
- 2. Where an anchor has several contexts, one of each kind that shares the bytes on either
-    side with another is compared: the suffixes at
-    each distance from the anchor are put in order (of their first `length` bytes), and the
-    previous and next smaller positions in a run of equals are the earlier and later matches.
+ 2. Where an anchor has several contexts, one of each kind that shares the bytes on either side with
+    another is compared, by bytes: for each distance before the anchor the suffixes that start there are put in
+    order, and the longest factor of each is its match with the previous or the next one.
+ 3. Contexts of one anchor that are too many for a task are parted by halves of the distances and the
+    bytes that all strings of a half hold, until they fit, or until all strings of a part are equal.
 
 Equal texts share their rows (a text is named by a 64-bit hash), so copies are compared once.
 """
@@ -22,17 +22,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, bounded_batches, lean, stable, table, written
+from .common import among, bitmap, bounded_batches, freed, lean, sorted_groups, table, written
 from .ngram_join import _P, _P_INVERSE, _TABLE, _mix, _power
 
 LENGTH, K = 400, 100
-MOST = 20_000  # contexts of one anchor that are compared in one task, about 14 MB
+MOST = 2048  # contexts that are compared in one task, about 1.4 MB and 40 MB of lengths
 
 
 def _sums(raw: np.ndarray) -> np.ndarray:
@@ -98,43 +99,72 @@ def _context(raw: bytes, at: int, length: int, k: int) -> tuple[int, bytes]:
     return at - lo, raw[lo : at + length]
 
 
-def window_prints(marks: np.ndarray, befores: np.ndarray, pieces: list[bytes], lo: int, hi: int, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, start, fingerprint) of the strings that lie lo <= distance < hi after the first place
-    from which they reach the anchor; equal fingerprints: equal strings at equal places by equal anchors."""
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    sums = _sums(np.frombuffer(b"".join(pieces), np.uint8))
-    shift = (length - k) - befores  # how much of the reach before the anchor is missing
-    first = np.maximum(0, lo - shift)
-    last = np.minimum(np.minimum(sizes - length, befores), hi - 1 - shift)
-    many = np.maximum(0, last - first + 1)
-    owner = np.repeat(np.arange(len(pieces)), many)
-    start = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + first[owner]
-    at = base[owner] + start
-    prints = _prints(sums, at, at + length)
-    prints = _mix(prints ^ _mix(marks.view(np.uint64)[owner] + (shift[owner] + start).astype(np.uint64)))
-    return owner, start, prints
-
-
-def repeated_around(marks: np.ndarray, befores: np.ndarray, pieces: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first, last): the runs of starts, in bytes of the context, at which a string
-    of `length` bytes recurs in another context of the same anchor, at the same distance."""
-    owners, starts = [], []
-    step = max(1, (1 << 18) // len(pieces))
-    for lo in range(0, length - k + 1, step):
-        owner, start, prints = window_prints(marks, befores, pieces, lo, lo + step, length, k)
-        order = np.lexsort((owner, prints))  # suffix order as far as equality goes, then position
-        same = prints[order][1:] == prints[order][:-1]
-        hit = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]  # an earlier or a later match
-        owners.append(owner[hit])
-        starts.append(start[hit])
-    owner, start = np.concatenate(owners), np.concatenate(starts)
-    order = np.lexsort((start, owner))
-    owner, start = owner[order], start[order]
-    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))) if len(owner) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(owner)])) - 1 if len(first) else first
-    return owner[first], start[first], start[last]
+def _common_prefixes(rows: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): rows in the order of their bytes inside each group, and how many bytes each has in
+    common with the next one; -1 where a group ends. Rows are padded with zeros to equal width."""
+    order = np.lexsort((sizes, rows.view(f"S{rows.shape[1]}").ravel(), groups))
+    x, n, g = rows[order], sizes[order], groups[order]
+    differ = x[1:] != x[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    common = np.minimum(common, np.minimum(n[1:], n[:-1]))
+    return order, np.where(g[1:] == g[:-1], common, -1)
+
+
+def longest_factors(groups: np.ndarray, befores: np.ndarray, pieces: list[bytes], length: int = LENGTH, k: int = K) -> np.ndarray:
+    """For each l from 0 to length - k and each context: the longest match of the suffix that starts l bytes before
+    the anchor with a suffix l bytes before the anchor of another context of its group; 0 where the context has none there.
+
+    Contexts of a group are aligned at the anchor. Their suffix order at distance l is that of the l bytes before
+    the anchor and then of the rest, so the longest match is with the previous or the next one that has
+    the same l bytes, and its length l and the least common prefix of all those between.
+    """
+    m, reach = len(pieces), length - k
+    right, left = np.zeros((m, length), np.uint8), np.zeros((m, reach), np.uint8)
+    sizes = np.array([len(p) for p in pieces]) - befores
+    for i, (piece, before) in enumerate(zip(pieces, befores.tolist(), strict=True)):
+        raw = np.frombuffer(piece, np.uint8)
+        right[i, : len(raw) - before] = raw[before:]
+        left[i, :before] = raw[:before][::-1]
+    order, common = _common_prefixes(right, sizes, groups)
+    place = np.empty(m, np.int64)
+    place[order] = np.arange(m)
+    # least[j][p]: the least of common[p : p + 2**j]
+    least = [common]
+    while 2 << (len(least) - 1) <= len(common):
+        step = 1 << (len(least) - 1)
+        least.append(np.minimum(least[-1][:-step], least[-1][step:]))
+    order, common = _common_prefixes(left, befores, groups)
+    depths = np.arange(reach + 1)
+    kind = np.zeros((reach + 1, m), np.int64)
+    kind[:, order[1:]] = np.cumsum(common[None] < depths[:, None], axis=1)  # equal: the same l bytes before the anchor
+    by = np.argsort(kind * m + place, axis=1)
+    kinds = np.take_along_axis(kind, by, 1)
+    at = place[by]
+    a, z = at[:, :-1], at[:, 1:]
+    there = befores[by] >= depths[:, None]
+    same = (kinds[:, 1:] == kinds[:, :-1]) & there[:, 1:] & there[:, :-1]
+    match = np.zeros(a.shape, np.int64)
+    level = np.frexp(np.maximum(z - a, 1))[1] - 1
+    for j in np.unique(level[same]).tolist():
+        here = same & (level == j)
+        match[here] = np.minimum(least[j][a[here]], least[j][z[here] - (1 << j)])
+    match = np.where(same, match + depths[:, None], 0)
+    out = np.zeros((reach + 1, m), np.int64)
+    edge = np.zeros((reach + 1, 1), np.int64)
+    np.put_along_axis(out, by, np.maximum(np.concatenate((edge, match), 1), np.concatenate((match, edge), 1)), 1)
+    return out
+
+
+def repeated_around(groups: np.ndarray, befores: np.ndarray, pieces: list[bytes], lows: np.ndarray, highs: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, last): runs of distances l before the anchor, lows <= l < highs of the context, at which
+    a string of `length` bytes starts that recurs in another context of the group."""
+    hit = longest_factors(groups, befores, pieces, length, k).T >= length
+    l = np.arange(hit.shape[1])
+    hit &= (l >= lows[:, None]) & (l < highs[:, None])
+    edges = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    context, first = np.nonzero(edges == 1)
+    _, past = np.nonzero(edges == -1)
+    return context, first, past - 1
 
 
 def _union(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -153,33 +183,30 @@ def _named(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("row"), text.alias("text"), *more)
 
 
-def _among(rows: DataFrame, column: str = "row"):
-    """Splits rows by a fixed-size filter of the given values of a column: (may be among them, is not)."""
-    bits = rows.sparkSession.sparkContext.broadcast(bitmap(rows, column, 1 << 25))
+def _among(rows: DataFrame, column: str, name: str):
+    """Splits rows by a filter of the 64-bit hashes in rows' column: (those whose `name` may be among them, those whose is not)."""
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(rows, column))
 
     def having(wanted: bool):
         def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mask = np.frombuffer(bits.value, np.uint8)
             for batch in batches:
-                slot = batch.column(0).to_numpy() % (len(mask) * 8)
-                there = (mask[slot >> 3] >> (slot & 7)) & 1 == 1
-                # column 0 is the filter's hash; the rest goes on
-                yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(there == wanted))
+                yield batch.filter(pa.array(among(bits.value, batch.column(name).to_numpy()) == wanted))
 
         def split(df: DataFrame) -> DataFrame:
             fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-            return df.select(F.xxhash64(column).alias("_filter"), *df.columns).mapInArrow(lean(some), fields)
+            return df.mapInArrow(lean(some), fields)
 
         return split
 
     return having(True), having(False)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
     """(row, spans) of each text that holds bytes of repeated strings; docs has row, a name for the text, and text.
 
     spans are [start, stop) pairs of byte positions, in no order; they may overlap.
     """
+    spark = docs.sparkSession
     texts = docs.select("row", "text")
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,21 +234,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
 
     found, drop = written(texts.mapInArrow(lean(anchored), "row long, at int, mark long, context long, sides long"))
     # Most anchors occur once: they leave before anything else is dealt out.
-    several = stable(found.groupBy("mark").agg(F.count("*").alias("all"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("all > 1").select("mark", (F.col("lo") < F.col("hi")).alias("mixed")))
-    again = _among(several, "mark")[0](found)
+    several = found.groupBy("mark").agg(F.count("*").alias("all"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("all > 1").select("mark", (F.col("lo") < F.col("hi")).alias("mixed"))
+    several, drop_several = written(several)
+    freed(spark)
+    again, drop_again = written(_among(several, "mark", "mark")[0](found))
+    drop()
     kinds = again.groupBy("mark", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "sides")).alias("one"))
     # state 1: the whole context repeats. 2: to be compared. 3: as 1, and compared for the others.
     kinds = kinds.join(several, "mark").select("mark", "context", "one", F.when((F.col("n") == 1) & F.col("mixed"), 2).when(F.col("mixed"), 3).otherwise(1).alias("state"))
-    kinds = stable(kinds)
+    kinds, drop_kinds = written(kinds)
     here = again.join(kinds.where("state <> 2").select("mark", "context"), ["mark", "context"]).select("row", "at", F.lit(1).alias("state"), F.lit(None).cast("long").alias("mark"))
     # A string that two contexts share has all bytes of one side or of the other in common.
     sides = F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("one.sides", 32).alias("print")), F.struct(F.lit(1).alias("side"), F.col("one.sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("print")))
     reach = kinds.where("state <> 1").select("one.row", "one.at", "mark", F.explode(sides).alias("s")).where("s.print <> 0").select("row", "at", "mark", "s.side", "s.print")
     shared = reach.groupBy("mark", "side", "print").agg(F.count("*").alias("n")).where("n > 1").select("mark", "side", "print")
-    compared = stable(reach.join(shared, ["mark", "side", "print"]).select("row", "at", F.lit(2).alias("state"), "mark").distinct())
-    work = here.unionByName(compared).groupBy("row").agg(F.collect_set(F.struct("at", "state", "mark")).alias("work"))
-    work = stable(work)
-    drop()
+    compared = reach.join(shared, ["mark", "side", "print"]).select("row", "at", F.lit(2).alias("state"), "mark").distinct()
+    work, drop_work = written(here.unionByName(compared).groupBy("row").agg(F.collect_set(F.struct("at", "state", "mark")).alias("work")))
+    for gone in (drop_several, drop_again, drop_kinds):
+        gone()
+    freed(spark)
     need = work.select("row", F.filter("work", lambda w: w.state == 2).alias("work")).where(F.size("work") > 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,57 +262,86 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                 raw = text.as_py()
                 for w in work.as_py():
                     before, piece = _context(raw, w["at"], length, k)
-                    out.append((w["mark"], row, w["at"] - before, before, piece))
+                    out.append((w["mark"], row, w["at"], before, piece))
                     size += len(piece)
-                if size > 1 << 21:
-                    yield _cut_rows(out)
-                    out, size = [], 0
+                    if size > 1 << 20:
+                        yield _cut_rows(out)
+                        out, size = [], 0
             if out:
                 yield _cut_rows(out)
 
-    may, _ = _among(need)
+    may, _ = _among(need, "row", "row")
     held = may(texts).groupBy("row").agg(F.first("text").alias("text"))
-    contexts = held.join(need, "row").select("row", "text", "work").mapInArrow(lean(cut), "mark long, row long, lo long, before int, piece binary")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size = 0
-
-        def told(rows):
-            mark, row, lo, before, piece = zip(*rows, strict=True)
-            c, first, last = repeated_around(np.array(mark, np.int64), np.array(before, np.int64), list(piece), length, k)
-            row, lo = np.array(row, np.int64)[c], np.array(lo, np.int64)[c]
-            return pa.record_batch([pa.array(x) for x in (row, lo + first, lo + last + length)], names=["row", "a", "b"])
-
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > 1 << 19 and r[0] != rows[-1][0]:  # whole groups
-                    yield told(rows)
-                    rows, size = [], 0
-                rows.append(r)
-                size += len(r[4])
-        if rows:
-            yield told(rows)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                mark, row, lo, before, piece = (c.to_pylist() for c in batch.slice(i, 512).columns)
-                c, start, prints = window_prints(np.array(mark, np.int64), np.array(before, np.int64), piece, 0, length, length, k)
-                yield pa.record_batch([pa.array(prints.view(np.int64)), pa.array(np.array(row, np.int64)[c]), pa.array(np.array(lo, np.int64)[c] + start)], names=["print", "row", "a"])
-
-    # An anchor with very many contexts is not compared in one task: its strings meet by their fingerprints.
-    heavy = compared.groupBy("mark").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST).select("mark")
-    heavy = stable(heavy)
-    light = contexts.join(heavy, "mark", "left_anti").repartition("mark").sortWithinPartitions("mark").mapInArrow(lean(compare), "row long, a long, b long")
-    spans = light
-    if not heavy.isEmpty():
-        each = contexts.join(heavy, "mark").select(*contexts.columns).mapInArrow(lean(windows), "print long, row long, a long")
-        twice = each.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-        spans = light.unionByName(each.join(twice, "print").select("row", "a", (F.col("a") + length).alias("b")).distinct())
+    contexts = held.join(need, "row").select("row", "text", "work").mapInArrow(lean(cut), "mark long, row long, at long, before int, piece binary")
+    # What is in groups of equal anchors: all distances before it, from 0 to length - k.
+    todo, drop_todo = written(contexts.select(F.col("mark").alias("key"), "row", "at", "before", "piece", F.lit(0).alias("lo"), F.lit(length - k + 1).alias("hi"), F.lit(0).cast("long").alias("whole")))
+    sizes = todo.groupBy("key").agg(F.count("*").alias("n"), F.lit(False).alias("same"))
+    spans, drops = [], [drop_todo]
+    freed(spark)
+    while True:
+        sizes, drop_sizes = written(sizes.where("n > 1"))
+        drops.append(drop_sizes)
+        placed = todo.join(sizes, "key")
+        near = placed.where(~F.col("same") & (F.col("n") <= most)).select("key", "row", "at", "before", "piece", "lo", "hi")
+        spans.append(near.repartition("key").sortWithinPartitions("key").mapInArrow(lean(lambda b: _compared(b, length, k)), "row long, a long, b long"))
+        # All strings at these distances are equal in the whole group.
+        a = F.col("at") - F.least(F.col("hi") - 1, F.col("before"))
+        b = F.col("at") + F.least(F.lit(length) - F.col("lo"), F.length("piece") - F.col("before"))
+        spans.append(placed.where("same").select("row", a.cast("long").alias("a"), b.cast("long").alias("b")))
+        if sizes.where(~F.col("same") & (F.col("n") > most)).isEmpty():
+            break
+        # Too many contexts for a task: they are parted by ranges of distances and the bytes that all strings of a range hold.
+        large = placed.where(~F.col("same") & (F.col("n") > most)).select("key", "row", "at", "before", "piece", "lo", "hi")
+        todo, drop_todo = written(large.mapInArrow(lean(lambda b: _halved(b, length)), "key long, row long, at long, before int, piece binary, lo int, hi int, whole long"))
+        drops.append(drop_todo)
+        sizes = todo.groupBy("key").agg(F.count("*").alias("n"), (F.min("whole") == F.max("whole")).alias("same"))
     whole = work.select("row", F.explode(F.filter("work", lambda w: w.state == 1)).alias("w")).select("row", F.col("w.at").alias("at"))
     whole = whole.select("row", F.greatest(F.col("at") - (length - k), F.lit(0)).cast("long").alias("a"), (F.col("at") + length).cast("long").alias("b"))
-    return whole.unionByName(spans).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    out, _ = written(reduce(DataFrame.unionByName, [whole, *spans]).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    for gone in [drop_work, *drops]:
+        gone()
+    freed(spark)
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch], length: int, k: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """(row, a, b): spans of repeated strings, of whole groups (key, row, at, before, piece, lo, hi), some at a time."""
+
+    def told(tables: list[pa.Table]) -> pa.RecordBatch:
+        key, row, at, before, lo, hi = (np.concatenate([t.column(c).to_numpy() for t in tables]).astype(np.int64) for c in ("key", "row", "at", "before", "lo", "hi"))
+        pieces = [x.as_py() for t in tables for x in t.column("piece")]
+        c, first, last = repeated_around(key, before, pieces, lo, hi, length, k)
+        return pa.record_batch([pa.array(x) for x in (row[c], at[c] - last, at[c] - first + length)], names=["row", "a", "b"])
+
+    held: list[pa.Table] = []
+    for group in sorted_groups(batches):
+        if held and sum(t.num_rows for t in held) + group.num_rows > rows:
+            yield told(held)
+            held = []
+        held.append(group)
+    if held:
+        yield told(held)
+
+
+def _halved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Each context once for either half of its distances lo <= l < hi, with a key of the bytes that the strings at all
+    of those have in common, and a fingerprint of those that they reach together."""
+    import xxhash
+
+    for batch in batches:
+        out = []
+        for key, row, at, before, piece, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            middle = (lo + hi) // 2
+            for a, b in ((lo, middle), (middle, hi)):
+                core = before - a, before + length - b + 1
+                if a < b and core[0] >= 0 and core[1] <= len(piece):
+                    name = xxhash.xxh3_64_intdigest(piece[core[0] : core[1]], seed=xxhash.xxh3_64_intdigest(f"{key} {a}".encode())) - (1 << 63)
+                    reach = max(0, before - b + 1), before + length - a
+                    whole = xxhash.xxh3_64_intdigest(piece[reach[0] : reach[1]], seed=before - reach[0]) - (1 << 63)
+                    out.append((name, row, at, before, piece, a, b, whole))
+        if out:
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "row", "at", "before", "piece", "lo", "hi", "whole"])
 
 
 def _cut_rows(out: list[tuple]) -> pa.RecordBatch:
@@ -289,19 +349,19 @@ def _cut_rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["mark", "row", "lo", "before", "piece"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """Every document without its repeated bytes: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
+    """Every document without its repeated bytes: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, text (kept as text).
 
     Null texts are empty; texts under `length` bytes lose nothing. Repeated rows are copies
-    as any others. Rows may share or lack a doc_id. Other columns are not read.
+    as any others. In `text` a character that a cut parts is U+FFFD. Rows may share or lack a doc_id. Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     own = _named(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    spans = stable(repeated_spans(own, length, k))
-    may, clean = _among(spans)
+    spans = repeated_spans(own, length, k, most)
+    may, clean = _among(spans, "row", "row")
     # A text without repeats passes by; only the others meet their spans.
     told = may(own).join(spans, "row", "left").select("doc_id", "text", "spans")
-    told = told.unionByName(clean(own).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
+    told = told.unionByName(clean(own.select("row", "text", "doc_id")).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
@@ -319,12 +379,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                     parts.append(raw[at:a])
                     at = b
                 rest = b"".join([*parts, raw[at:]])
-                rows.append((doc_id, n, n - len(rest), len(runs), rest, hashlib.sha256(rest).hexdigest()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = [pa.int64()] * 4 + [pa.binary(), pa.string()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                rows.append((doc_id, n, n - len(rest), len(runs), rest, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace")))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            types = [pa.int64()] * 4 + [pa.binary(), pa.string(), pa.string()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "text"])
 
-    return told.mapInArrow(lean(kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return told.mapInArrow(lean(kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, text string")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

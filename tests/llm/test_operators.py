@@ -103,9 +103,34 @@ def test_running_sums_place_every_row_once(spark):
         assert out[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(out, out[1:], strict=False))
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "MOST", most)
+def test_longest_factors_equal_brute_force():
+    rng = random.Random(13)
+    length, k = 24, 6
+    for _ in range(60):
+        groups, befores, pieces = [], [], []
+        for g in range(rng.randrange(1, 4)):
+            anchor, stems = bytes(rng.choices(b"ab", k=k)), [bytes(rng.choices(b"a\0", k=50)) for _ in range(2)]
+            for _ in range(rng.randrange(1, 9)):
+                stem = bytearray(rng.choice(stems))
+                for _ in range(rng.randrange(0, 3)):
+                    stem[rng.randrange(50)] = rng.choice(b"a\0c")
+                before, behind = rng.randrange(0, length - k + 1), rng.randrange(0, length - k + 1)
+                groups.append(g)
+                befores.append(before)
+                pieces.append(bytes(stem[20 - before : 20]) + anchor + bytes(stem[20 : 20 + behind]))
+        got = suffix_dedup.longest_factors(np.array(groups), np.array(befores), pieces, length, k)
+        for i, (g, b, x) in enumerate(zip(groups, befores, pieces, strict=True)):
+            for l in range(length - k + 1):
+                best = 0
+                for j, (h, c, y) in enumerate(zip(groups, befores, pieces, strict=True)):
+                    if i != j and g == h and b >= l and c >= l and x[b - l : b] == y[c - l : c]:
+                        u, v = x[b - l :], y[c - l :]
+                        best = max(best, next((n for n in range(min(len(u), len(v))) if u[n] != v[n]), min(len(u), len(v))))
+                assert got[l, i] == best, (l, i)
+
+
+@pytest.mark.parametrize("most", [suffix_dedup.MOST, 1])
+def test_suffix_dedup_equals_brute_force(spark, most):
     rng = random.Random(3)
     passage = words(rng, 150)
     texts = [words(rng, rng.randrange(1, 300)) for _ in range(15)]
@@ -113,7 +138,7 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, most):
     texts += ["ab" * 900, "z" * 1000, "z" * 399, "é" * 500, *ODD]
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(spark, texts)).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(spark, texts), most=most).collect()}
     for i, b in enumerate(raw):
         gone = np.zeros(len(b) + 401, bool)
         for p in range(len(b) - 399):
@@ -123,7 +148,7 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, most):
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()), i
-        assert bytes(got[i].kept) == kept
+        assert bytes(got[i].kept) == kept and got[i].text == kept.decode(errors="replace")
 
 
 def test_suffix_dedup_of_an_empty_table(spark):
