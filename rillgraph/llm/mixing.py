@@ -74,13 +74,16 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, block: int = BLOC
     placed = running(named, ["__mix_source"], ["doc_id", "__mix_hash"], "__mix_size", "__mix_at")
     totals = {r["__mix_source"]: -(-r["n"] // block) for r in named.groupBy("__mix_source").agg(F.sum("__mix_size").alias("n")).collect()}
     rows = schedule(totals, shares, default)
-    # One row per source and phase: at most the square of the number of sources.
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(rows, "__mix_source string, __mix_first long, __mix_past long, __mix_shares long, __mix_period long, __mix_start long, __mix_slots array<long>")
-    number = F.floor(F.col("__mix_at") / F.lit(block))
-    found = placed.withColumn("block", number).join(F.broadcast(plan) if len(rows) <= 4096 else plan, "__mix_source").where("block >= __mix_first and block < __mix_past")
-    j = F.col("block") - F.col("__mix_first")
-    slot = F.col("__mix_start") + F.floor(j / F.col("__mix_shares")) * F.col("__mix_period") + F.element_at("__mix_slots", (j % F.col("__mix_shares") + 1).cast("int"))
+    # One row per source, with its phases: at most the square of the number of sources in all.
+    phases: dict[str, list[tuple]] = {s: [] for s in totals}
+    for s, *phase in rows:
+        phases[s].append(tuple(phase))
+    plan = docs.sparkSession.createDataFrame(list(phases.items()), "__mix_source string, __mix_phases array<struct<first:long,past:long,shares:long,period:long,start:long,slots:array<long>>>")
+    found = placed.withColumn("block", F.floor(F.col("__mix_at") / F.lit(block))).join(F.broadcast(plan) if len(rows) <= 4096 else plan, "__mix_source")
+    found = found.withColumn("__mix_phase", F.get(F.filter("__mix_phases", lambda p: (F.col("block") >= p.first) & (F.col("block") < p.past)), 0))
+    phase = lambda name: F.col(f"__mix_phase.{name}")
+    j = F.col("block") - phase("first")
+    slot = phase("start") + F.floor(j / phase("shares")) * phase("period") + F.element_at(phase("slots"), (j % phase("shares") + 1).cast("int"))
     found = found.withColumn("slot", slot.cast("long")).withColumn("place", (F.col("__mix_at") - F.col("block") * block).cast("long"))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("block", "slot", "place")], "block", "slot", "place")
 
