@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stable, table
+from .common import components, lean, stable, table, written
 
 COSINE, TABLES, PROJECTIONS, WIDTH = 0.98, 12, 14, 2.0
 BLOCK = 2048  # rows of a bucket that one task compares with as many others
@@ -88,18 +88,26 @@ def near_groups(table_: DataFrame, cosine: float = COSINE, tables: int = TABLES,
                 x /= np.abs(x).max(1, keepdims=True)
                 keys[at] = buckets(x / np.linalg.norm(x, axis=1, keepdims=True), tables, count, width) ^ np.uint64(size)
             keys ^= np.array(label, np.int64).view(np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)
-            t = np.tile(np.arange(tables, dtype=np.uint64), len(raw))
+            yield pa.record_batch([pa.array(name, pa.int64()), pa.array(copies, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(raw, pa.binary())], names=["name", "copies", "keys", "v"])
+
+    vectors, drop_vectors = written(kinds.select("name", "copies", "label", "v").mapInArrow(lean(hashed), "name long, copies long, keys binary, v binary"))
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, tables)
+            t = np.tile(np.arange(tables, dtype=np.uint64), len(keys))
             bucket = ((keys.ravel() ^ t * np.uint64(0x9FB21C651E98DF25)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-            where = np.repeat(np.arange(len(raw)), tables)
-            yield pa.record_batch([pa.array(bucket), pa.array(t.astype(np.int32)), pa.array(np.array(name)[where]), pa.array(np.array(copies)[where]), pa.array([k.tobytes() for k in keys], pa.binary()).take(pa.array(where)), pa.array(raw, pa.binary()).take(pa.array(where))], names=["bucket", "t", "name", "copies", "keys", "v"])
+            yield pa.record_batch([pa.array(bucket), pa.array(t.astype(np.int32)), pa.array(np.repeat(batch.column(0).to_numpy(), tables))], names=["bucket", "t", "name"])
 
-    entries = kinds.select("name", "copies", "label", "v").mapInArrow(hashed, "bucket long, t int, name long, copies long, keys binary, v binary")
-    # Buckets with one entry give nothing; those with more than a block are compared block by block.
-    sizes = kinds.select("name", "copies", "label", "v").mapInArrow(lambda b: (x.select(["bucket"]) for x in hashed(b)), "bucket long").groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # Names first: buckets with one entry give nothing, and of buckets that hold the same vectors in several tables the
+    # first has compared them all. Only then is each vector sent to the buckets that are left; large ones are compared block by block.
+    entries, drop_entries = written(vectors.select("name", "keys").mapInArrow(lean(entered), "bucket long, t int, name long"))
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("t").alias("t"), F.bit_xor(F.xxhash64("name")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("y")).where("size > 1")
+    sizes = sizes.groupBy("size", "x", "y").agg(F.min(F.struct("t", "bucket")).alias("first")).select(F.col("first.bucket").alias("bucket"), "size")
     blocks = F.ceil(F.col("size") / block).cast("int")
     entries = entries.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("name"), blocks).cast("int"))
-    entries = entries.select("bucket", "t", "name", "copies", "keys", "v", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    entries = entries.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
+    entries = entries.select("bucket", "t", "name", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).join(vectors, "name")
+    entries = entries.select("bucket", "t", "name", "copies", "keys", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -136,6 +144,8 @@ def near_groups(table_: DataFrame, cosine: float = COSINE, tables: int = TABLES,
 
     found = entries.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(compared, "name long, links long, to long")
     found = stable(found)
+    drop_vectors()
+    drop_entries()
     degree = found.where("links is not null").groupBy("name").agg(F.sum("links").alias("links"))
     roots = components(found.where("to is not null").select(F.col("name").alias("a"), F.col("to").alias("b")).distinct())
     told = kinds.select("name", "copies", "least").join(degree, "name", "left").join(roots, F.col("name") == F.col("node"), "left")
