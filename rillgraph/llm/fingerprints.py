@@ -61,6 +61,28 @@ def _following(keys: DataFrame, width: int = BUCKET) -> DataFrame:
     return inside.join(ahead, "span").select("bucket", F.coalesce("following", "next_first").alias("following"))
 
 
+def _bucketed(own: DataFrame, fan: int = 64) -> DataFrame:
+    """own with `bucket`, about BUCKET neighbours by doc_id: equal steps inside each of fan * fan quantiles, so ids
+    that lie far off widen the steps of one quantile alone. The tables that say so are bounded: fan * fan rows."""
+    shares = [(i + 1) / fan for i in range(fan)]
+    ids = own.select("doc_id").where("doc_id is not null")
+    cut = lambda c: F.percentile_approx(c, shares, 10_000)
+    at = lambda cuts, c: F.size(F.filter(cuts, lambda x: x < c)).cast("long")
+    outer = ids.agg(cut("doc_id")).first()[0] or []
+    outer = F.array(*[F.lit(x) for x in outer]) if outer else F.array().cast("array<bigint>")
+    inner = {r.o: r.cuts for r in ids.groupBy(at(outer, F.col("doc_id")).alias("o")).agg(cut("doc_id").alias("cuts")).collect()}
+    cuts = F.create_map(*[x for o, c in sorted(inner.items()) for x in (F.lit(o), F.array(*[F.lit(v) for v in c]))]) if inner else F.create_map().cast("map<bigint,array<bigint>>")
+    o = at(outer, F.col("doc_id"))
+    part = o * (fan + 1) + at(F.element_at(cuts, o), F.col("doc_id"))
+    stats = ids.groupBy(part.alias("part")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    step = F.greatest(F.lit(1.0), (F.col("hi").cast("double") - F.col("lo").cast("double") + 1) / F.col("n") * BUCKET)
+    stats = F.broadcast(stats.select(F.col("part").alias("_at"), F.col("lo").cast("double").alias("_lo"), step.alias("_step")))
+    nameless = F.lit((fan + 1) ** 2 << 40) + F.pmod(F.xxhash64("text"), F.lit(1024))
+    rows = own.withColumn("_part", part).join(stats, F.col("_part") == F.col("_at"), "left")
+    bucket = F.col("_part") * F.lit(1 << 40) + F.floor((F.col("doc_id").cast("double") - F.col("_lo")) / F.col("_step")).cast("long")
+    return rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), nameless).otherwise(bucket).alias("bucket"))
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document.
 
@@ -71,13 +93,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    # Buckets of about BUCKET neighbours, whatever the ids' spacing; one row of statistics.
-    lo, hi, n = own.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    lo, hi = (lo or 0), (hi or 0)
-    width = max(1.0, (hi - lo + 1) / max(n, 1) * BUCKET)
-    last = int((hi - lo) // width) + 2
-    bucket = F.when(F.col("doc_id").isNotNull(), F.floor((F.col("doc_id").cast("double") - F.lit(float(lo))) / F.lit(width))).otherwise(F.lit(last) + F.pmod(F.xxhash64("text"), F.lit(1024)))
-    own = own.withColumn("bucket", bucket.cast("long"))
+    own = _bucketed(own)
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
     ahead = Window.partitionBy("bucket").orderBy(*order)
     marked = own.select("doc_id", "text", "bucket", digest(canonical(F.col("text"))).alias("fingerprint"))
