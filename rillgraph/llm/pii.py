@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from .common import table
 
 ROUNDS = 10
-DAYS = 270  # dates are a pair of base-270 digits: 72,900 days from 1900-01-01
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+#: The days from 1900-01-01 to 2099-12-31 are 17 * 4297.
+DAYS = (17, 4297)
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-DATE = r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9])"
-PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+DATE = r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}-[0-9]{2}-(?:19|20)[0-9]{2})(?![0-9])"
+NATIONAL = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+#: A plus, a country code and 7 to 12 digits in any groups.
+INTERNATIONAL = r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]\)?){7,12}(?![0-9])"
+PHONE = rf"(?:{NATIONAL}|{INTERNATIONAL})"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 #: Groups of digits, 13 digits or more, up to where another value starts; the cards among them are found by `_cards`.
@@ -92,10 +96,13 @@ def _card(key: Column, m: Column) -> Column:
 
 
 def _phone(key: Column, m: Column) -> Column:
-    """The ten national digits are permuted; a country code stays."""
+    """The ten national digits are permuted; a country code stays. Of other international numbers what
+    stands before the first separator stays, or the first two digits where there is none."""
     d = _digits(m)
     n = F.length(d)
-    return _fill(m, F.concat(F.substring(d, F.lit(1), n - 10), _permute_digits(key, "phone", F.substring(d, n - 9, F.lit(10)))))
+    code = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})[ .(-]", 1))
+    stays = F.when(m.rlike(f"^(?:{NATIONAL})$"), n - 10).when(code > 0, code).otherwise(F.lit(2))
+    return _fill(m, F.concat(F.substring(d, F.lit(1), stays), _permute_digits(key, "phone", F.substring(d, stays + 1, n - stays))))
 
 
 def _ip(key: Column, m: Column) -> Column:
@@ -106,33 +113,55 @@ def _ip(key: Column, m: Column) -> Column:
     return F.concat_ws(".", byte(s.a, True), byte(s.a, False), byte(s.b, True), byte(s.b, False))
 
 
-def _pattern(m: Column) -> list[tuple[Column, str]]:
-    return [(m.rlike("^[0-9]{4}-"), "yyyy-MM-dd"), (m.rlike("^[0-9]{4}/"), "yyyy/MM/dd"), (m.rlike(r"^[0-9]{2}\."), "dd.MM.yyyy"), (m.rlike("^[0-9]{2}/"), "MM/dd/yyyy")]
+#: How dates are written; two numbers before the year are month and day if that is a date, else day and month.
+FORMATS = (("^[0-9]{4}-", "yyyy-MM-dd"), ("^[0-9]{4}/", "yyyy/MM/dd"), (r"^[0-9]{2}\.", "dd.MM.yyyy"), ("^[0-9]{2}/", "MM/dd/yyyy"), ("^[0-9]{2}-", "MM-dd-yyyy"))
 
 
 def _day(m: Column) -> Column:
-    """Days from 1900-01-01 of a date in any of its formats; null where there is no such day in the domain."""
-    iso = F.lit(None).cast("string")
+    """Days from 1900-01-01 of a date; null where there is no such day or the month is not before the day."""
     part = lambda a, n: F.substring(m, F.lit(a), F.lit(n))
-    for cond, pattern in _pattern(m):
+    iso = F.lit(None).cast("string")
+    for start, pattern in FORMATS:
         at = {k: pattern.index(k) + 1 for k in ("yyyy", "MM", "dd")}
-        iso = F.when(cond, F.concat_ws("-", part(at["yyyy"], 4), part(at["MM"], 2), part(at["dd"], 2))).otherwise(iso)
-    day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
-    return F.when((day >= 0) & (day < DAYS * DAYS), day)
+        iso = F.when(m.rlike(start), F.concat_ws("-", part(at["yyyy"], 4), part(at["MM"], 2), part(at["dd"], 2))).otherwise(iso)
+    return F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
+
+
+def _is_day_first(m: Column) -> Column:
+    """dd/MM/yyyy or dd-MM-yyyy of a day that is no month."""
+    day = F.try_to_date(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)), "yyyy-MM-dd")
+    return m.rlike("^[0-9]{2}[/-]") & (F.substring(m, 1, 2).cast("int") > 12) & day.isNotNull()
+
+
+def _day_first(key: Column, m: Column) -> Column:
+    """Days 13 to 28 are permuted with their months; 29 to 31 stay, among the months and years that have them."""
+    day, month, year = (F.substring(m, a, n).cast("int") for a, n in ((1, 2), (4, 2), (7, 4)))
+    mark = F.substring(m, 3, 1)
+    said = lambda d, mo, y: F.concat(F.lpad(d.cast("string"), 2, "0"), mark, F.lpad(mo.cast("string"), 2, "0"), mark, y.cast("string"))
+    early = feistel(key, "day", day - 13, (year - 1900) * 12 + month - 1, F.lit(16), F.lit(2400))
+    leap = feistel(key, "leap", F.floor((year - 1904) / 28), F.floor((year - 1904) / 4) % 7, F.lit(7), F.lit(7))
+    months = F.when(day == 31, F.array(*[F.lit(x) for x in (1, 3, 5, 7, 8, 10, 12)])).otherwise(F.array(*[F.lit(x) for x in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)]))
+    late = feistel(key, "late", year - 1900, F.array_position(months, month) - 1, F.lit(200), F.size(months))
+    return (
+        F.when(day <= 28, said(early.a + 13, early.b % 12 + 1, F.floor(early.b / 12) + 1900))
+        .when(month == 2, said(day, month, leap.a * 28 + leap.b * 4 + 1904))
+        .otherwise(said(day, F.get(months, late.b.cast("int")), late.a + 1900))
+    )
 
 
 def _date(key: Column, m: Column) -> Column:
     day = _day(m)
-    s = feistel(key, "date", F.floor(day / DAYS), day % DAYS, F.lit(DAYS), F.lit(DAYS))
-    moved = F.date_add(F.lit("1900-01-01").cast("date"), (s.a * DAYS + s.b).cast("int"))
+    s = feistel(key, "date", F.floor(day / DAYS[1]), day % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]))
+    moved = F.date_add(F.lit("1900-01-01").cast("date"), (s.a * DAYS[1] + s.b).cast("int"))
     out = m
-    for cond, pattern in _pattern(m):
-        out = F.when(cond, F.date_format(moved, pattern)).otherwise(out)
-    return out
+    for start, pattern in FORMATS:
+        out = F.when(m.rlike(start), F.date_format(moved, pattern)).otherwise(out)
+    return F.when(day.isNull(), _day_first(key, m)).otherwise(out)
 
 
 def _email(key: Column, m: Column) -> Column:
-    """Letters and digits before the @ are shifted within their kind, either half by the other one."""
+    """Letters and digits before the @ are shifted within their kind, either half by the other one; other
+    letters than a to z within the 32 code points around them."""
     local, host = F.substring_index(m, "@", 1), F.lower(F.substring_index(m, "@", -1))
     half = F.floor(F.length(local) / 2).cast("int")
 
@@ -142,7 +171,9 @@ def _email(key: Column, m: Column) -> Column:
         def one(c: Column, j: Column) -> Column:
             s = F.conv(F.substring(stream, F.pmod(j * 2, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int")
             move = lambda base, n: F.char(F.lit(base) + F.pmod(F.ascii(c) - base + s, F.lit(n)))
-            return F.when(c.rlike("^[a-z]$"), move(97, 26)).when(c.rlike("^[A-Z]$"), move(65, 26)).when(c.rlike("^[0-9]$"), move(48, 10)).otherwise(c)
+            code = F.ascii(c)
+            wide = F.decode(F.unhex(F.lpad(F.hex(code - code % 32 + (code + s) % 32), 4, "0")), "UTF-16BE")
+            return F.when(c.rlike("^[a-z]$"), move(97, 26)).when(c.rlike("^[A-Z]$"), move(65, 26)).when(c.rlike("^[0-9]$"), move(48, 10)).when(c.rlike(r"^[\x{80}-\x{D7FF}]$"), wide).otherwise(c)
 
         return F.array_join(F.transform(F.split(part, ""), one), "")
 
@@ -162,8 +193,8 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
         .when(whole(IPV4), F.when(octets, "ip").otherwise(""))
-        .when(whole(DATE), F.when(_day(m).isNotNull(), "date").otherwise(""))
-        .when(whole(PHONE), "phone")
+        .when(whole(DATE), F.when(_day(m).isNotNull() | _is_day_first(m), "date").otherwise(""))
+        .when(whole(PHONE), F.when(_digits(m).rlike("^[0-9]{0,3}0{10}$"), "").otherwise("phone"))
         .when(whole(SSN), F.when(~area.isin("000", "666") & ~area.startswith("9"), "ssn").otherwise(""))
         .otherwise("")
     )

@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from datetime import date, datetime
 
 import numpy as np
 import pytest
@@ -342,6 +343,33 @@ def test_pii_leaves_what_is_not_personal(spark):
     assert len(set(re.findall(r"\d+\.\d+\.\d+\.\d+", both[1].text))) == 1 and (both[1].n_ip, both[1].n_phone) == (2, 1)
 
 
+def test_pii_dates_of_every_order_and_year(spark):
+    every = [d.strftime("%Y-%m-%d") for d in (date(1900, 1, 1), date(2000, 2, 29), date(2099, 8, 5), date(2099, 12, 31))]
+    months = [date(y, 1 + i % 12, 1 + i * 7 % 28) for y in range(1900, 2100, 7) for i in range(12)]
+    shown = every + [f"{d:%m/%d/%Y}" for d in months] + [f"{d:%d/%m/%Y}" for d in months if d.day > 12] + ["31/12/2020", "31-12-2020", "29/02/2000", "29/02/1904", "30/04/1999", "29/03/2001", "05-01-2024", "31.12.2020"]
+    shown = list(dict.fromkeys(shown))
+    out = feistel_values(spark, "date", shown)
+    assert len(set(out)) == len(shown) and sum(a == b for a, b in zip(shown, out, strict=True)) <= 3
+    for a, b in zip(shown, out, strict=True):
+        assert re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b)
+        if a[2] in "/-":
+            first, second, year = int(b[:2]), int(b[3:5]), int(b[6:])
+            assert date(year, first, second) if int(a[:2]) <= 12 else first > 12 and date(year, second, first)
+        else:
+            assert datetime.strptime(b, "%d.%m.%Y" if a[2] == "." else "%Y-%m-%d")
+    kept = ["30/02/2020", "32/12/2020", "00/00/2020", "29-02-1900", "000-000-0000"]
+    assert [r.text for r in pii.pseudonymise(docs(spark, kept)).orderBy("doc_id").collect()] == kept
+
+
+def test_pii_of_other_alphabets_and_countries(spark):
+    rows = ["jürgen@x.org", "+44 20 7946 0958", "+442079460958", "tel +49 (30) 1234567, 日本@x.org", "jürgen@x.org", ""]
+    table = docs(spark, rows)
+    got = [r.text for r in pii.pseudonymise(table.unionByName(table)).orderBy("doc_id").collect()]
+    assert got[0] == got[1] == got[8] and got[10] == "" and pii.pseudonymise(docs(spark, [])).count() == 0
+    assert re.fullmatch(r".{6}@x\.org", got[0]) and got[0][:2] != "jü" and re.fullmatch(r"\+44 \d\d \d{4} \d{4}", got[2]) and got[2] != rows[1]
+    assert re.fullmatch(r"\+44\d{10}", got[4]) and got[4] != rows[2] and re.fullmatch(r"tel \+49 \(\d\d\) \d{7}, ..@x\.org", got[6]) and "1234567" not in got[6] and "日本" not in got[6]
+
+
 def test_pii_with_clashing_columns(spark):
     got = pii.pseudonymise(docs(spark, ["10.1.2.3"]).withColumn("n_ip", F.lit("x")).withColumn("_text", F.lit(1)).drop("_text"))
     assert got.columns.count("n_ip") == 1 and got.first().n_ip == 1
