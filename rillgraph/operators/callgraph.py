@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import closure, grown, stable
+from ..plans.fixpoint import Known, closure, stable
 
 RELATIONS = (0, 2, 3)
 
@@ -79,18 +79,21 @@ def paths(edges: DataFrame, nodes: DataFrame, source: str, target: str, limit: i
             raise LookupError(f"{flag}: no function or contract has this in its name")
     step = stable(edges.where(F.col("rel").isin(*RELATIONS)).select(F.col("src").alias("node"), "dst").distinct())
     walk = stable(start.select("node", F.array("node").alias("path")))
-    found: DataFrame | None = None
+    found = Known(edges.sparkSession, walk.select("path").schema)
+    # Nodes from which a target is within reach; no walk goes on elsewhere.
+    near = closure(goal, step.select(F.col("dst").alias("src"), F.col("node").alias("dst")), [])
+    step = stable(step.join(near.select(F.col("node").alias("dst")), "dst", "left_semi").select("node", "dst"))
     for depth in range(1, max_depth + 1):
         hit = walk.join(goal, "node", "left_semi").select("path")
-        found = stable(hit) if found is None else grown(found, hit)
+        found.add(hit)
         # A shorter path beats any longer one: enough of them end the search.
-        if depth == max_depth or found.limit(limit).count() >= limit:
+        if depth == max_depth or found.rows().limit(limit).count() >= limit:
             break
         on = walk.join(goal, "node", "left_anti").join(step, "node").where(~F.array_contains("path", F.col("dst")))
         walk = stable(on.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")))
         if walk.isEmpty():
             break
-    return found.select("path", F.size("path").cast("long").alias("length")).orderBy("length", "path").limit(limit)
+    return found.rows().select("path", F.size("path").cast("long").alias("length")).orderBy("length", "path").limit(limit)
 
 
 def graph_dump(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,21 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import grown, stable
+from ..plans.fixpoint import Known, stable
 
 
-def sinks_of_cells(reads: DataFrame, copies: DataFrame, rounds: int = 64) -> DataFrame:
+def sinks_of_cells(reads: DataFrame, copies: DataFrame, rounds: int = 1000) -> DataFrame:
     """(cell, class, reader, assert_type): the sinks that data in the cell reaches; an assertion is about the
     reader's own cell and falls away when data came through another."""
-    found = new = stable(reads.where("class <> ''").select("cell", "class", F.col("fn").alias("reader"), "assert_type").distinct())
+    found = reads.where("class <> ''").select("cell", "class", F.col("fn").alias("reader"), "assert_type").distinct()
+    known = Known(reads.sparkSession, found.schema)
+    new = known.add(found)
     back = stable(copies.select(F.col("dst").alias("cell"), "src").distinct())
     for _ in range(rounds):
         more = new.join(back, "cell").select(F.col("src").alias("cell"), "class", "reader", F.lit("").alias("assert_type")).distinct()
-        new = stable(more.join(found, found.columns, "left_anti"))
+        new = known.add(more.join(known.rows(), more.columns, "left_anti"))
         if new.isEmpty():
-            break
-        found = grown(found, new)
-    return found
+            return known.rows()
+    raise RuntimeError("cells did not settle")
 
 
 def admits(assert_type, written):

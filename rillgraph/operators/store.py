@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_parts, slot_text
@@ -21,10 +21,15 @@ def lines_of(flows: DataFrame, hits: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def _parts(items: Column) -> Column:
+    """A list as one text that no other list gives: each item after its length."""
+    return F.array_join(F.transform(items, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), "")
+
+
 def keys(functions: DataFrame, calls: DataFrame, behaviours: DataFrame) -> DataFrame:
     """(iid, key) from functions(iid, bid, source_params), calls(iid, callee) and the callees' behaviour."""
-    used = calls.distinct().join(behaviours.select(F.col("iid").alias("callee"), "behaviour"), "callee").groupBy("iid").agg(F.array_join(F.array_sort(F.collect_set("behaviour")), "\n").alias("of_callees"))
-    params = F.array_join(F.array_sort(F.array_distinct("source_params")).cast("array<string>"), ",")
+    used = calls.distinct().join(behaviours.select(F.col("iid").alias("callee"), "behaviour"), "callee").groupBy("iid").agg(_parts(F.array_sort(F.collect_set("behaviour"))).alias("of_callees"))
+    params = _parts(F.array_sort(F.array_distinct("source_params")).cast("array<string>"))
     return functions.join(used, "iid", "left").select("iid", hash_parts(F.col("iid"), F.col("bid"), params, F.coalesce("of_callees", F.lit(""))).alias("key"))
 
 

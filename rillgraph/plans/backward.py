@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import paths_comparable, residual_after
-from .fixpoint import grown, stable
+from .fixpoint import Known, stable
 from .taint import Program, Result
 
 MAX_DEMAND = 8
@@ -109,8 +109,9 @@ def confirm(found: DataFrame, result: Result, program: Program, rounds: int = 20
     tops = stable(found.where("via = ''").select("fn", "cs", finding.alias("top"), sink_frame.alias("frame"), "term_fn", "term_cs", "class"))
     direct = tops.where("fn = term_fn and cs = term_cs").join(facts.sinks, ["fn", "cs", "class"]).select("fn", F.col("top").alias("frame"), "vid", none.alias("rest"), F.lit(True).alias("exact"))
 
-    new = stable(base.unionByName(direct).distinct())
-    started, states = new, None
+    base = base.unionByName(direct).distinct()
+    started = Known(base.sparkSession, base.schema)
+    new, states = started.add(base), None
     for _ in range(rounds):
         reached = stable(_walked(edges, new))
         states = stable((reached if states is None else states.unionByName(reached)).groupBy("fn", "frame", "vid", "rest").agg(F.max("exact").alias("exact")))
@@ -130,10 +131,9 @@ def confirm(found: DataFrame, result: Result, program: Program, rounds: int = 20
         callers = up.select("fn", F.col("inner").alias("frame"), "vid", left.alias("rest"), F.col("sure").alias("exact"))
         top = up.join(tops.select("fn", "cs", "top", F.col("frame").alias("inner")), ["fn", "cs", "inner"]).select("fn", F.col("top").alias("frame"), "vid", left.alias("rest"), F.col("sure").alias("exact"))
         more = opened.unionByName(back).unionByName(callers).unionByName(top).distinct()
-        new = stable(more.join(started, STATE, "left_anti"))
+        new = started.add(more.join(started.rows(), STATE, "left_anti"))
         if new.isEmpty():
             break
-        started = grown(started, new)
     else:
         raise RuntimeError("the walk back did not settle")
 

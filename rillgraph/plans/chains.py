@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import confidence, slot_text
-from .fixpoint import grown, stable
+from .fixpoint import Known, stable
 from .taint import UNMODELED, Program, Result
 
 MAX_DEPTH = 32
@@ -34,7 +34,8 @@ def routes(result: Result, program: Program, depth: int = MAX_DEPTH) -> DataFram
     """(fn, class, cs, term_fn, term_cs, hops, confidence): for each source hit the functions and call sites on its way.
 
     At each level the smallest call site, vertex, callee and slot that leads to the terminal
-    without entering a function twice is taken; the confidence is the least of the hops'.
+    without entering a function twice through one slot is taken; the confidence is the least of the
+    hops'. A hit without a complete route of at most `depth` functions has no hops and a null confidence.
     """
     steps = result.steps.where("via = ''").withColumn("seed", slot_text(F.col("in_slot"), F.col("in_path")))
     if program.contract is not None:
@@ -46,23 +47,25 @@ def routes(result: Result, program: Program, depth: int = MAX_DEPTH) -> DataFram
     steps = stable(steps.join(site, ["fn", "cs"]).select("fn", "seed", "class", "cs", "term_fn", "term_cs", "vid", "callee", "through", "body", "callee_fqn", "conf").distinct())
     key = ["src", "class", "cs0", "term_fn", "term_cs"]
     first = steps.where("seed = 'source'").select(F.col("fn").alias("src"), "class", F.col("cs").alias("cs0"), "term_fn", "term_cs").distinct()
-    front = first.select(*key, F.col("src").alias("fn"), F.lit("source").alias("seed"), F.col("cs0").alias("at"), F.array().cast("array<string>").alias("hops"), F.array("src").alias("seen"), F.lit(1.0).alias("conf"))
-    done: DataFrame | None = None
+    front = first.select(*key, F.col("src").alias("fn"), F.lit("source").alias("seed"), F.col("cs0").alias("at"), F.array().cast("array<string>").alias("hops"), F.array(F.concat_ws("|", "src", F.lit("source"))).alias("seen"), F.lit(1.0).alias("conf"))
+    done: Known | None = None
     for _ in range(depth):
         s = steps.select("fn", "seed", "class", "term_fn", "term_cs", "cs", "callee", "through", "body", "callee_fqn", F.col("conf").alias("c"))
         on = front.join(s, ["fn", "seed", "class", "term_fn", "term_cs"]).where(F.col("at").isNull() | (F.col("at") == F.col("cs")))
-        on = on.where((F.col("callee") == "") | ~F.array_contains("seen", F.col("body")))
+        on = on.where((F.col("callee") == "") | ~F.array_contains("seen", F.concat_ws("|", "body", "through")))
         hop = F.concat_ws("#", "fn", F.col("cs").cast("string"), "callee_fqn")
-        on = on.select(*key, "body", "callee", "through", F.concat("hops", F.array(hop)).alias("hops"), F.concat("seen", F.array("body")).alias("seen"), F.least("conf", "c").alias("conf"))
+        on = on.select(*key, "body", "callee", "through", F.concat("hops", F.array(hop)).alias("hops"), F.concat("seen", F.array(F.concat_ws("|", "body", "through"))).alias("seen"), F.least("conf", "c").alias("conf"))
         ended = on.where("callee = ''").select(*key, "hops", "conf")
-        done = stable(ended) if done is None else grown(done, ended)
+        done = done or Known(ended.sparkSession, ended.schema)
+        done.add(ended)
         # The smallest ways on; a shorter complete route ends the search of its hit.
-        rest = on.where("callee <> ''").join(done.select(*key).distinct(), key, "left_anti")
+        rest = on.where("callee <> ''").join(done.rows().select(*key).distinct(), key, "left_anti")
         pick = Window.partitionBy(*key, "body", "through").orderBy(F.array_join("hops", "|"))
         front = rest.withColumn("_r", F.row_number().over(pick)).where("_r = 1").select(*key, F.col("body").alias("fn"), F.col("through").alias("seed"), F.lit(None).cast("int").alias("at"), "hops", "seen", "conf")
         front = stable(front)
         if front.isEmpty():
             break
     best = Window.partitionBy(*key).orderBy(F.size("hops"), F.array_join("hops", "|"))
-    out = done.withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    out = done.rows().withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    out = first.join(out, key, "left").withColumn("hops", F.coalesce("hops", F.array().cast("array<string>")))
     return out.select(F.col("src").alias("fn"), "class", F.col("cs0").alias("cs"), "term_fn", "term_cs", "hops", F.col("conf").alias("confidence"))

@@ -77,12 +77,6 @@ class Known:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
-def grown(known: DataFrame, new: DataFrame) -> DataFrame:
-    """known and new, kept; rounds do not add partitions without end."""
-    most = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stable(known.unionByName(new).coalesce(most))
-
-
 def closure(start: DataFrame, step: DataFrame, key: list[str], src: str = "src", dst: str = "dst", rounds: int = 10_000) -> DataFrame:
     """All (key..., node) that `start` reaches along step(src, dst), start included.
 

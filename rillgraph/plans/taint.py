@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import getter_field, paths_comparable, slot_base, slot_path, slot_text
 from ..operators import policy as po
-from .fixpoint import grown, stable
+from .fixpoint import Known, stable
 
 OUT, IN = -1, -2  # pseudo vertices: data that leaves by a stream, data that a helper received
 UNMODELED = "unmodeled-write"
@@ -257,19 +257,19 @@ def _edges_of(flows: DataFrame, facts: Facts) -> DataFrame:
 
 def summarise(facts: Facts, contract: DataFrame | None, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(reach, flows) at the least fixpoint."""
-    edges = facts.edges
-    reach = stable(close(edges, facts.seeds))
+    known = Known(facts.edges.sparkSession, facts.edges.schema)
+    known.add(facts.edges)
+    reach = stable(close(known.rows(), facts.seeds))
     for _ in range(rounds):
         flows = _flows(reach, facts)
         if contract is not None:
             flows = flows.unionByName(viewed_flows(flows, contract))
         flows = stable(flows.distinct())
-        new = stable(_edges_of(flows, facts).join(edges, ["fn", "src", "dst", "call"], "left_anti"))
+        new = known.add(_edges_of(flows, facts).join(known.rows(), ["fn", "src", "dst", "call"], "left_anti"))
         if new.isEmpty():
             return reach, flows
-        edges = grown(edges, new)
         changed = new.select("fn").distinct()
-        again = close(edges.join(changed, "fn", "left_semi"), facts.seeds.join(changed, "fn", "left_semi"))
+        again = close(known.rows().join(changed, "fn", "left_semi"), facts.seeds.join(changed, "fn", "left_semi"))
         reach = stable(reach.join(changed, "fn", "left_anti").unionByName(again))
     raise RuntimeError("summaries did not settle")
 
@@ -287,7 +287,9 @@ def find_hits(reach: DataFrame, facts: Facts, contract: DataFrame | None, heap:
         base = base.unionByName(written.select("fn", *seed, "class", F.lit(-1).cast("int").alias("cs"), "term_fn", "term_cs", F.concat_ws("|", "cell", "reader").alias("via"), "vid", F.lit("").alias("callee"), F.lit("").alias("through")))
     use = live.join(facts.inputs, ["fn", "vid"]).select("fn", *seed, "cs", "vid", "callee", "slot", "path")
     use = stable(use)
-    steps = new = stable(base.distinct())
+    base = base.distinct()
+    known = Known(base.sparkSession, base.schema)
+    new = known.add(base)
     for _ in range(rounds):
         hit = new.select(*HIT).distinct()
         if contract is not None:
@@ -295,15 +297,13 @@ def find_hits(reach: DataFrame, facts: Facts, contract: DataFrame | None, heap:
         h = hit.select(F.col("fn").alias("callee"), F.col("in_slot").alias("slot"), F.col("in_path").alias("_path"), "class", "term_fn", "term_cs", "via")
         more = use.join(h, ["callee", "slot"]).where(paths_comparable(F.col("path"), F.col("_path")))
         more = more.select("fn", "in_slot", "in_path", "class", "cs", "term_fn", "term_cs", "via", "vid", "callee", slot_text(F.col("slot"), F.col("_path")).alias("through")).distinct()
-        fresh = stable(more.join(steps, more.columns, "left_anti"))
-        if fresh.isEmpty():
-            return steps
-        steps = grown(steps, fresh)
-        new = fresh
+        new = known.add(more.join(known.rows(), more.columns, "left_anti"))
+        if new.isEmpty():
+            return known.rows()
     raise RuntimeError("hits did not settle")
 
 
-def cell_hits(flows: DataFrame, hits: DataFrame, rounds: int = 64) -> DataFrame:
+def cell_hits(flows: DataFrame, hits: DataFrame, rounds: int = 1000) -> DataFrame:
     """heap(cell, class, reader, reader_slot, assert_type, term_fn, term_cs): sinks that a write to the cell reaches.
 
     Readers are keyed by global slots; a cell that is copied to another reaches its sinks too,
@@ -315,14 +315,18 @@ def cell_hits(flows: DataFrame, hits: DataFrame, rounds: int = 64) -> DataFrame:
     direct = hits.where("via = ''").where(is_cell("in_slot")).select(split(F.col("in_slot"), 0).alias("cell"), "class", F.col("fn").alias("reader"), slot_text(F.col("in_slot"), F.col("in_path")).alias("reader_slot"), split(F.col("in_slot"), 1).alias("assert_type"), "term_fn", "term_cs")
     copies = flows.where(is_cell("in_slot") & is_cell("out_slot")).select(split(F.col("in_slot"), 0).alias("src"), split(F.col("out_slot"), 0).alias("cell")).distinct()
     written = flows.where(is_cell("out_slot")).select(split(F.col("out_slot"), 0).alias("cell"), "out_path").distinct()
-    found = new = stable(direct.distinct())
+    direct = direct.distinct()
+    known = Known(direct.sparkSession, direct.schema)
+    new = known.add(direct)
     copies = stable(copies)
     for _ in range(rounds):
         more = new.join(copies, "cell").select(F.col("src").alias("cell"), "class", "reader", "reader_slot", F.lit("").alias("assert_type"), "term_fn", "term_cs").distinct()
-        new = stable(more.join(found, found.columns, "left_anti"))
+        new = known.add(more.join(known.rows(), more.columns, "left_anti"))
         if new.isEmpty():
             break
-        found = grown(found, new)
+    else:
+        raise RuntimeError("cells did not settle")
+    found = known.rows()
     fits = paths_comparable(F.col("out_path"), slot_path(F.col("reader_slot")))
     return found.join(written, "cell").where(fits).select(*found.columns).distinct()
 

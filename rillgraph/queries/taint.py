@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions.scalars import route_id, slot_text
@@ -17,7 +15,7 @@ from ..sources.adapters import relation, with_sql
 RULES = [("sources", 0, "signup", "src.Signup", None, "return"), ("sinks", 0, "purchase", "db.Purchase", None, "any"), ("sanitizers", 0, "clean", "san.Clean", None, "any")]
 
 
-def program(spark, sf_dir, targets="flow_targets") -> Program:
+def program(spark, sf_dir) -> Program:
     none = F.array().cast("array<int>")
     function = relation(spark, sf_dir, "flow_functions").select("iid", "fqn", "repo", F.lit(True).alias("has_flow"), none.alias("source_params"))
     v = relation(spark, sf_dir, "flow_vertices")
@@ -26,7 +24,7 @@ def program(spark, sf_dir, targets="flow_targets") -> Program:
     calls = relation(spark, sf_dir, "flow_calls")
     one = F.lit(1).cast("bigint")
     callsite = calls.select("fn", "cs", F.lit(0).alias("kind"), "callee_fqn", one.alias("argc"), one.alias("resultc"), F.lit(False).alias("recv"), "dispatch_confidence", F.lit(0).alias("stream_op"), F.lit(False).alias("stream_client"), F.lit(0).cast("bigint").alias("error_results"))
-    t = relation(spark, sf_dir, targets)
+    t = relation(spark, sf_dir, "flow_targets")
     target = t.select(F.concat(F.lit("U"), "user_id").alias("fn"), F.col("cs").cast("int").alias("cs"), F.concat(F.lit("U"), "target").alias("callee"))
     return Program(function, vertex, relation(spark, sf_dir, "flow_edges"), callsite, target)
 
@@ -35,22 +33,22 @@ def _rules(spark):
     return spark.createDataFrame(RULES, po.SCHEMA)
 
 
-def _result(spark, sf_dir, targets="flow_targets", **options):
-    p = program(spark, sf_dir, targets)
+def _result(spark, sf_dir, **options):
+    p = program(spark, sf_dir)
     return p, analyse(p, _rules(spark), Options(**options))
 
 
-def leaf_sites(spark, sf_dir, targets="flow_targets"):
-    return static_facts(program(spark, sf_dir, targets), _rules(spark), Options(), False).leaf_sites.select("fn", F.col("cs").cast("long").alias("cs"))
+def leaf_sites(spark, sf_dir):
+    return static_facts(program(spark, sf_dir), _rules(spark), Options(), False).leaf_sites.select("fn", F.col("cs").cast("long").alias("cs"))
 
 
-def static_edges(spark, sf_dir, targets="flow_targets"):
-    e = static_facts(program(spark, sf_dir, targets), _rules(spark), Options(), False).edges
+def static_edges(spark, sf_dir):
+    e = static_facts(program(spark, sf_dir), _rules(spark), Options(), False).edges
     return e.select("fn", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "call")
 
 
-def facts_ports(spark, sf_dir, targets="flow_targets"):
-    i = static_facts(program(spark, sf_dir, targets), _rules(spark), Options(), False).inputs
+def facts_ports(spark, sf_dir):
+    i = static_facts(program(spark, sf_dir), _rules(spark), Options(), False).inputs
     return i.select("fn", F.col("vid").cast("long").alias("vid"), F.col("cs").cast("long").alias("cs"), "callee", "slot")
 
 
@@ -59,52 +57,52 @@ def facts_seeds(spark, sf_dir):
     return s.select("fn", "seed", F.col("vid").cast("long").alias("vid"))
 
 
-def summary_flows(spark, sf_dir, targets="flow_targets"):
-    f = _result(spark, sf_dir, targets)[1].flows
+def summary_flows(spark, sf_dir):
+    f = _result(spark, sf_dir)[1].flows
     return f.select("fn", slot_text(F.col("in_slot"), F.col("in_path")).alias("in_slot"), slot_text(F.col("out_slot"), F.col("out_path")).alias("out_slot"))
 
 
-def summary_sinks(spark, sf_dir, targets="flow_targets"):
-    h = _result(spark, sf_dir, targets)[1].hits
+def summary_sinks(spark, sf_dir):
+    h = _result(spark, sf_dir)[1].hits
     return h.select("fn", "in_slot", "class", F.col("cs").cast("long").alias("cs"), "term_fn", F.col("term_cs").cast("long").alias("term_cs"))
 
 
-def chains(spark, sf_dir, targets="flow_targets"):
-    p, r = _result(spark, sf_dir, targets)
+def chains(spark, sf_dir):
+    p, r = _result(spark, sf_dir)
     return ch.chains(r, p).select("repo", "fn", "class", F.col("cs").cast("long").alias("cs"), "term_fn", F.col("term_cs").cast("long").alias("term_cs"))
 
 
-def chain_by_class(spark, sf_dir, targets="flow_targets"):
-    p, r = _result(spark, sf_dir, targets)
+def chain_by_class(spark, sf_dir):
+    p, r = _result(spark, sf_dir)
     return ch.by_class(ch.chains(r, p))
 
 
-def routes(spark, sf_dir, targets="flow_targets"):
-    p, r = _result(spark, sf_dir, targets)
+def routes(spark, sf_dir):
+    p, r = _result(spark, sf_dir)
     return ch.routes(r, p).withColumn("hops", F.array_join("hops", ">"))
 
 
-def views_merged(spark, sf_dir, targets="flow_targets"):
+def views_merged(spark, sf_dir):
     """Flows of two contracts, each bound by all functions of a repository, seen through the contract's shape."""
-    p, r = _result(spark, sf_dir, targets)
+    p, r = _result(spark, sf_dir)
     shape = p.function.where("repo in ('r1', 'r2')").select(F.concat(F.lit("K"), "repo").alias("iid"), F.col("iid").alias("handler"), F.when(F.col("repo") == "r1", 1).otherwise(2).alias("kind"), F.lit(False).alias("client_streaming"), F.lit(False).alias("server_streaming"), F.array(F.lit(3), F.lit(0)).alias("gql_param_idx"), F.array(F.lit(0)).alias("request_params"))
     return viewed_flows(r.flows, shape).select("fn", "in_slot", "out_slot")
 
 
-def impact_chains(spark, sf_dir, targets="flow_targets"):
+def impact_chains(spark, sf_dir):
     """Chains that start or end in a changed function."""
-    found = chains(spark, sf_dir, targets)
+    found = chains(spark, sf_dir)
     return store.impact(found, relation(spark, sf_dir, "flow_changed")).select(*found.columns, "via_change")
 
 
-def backward_verdicts(spark, sf_dir, targets="flow_targets"):
-    p, r = _result(spark, sf_dir, targets)
+def backward_verdicts(spark, sf_dir):
+    p, r = _result(spark, sf_dir)
     out = backward.confirm(ch.chains(r, p), r, p)
     return out.select("fn", F.col("cs").cast("long").alias("cs"), "term_fn", F.col("term_cs").cast("long").alias("term_cs"), "verdict")
 
 
-def backward_stats(spark, sf_dir, targets="flow_targets"):
-    p, r = _result(spark, sf_dir, targets)
+def backward_stats(spark, sf_dir):
+    p, r = _result(spark, sf_dir)
     return backward.stats(backward.confirm(ch.chains(r, p), r, p)).select("verdict", "n")
 
 
@@ -115,22 +113,20 @@ def route_ids(spark, sf_dir):
 
 
 _T = ["flow_sites", "flow_targets", "flow_functions"]
-_LEVEL = """b{k} AS (SELECT t.user_id, min(n_sites) AS n, coalesce(min(CASE WHEN event_type = 'error' OR x.user_id IS NOT NULL THEN cs END), min(n_sites)) AS b
-  FROM t LEFT JOIN (SELECT user_id FROM b{j} WHERE b < n) x ON x.user_id = t.target WHERE t.user_id % 4 = {k} GROUP BY t.user_id)"""
-_B = """WITH t AS (SELECT s.*, g.target FROM flow_sites s LEFT JOIN flow_targets g ON g.user_id = s.user_id AND g.cs = s.cs),
-b0 AS (SELECT user_id, min(n_sites) AS n, coalesce(min(CASE WHEN event_type = 'error' THEN cs END), min(n_sites)) AS b FROM t WHERE user_id % 4 = 0 GROUP BY user_id),
-""" + ",\n".join(_LEVEL.format(k=k, j=k - 1) for k in (1, 2, 3)) + """,
-b AS (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3),
-k AS (SELECT t.*, event_type = 'error' OR coalesce(x.b < x.n, false) AS blocked FROM t LEFT JOIN b x ON x.user_id = t.target),
+# A call goes to the user before. x: a user's parameter is cut off by an error, or by a click whose target's is; so it is along a run
+# of users that click, from the first error on.
+_B = """WITH RECURSIVE t AS (SELECT s.*, g.target FROM flow_sites s LEFT JOIN flow_targets g ON g.user_id = s.user_id AND g.cs = s.cs),
+u AS (SELECT user_id, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS e, max(CASE WHEN target IS NOT NULL THEN 1 ELSE 0 END) AS c FROM t GROUP BY user_id),
+g AS (SELECT *, sum(1 - c) OVER (ORDER BY user_id) AS run FROM u),
+x AS (SELECT user_id, max(e) OVER (PARTITION BY run ORDER BY user_id) = 1 AS cut FROM g),
+b AS (SELECT t.user_id, min(n_sites) AS n, coalesce(min(CASE WHEN event_type = 'error' OR x.cut THEN cs END), min(n_sites)) AS b FROM t LEFT JOIN x ON x.user_id = t.target GROUP BY t.user_id),
+k AS (SELECT t.*, event_type = 'error' OR coalesce(x.cut, false) AS blocked FROM t LEFT JOIN x ON x.user_id = t.target),
 w AS (SELECT *, coalesce(max(CASE WHEN blocked THEN cs END) OVER p, -1) AS last_block, coalesce(max(CASE WHEN event_type = 'signup' THEN cs END) OVER p, -2) AS last_seed
   FROM k WINDOW p AS (PARTITION BY user_id ORDER BY cs ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 a AS (SELECT w.*, w.cs <= b.b AS by_param, last_seed > last_block AS by_source FROM w JOIN b ON b.user_id = w.user_id)"""
-_HLEVEL = """h{k} AS (SELECT user_id, cs, user_id AS term, cs AS term_cs FROM a WHERE user_id % 4 = {k} AND by_param AND event_type = 'purchase'
-  UNION SELECT a.user_id, a.cs, h.term, h.term_cs FROM a JOIN h{j} h ON h.user_id = a.target WHERE a.user_id % 4 = {k} AND a.by_param)"""
 _H = _B + """,
-h0 AS (SELECT user_id, cs, user_id AS term, cs AS term_cs FROM a WHERE user_id % 4 = 0 AND by_param AND event_type = 'purchase'),
-""" + ",\n".join(_HLEVEL.format(k=k, j=k - 1) for k in (1, 2, 3)) + """,
-h AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3),
+h AS (SELECT user_id, cs, user_id AS term, cs AS term_cs FROM a WHERE by_param AND event_type = 'purchase'
+  UNION SELECT a.user_id, a.cs, h.term, h.term_cs FROM a JOIN h ON h.user_id = a.target WHERE a.by_param),
 s AS (SELECT user_id, cs, user_id AS term, cs AS term_cs FROM a WHERE by_source AND event_type = 'purchase'
   UNION SELECT a.user_id, a.cs, h.term, h.term_cs FROM a JOIN h ON h.user_id = a.target WHERE a.by_source)"""
 _FLOWS = _B + """,
@@ -149,9 +145,7 @@ def _route_sql() -> str:
 
 
 _F = (leaf_sites, static_edges, facts_ports, facts_seeds, summary_flows, summary_sinks, chains, chain_by_class, routes, views_merged, impact_chains, backward_verdicts, backward_stats, route_ids)
-#: What follows calls, over all of them: calls may be nested as deep as there are users.
-_WHOLE = (leaf_sites, static_edges, facts_ports, summary_flows, summary_sinks, chains, chain_by_class, routes, views_merged, impact_chains, backward_verdicts, backward_stats)
-QUERIES = {f.__name__: f for f in _F} | {f"{f.__name__}_whole": partial(f, targets="flow_targets_whole") for f in _WHOLE}
+QUERIES = {f.__name__: f for f in _F}
 ORACLE_SQL = {
     "leaf_sites": with_sql(_STATIC, "SELECT 'U' || s.user_id AS fn, CAST(s.cs AS BIGINT) AS cs FROM flow_sites s LEFT JOIN flow_targets t ON t.user_id = s.user_id AND t.cs = s.cs WHERE t.target IS NULL"),
     "static_edges": with_sql(_STATIC, "SELECT fn, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, false AS call FROM flow_edges UNION ALL SELECT 'U' || s.user_id, CAST(2 + 2 * s.cs AS BIGINT), CAST(3 + 2 * s.cs AS BIGINT), true FROM flow_sites s LEFT JOIN flow_targets t ON t.user_id = s.user_id AND t.cs = s.cs WHERE t.target IS NULL AND event_type <> 'error'"),
