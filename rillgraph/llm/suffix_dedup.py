@@ -13,7 +13,8 @@ its anchor, and equal strings have equal anchors at the same place.
     another is compared, by bytes: for each distance before the anchor the suffixes that start there are put in
     order, and the longest factor of each is its match with the previous or the next one.
  3. Contexts of one anchor that are too many for a task are parted by halves of the distances and the
-    bytes that all strings of a half hold, until they fit, or until all strings of a part are equal.
+    bytes that all strings of a half hold, until they fit. Contexts that are equal as far as a part reaches
+    all repeat there, and one of them goes on; so a long common passage is parted only near its ends.
 
 Equal texts share their rows (a text is named by a 64-bit hash), so copies are compared once.
 """
@@ -274,27 +275,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, most: int
     held = may(texts).groupBy("row").agg(F.first("text").alias("text"))
     contexts = held.join(need, "row").select("row", "text", "work").mapInArrow(lean(cut), "mark long, row long, at long, before int, piece binary")
     # What is in groups of equal anchors: all distances before it, from 0 to length - k.
-    todo, drop_todo = written(contexts.select(F.col("mark").alias("key"), "row", "at", "before", "piece", F.lit(0).alias("lo"), F.lit(length - k + 1).alias("hi"), F.lit(0).cast("long").alias("whole")))
-    sizes = todo.groupBy("key").agg(F.count("*").alias("n"), F.lit(False).alias("same"))
-    spans, drops = [], [drop_todo]
+    todo, drop_todo = written(contexts.select(F.col("mark").alias("key"), "row", "at", "before", "piece", F.lit(0).alias("lo"), F.lit(length - k + 1).alias("hi")))
+    sizes, drop_sizes = written(todo.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    placed = todo.join(sizes, "key")
+    spans, drops = [], [drop_todo, drop_sizes]
     freed(spark)
     while True:
-        sizes, drop_sizes = written(sizes.where("n > 1"))
-        drops.append(drop_sizes)
-        placed = todo.join(sizes, "key")
-        near = placed.where(~F.col("same") & (F.col("n") <= most)).select("key", "row", "at", "before", "piece", "lo", "hi")
+        near = placed.where(F.col("n") <= most).drop("n")
         spans.append(near.repartition("key").sortWithinPartitions("key").mapInArrow(lean(lambda b: _compared(b, length, k)), "row long, a long, b long"))
-        # All strings at these distances are equal in the whole group.
-        a = F.col("at") - F.least(F.col("hi") - 1, F.col("before"))
-        b = F.col("at") + F.least(F.lit(length) - F.col("lo"), F.length("piece") - F.col("before"))
-        spans.append(placed.where("same").select("row", a.cast("long").alias("a"), b.cast("long").alias("b")))
-        if sizes.where(~F.col("same") & (F.col("n") > most)).isEmpty():
+        if sizes.where(F.col("n") > most).isEmpty():
             break
         # Too many contexts for a task: they are parted by ranges of distances and the bytes that all strings of a range hold.
-        large = placed.where(~F.col("same") & (F.col("n") > most)).select("key", "row", "at", "before", "piece", "lo", "hi")
+        large = placed.where(F.col("n") > most).drop("n")
         todo, drop_todo = written(large.mapInArrow(lean(lambda b: _halved(b, length)), "key long, row long, at long, before int, piece binary, lo int, hi int, whole long"))
-        drops.append(drop_todo)
-        sizes = todo.groupBy("key").agg(F.count("*").alias("n"), (F.min("whole") == F.max("whole")).alias("same"))
+        # Where a part's strings reach the same bytes, all of them repeat, and one context stands for its equals from there on.
+        classes, drop_classes = written(todo.groupBy("key", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("row", "at")).alias("one")))
+        a = F.col("at") - F.least(F.col("hi") - 1, F.col("before"))
+        b = F.col("at") + F.least(F.lit(length) - F.col("lo"), F.length("piece") - F.col("before"))
+        reached = todo.select("key", "whole", "row", a.cast("long").alias("a"), b.cast("long").alias("b"))
+        spans.append(reached.join(classes.where("copies > 1").select("key", "whole"), ["key", "whole"]).select("row", "a", "b"))
+        sizes, drop_sizes = written(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        ones = classes.join(sizes, "key").select("key", "one.row", "one.at", "n")
+        placed = todo.drop("whole").join(ones, ["key", "row", "at"]).select("key", "row", "at", "before", "piece", "lo", "hi", "n")
+        drops += [drop_todo, drop_classes, drop_sizes]
     whole = work.select("row", F.explode(F.filter("work", lambda w: w.state == 1)).alias("w")).select("row", F.col("w.at").alias("at"))
     whole = whole.select("row", F.greatest(F.col("at") - (length - k), F.lit(0)).cast("long").alias("a"), (F.col("at") + length).cast("long").alias("b"))
     out, _ = written(reduce(DataFrame.unionByName, [whole, *spans]).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
