@@ -199,3 +199,15 @@ def _bucket_links(group: list[tuple], cosine: float) -> tuple[list[tuple[int, in
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda t: t IS NULL OR NOT isfinite(t))) = 0 AND len(list_filter(embedding, lambda t: t <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+c(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.vec_id),
+m AS (SELECT vec_id, min(root) AS component_id FROM c GROUP BY vec_id),
+n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.links, 0) AS BIGINT) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN m ON m.vec_id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""

@@ -423,12 +423,12 @@ def _block_links(c: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, sample: int = 8, common_at: int = 3, common_most: int = 1 << 19, most: int = 2048, block: int = 1 << 19) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id, group_id, text_hash.
+    """One row per document: doc_id, n_shingles, component_id, class_id, class_first, group_id, text_hash.
 
     component_id is the smallest doc_id that links of similarity >= percent/100 reach. Null
     and empty texts and those without words have no shingles, link with nothing and are
     their own component (class_id and group_id null). class_id names equal sets and group_id
-    components, whatever their ids; text_hash is xxhash64 of the text. Rows that repeat a doc_id each get a row; a null
+    components, whatever their ids; class_first is the smallest doc_id with an equal set (its own without words); text_hash is xxhash64 of the text. Rows that repeat a doc_id each get a row; a null
     doc_id links as any other and a component of such rows alone has a null id. Other
     columns are not read. `sample`, `common_at` and `common_most` set which cells are put last, `most`
     and `block` how many documents and shingles of a region are compared in one task; none changes the result.
@@ -493,12 +493,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     roots = components(reduce(DataFrame.unionByName, links), "a", "z")
     classes = kinds.join(roots, F.col("c") == F.col("node"), "left").select("c", "first", F.coalesce("root", "c").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stable(classes.join(smallest, "root").select(F.col("c").alias("class_id"), "component_id", F.col("root").alias("group_id")))
+    classes = stable(classes.join(smallest, "root").select(F.col("c").alias("class_id"), F.col("first").alias("class_first"), "component_id", F.col("root").alias("group_id")))
     for drop in [*drops, drop_held]:
         drop()
     freed(spark)
     component = F.coalesce("component_id", F.when(F.col("class_id").isNull(), F.col("doc_id")))
-    return members.join(classes, members.c == classes.class_id, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "class_id", "group_id", F.col("h").alias("text_hash"))
+    return members.join(classes, members.c == classes.class_id, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "class_id", F.coalesce("class_first", F.when(F.col("class_id").isNull(), F.col("doc_id"))).alias("class_first"), "group_id", F.col("h").alias("text_hash"))
 
 
 def one_of_each(docs: DataFrame, most: int = 1 << 20, **how) -> DataFrame:
@@ -521,4 +521,21 @@ def one_of_each(docs: DataFrame, most: int = 1 << 20, **how) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_components(table(spark, sf_dir, "documents"))
+    """class_id here is the smallest doc_id with an equal set."""
+    found = similarity_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("class_first").alias("class_id"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) END AS sh FROM w),
+k AS (SELECT sh, min(doc_id) AS class_id FROM s WHERE len(sh) > 0 GROUP BY sh),
+e AS (SELECT class_id, len(sh) AS n, unnest(sh) AS x FROM k),
+l AS MATERIALIZED (SELECT a.class_id AS a, b.class_id AS b FROM e a JOIN e b ON a.x = b.x AND a.class_id <> b.class_id
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+c(class_id, root) AS (SELECT class_id, class_id FROM k UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.class_id),
+m AS (SELECT class_id, min(root) AS component_id FROM c GROUP BY class_id)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, coalesce(k.class_id, s.doc_id) AS class_id
+FROM s LEFT JOIN k ON k.sh = s.sh LEFT JOIN m ON m.class_id = k.class_id
+"""

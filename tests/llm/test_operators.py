@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, a round trip or held-out labels, with odd inputs."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -410,6 +411,41 @@ def test_mixing_keeps_all_rows(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mixing_follows_a_plain_schedule_slot_by_slot(spark):
+    """Slots made one at a time: of the released blocks the one due first, over the sources that have blocks left."""
+    rng = random.Random(12)
+    texts = [words(rng, rng.randrange(0, 80)) for _ in range(120)] + ["long " * 500]
+    table = docs(spark, texts).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 5 % 3).cast("string")))
+    shares, block = {"s0": 4, "s1": 2, "s2": 1}, 300
+    got = mixing.mix(table, shares, block=block).collect()
+    size = defaultdict(int)
+    for r in got:
+        size[r.source] += len(r.text) + 1
+    left = {s: -(-n // block) for s, n in size.items()}
+    order = []
+    while any(left.values()):
+        now = sorted(s for s in left if left[s])
+        d, ran, slot = sum(shares[s] for s in now), dict.fromkeys(now, 0), 0
+        while all(left[s] for s in now):
+            ready = [(-(-(ran[s] + 1) * d // shares[s]), s) for s in now if ran[s] * d // shares[s] <= slot]
+            due, s = min(ready)
+            assert slot < due
+            order.append((s, ran[s]))
+            ran[s] += 1
+            left[s] -= 1
+            slot += 1
+    nth, at = defaultdict(int), {}
+    for slot, (s, _) in enumerate(order):
+        at[s, nth[s]] = slot
+        nth[s] += 1
+    for r in got:
+        assert r.slot == at[r.source, r.block] and 0 <= r.place < block
+    for s in size:
+        own = sorted((r for r in got if r.source == s), key=lambda r: (r.slot, r.place))
+        starts = [r.block * block + r.place for r in own]
+        assert starts == list(itertools.accumulate([len(r.text) + 1 for r in own], initial=0))[:-1]
+
+
 def test_chat_rotates_every_participant(spark):
     rows = [(1, 0, "system", "be"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "ünd"), (1, 3, "ann", "ünd"), (2, None, None, "x"), (3, 0, "system", "only"), (4, 600, "ann", "late"), (4, 1, "bob", "early")]
     got = {(r.conv_id, r.speaker, r.part): r for r in chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
