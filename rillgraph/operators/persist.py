@@ -32,10 +32,28 @@ def graph(program: Program) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.select("src", "dst", "rel", "repo")
 
 
+def invokes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(iid, repo, fn, file, line): which functions invoke each contract remotely, once each."""
+    caller = nodes.where("kind = 0").select(F.col("node").alias("fn"), F.col("span_file").alias("file"), "line")
+    remote = edges.where("rel = 3").select(F.col("dst").alias("iid"), "repo", F.col("src").alias("fn"))
+    contract = nodes.where("kind = 2").select(F.col("node").alias("iid"))
+    return remote.join(contract, "iid", "left_semi").join(caller, "fn").select("iid", "repo", "fn", "file", "line").distinct()
+
+
+def endpoints(endpoint: DataFrame, contract: DataFrame, function: DataFrame) -> DataFrame:
+    """(repo, iid, name, handler, handler_fqn): each repository's endpoint once, with the function of the same
+    repository that its contract binds, the smallest of several; empty where there is none."""
+    own = endpoint.groupBy("repo", "iid").agg(F.min("name").alias("name"))
+    body = function.select(F.col("iid").alias("handler"), "repo", F.col("fqn").alias("handler_fqn"))
+    bound = contract.select("iid", "handler").distinct().join(body, "handler").groupBy("repo", "iid").agg(F.min(F.struct("handler", "handler_fqn")).alias("_h"))
+    empty = F.lit("")
+    return own.join(bound, ["repo", "iid"], "left").select("repo", "iid", "name", F.coalesce("_h.handler", empty).alias("handler"), F.coalesce("_h.handler_fqn", empty).alias("handler_fqn"))
+
+
 def save(program: Program, folder: str) -> None:
-    """Replaces the rows of the program's repositories in the tables `nodes` and `edges` of the folder."""
+    """Replaces the rows of the program's repositories in the tables `nodes`, `edges` and `invokes` of the folder."""
     nodes, edges = graph(program)
-    for name, df in (("nodes", nodes), ("edges", edges)):
+    for name, df in (("nodes", nodes), ("edges", edges), ("invokes", invokes(nodes, edges))):
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(f"{folder}/{name}")
 
 

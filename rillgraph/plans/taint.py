@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import getter_field, paths_comparable, slot_base, slot_path, slot_text
 from ..operators import policy as po
-from .fixpoint import Known, stable
+from .fixpoint import Known, closure, stable
 
 OUT, IN = -1, -2  # pseudo vertices: data that leaves by a stream, data that a helper received
 UNMODELED = "unmodeled-write"
@@ -255,10 +255,12 @@ def _edges_of(flows: DataFrame, facts: Facts) -> DataFrame:
     return landed.unionByName(heard).unionByName(sent).select("fn", "src", "dst", F.lit(True).alias("call")).distinct()
 
 
-def summarise(facts: Facts, contract: DataFrame | None, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(reach, flows) at the least fixpoint."""
+def summarise(facts: Facts, contract: DataFrame | None, given: DataFrame | None = None, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(reach, flows) of the facts' functions at the least fixpoint; given: flows of others that are settled."""
     known = Known(facts.edges.sparkSession, facts.edges.schema)
     known.add(facts.edges)
+    if given is not None:
+        known.add(_edges_of(given, facts).join(known.rows(), ["fn", "src", "dst", "call"], "left_anti"))
     reach = stable(close(known.rows(), facts.seeds))
     for _ in range(rounds):
         flows = _flows(reach, facts)
@@ -274,6 +276,32 @@ def summarise(facts: Facts, contract: DataFrame | None, rounds: int = 1000) -> t
     raise RuntimeError("summaries did not settle")
 
 
+def dirty(program: Program, changed: DataFrame) -> DataFrame:
+    """(iid) of the changed functions and all, contracts included, whose summary may rest on one of them."""
+    back = program.target.select(F.col("callee").alias("src"), F.col("fn").alias("dst"))
+    if program.contract is not None:
+        back = back.unionByName(program.contract.select(F.col("handler").alias("src"), F.col("iid").alias("dst")))
+    return closure(changed.select(F.col("iid").alias("node")).distinct(), back.distinct(), []).select(F.col("node").alias("iid"))
+
+
+def resummarise(facts: Facts, program: Program, changed: DataFrame, reach: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reach, flows) of a program after a change, from those before it.
+
+    facts are the changed program's, changed(iid) names functions that are new, gone or
+    different, or whose contracts are. A summary rests on its callees alone, so only functions
+    above a changed one are closed again; the others keep their rows.
+    """
+    stale = stable(dirty(program, changed).select(F.col("iid").alias("fn")))
+    clean = stable(flows.join(stale, "fn", "left_anti"))
+    if program.contract is not None:  # a contract of several handlers keeps what the clean ones show
+        clean = stable(clean.unionByName(viewed_flows(clean, program.contract)).distinct())
+    own = {n: getattr(facts, n) for n in Facts.__dataclass_fields__}
+    mine = Facts(**{n: stable(df.join(stale, "fn", "left_semi")) for n, df in own.items()})
+    new_reach, new_flows = summarise(mine, program.contract, clean)
+    kept = reach.join(stale, "fn", "left_anti")
+    return stable(kept.unionByName(new_reach)), stable(clean.unionByName(new_flows).distinct())
+
+
 HIT = ["fn", "in_slot", "in_path", "class", "cs", "term_fn", "term_cs", "via"]
 
 

@@ -48,7 +48,7 @@ def cg_callers(spark, sf_dir):
 
 
 def cg_missing_contracts(spark, sf_dir):
-    return cg.missing_contracts(_graph(spark, sf_dir)[1].where("src <> 'S1'"))
+    return cg.missing_contracts(_graph(spark, sf_dir)[1])
 
 
 def cg_foreign_contracts(spark, sf_dir):
@@ -101,7 +101,7 @@ ORACLE_SQL = {
     "cg_endpoints": with_sql(_G, "SELECT c.node AS iid, c.fqn, coalesce(e.dst, '') AS handler, coalesce(h.fqn, '') AS handler_fqn FROM cg_nodes c LEFT JOIN cg_edges e ON e.src = c.node AND e.rel = 2 LEFT JOIN cg_nodes h ON h.node = e.dst WHERE c.kind = 2"),
     "cg_callees": with_sql(_G, "SELECT e.src AS caller, e.dst AS callee, n.fqn AS callee_fqn FROM cg_edges e JOIN cg_nodes n ON n.node = e.dst WHERE e.rel = 0 AND n.kind = 0"),
     "cg_callers": with_sql(_G, "SELECT dst AS callee, count(*) AS n_callers, count(*) FILTER (WHERE rel = 3) AS n_remote FROM cg_edges WHERE rel IN (0, 3) GROUP BY dst"),
-    "cg_missing_contracts": with_sql(_G, "SELECT DISTINCT dst AS iid FROM cg_edges WHERE rel = 3 AND dst NOT IN (SELECT src FROM cg_edges WHERE rel = 2 AND src <> 'S1')"),
+    "cg_missing_contracts": with_sql(_G, "SELECT DISTINCT dst AS iid FROM cg_edges WHERE rel = 3 AND dst NOT IN (SELECT src FROM cg_edges WHERE rel = 2)"),
     "cg_foreign_contracts": with_sql(_G, "SELECT DISTINCT a.repo, e.dst AS iid, b.repo AS owner FROM cg_edges e JOIN cg_nodes a ON a.node = e.src JOIN cg_nodes b ON b.node = e.dst AND b.kind = 2 WHERE e.rel = 3 AND a.repo <> b.repo"),
     "cg_reach": with_sql(_G, _UP.format(seed=f"contains(fqn, '{SEED}')") + " SELECT n.node, n.fqn, n.repo FROM up JOIN cg_nodes n ON n.node = up.node"),
     "cg_blast_repos": with_sql(_G, _UP.format(seed=_FILES) + " SELECT DISTINCT n.repo FROM up JOIN cg_nodes n ON n.node = up.node"),

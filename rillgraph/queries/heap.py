@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash_parts
 from ..operators import heap, normalize, store
 from ..sources.adapters import relation, with_sql
-from ..sources.cgf import resolve_duplicates
+from ..sources.cgf import contract_copies, examples, resolve_duplicates
 
 CUT = "1997-01-01"
 
@@ -81,6 +81,14 @@ def dup_census(spark, sf_dir):
     return resolve_duplicates(relation(spark, sf_dir, "function_copies"))[1]
 
 
+def dup_contracts(spark, sf_dir):
+    return contract_copies(relation(spark, sf_dir, "route_copies"), ["method"])
+
+
+def dup_contract_examples(spark, sf_dir):
+    return examples(dup_contracts(spark, sf_dir), ["repos", "handlers", "shapes"])
+
+
 def _hash(*parts: str) -> str:
     sized = " || ".join(f"unhex(array_to_string(list_reverse(regexp_extract_all(lpad(to_hex(strlen({p})), 16, '0'), '..')), '')) || CAST({p} AS BLOB)" for p in parts)
     return f"sha256({sized})"
@@ -102,12 +110,15 @@ def _version(where: str) -> str:
 
 
 _S = f"WITH o AS ({_version(f'''WHERE day < TIMESTAMP '{CUT}' ''')}), n AS ({_version('')})"
+_D = "SELECT iid, count(*) AS copies, count(DISTINCT repo) AS repos, count(DISTINCT handler) AS handlers, count(DISTINCT method) AS shapes FROM route_copies GROUP BY iid HAVING repos > 1 OR handlers > 1 OR shapes > 1"
 _CHANGED = "SELECT coalesce(o.iid, n.iid) AS iid, CASE WHEN o.iid IS NULL THEN 'added' WHEN n.iid IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.iid = n.iid WHERE o.key IS DISTINCT FROM n.key"
-_F = (heap_cells, heap_hits, heap_census, heap_drops, args_normalized, args_census, store_keys, store_reuse, store_changed, blast_provenance, dup_functions, dup_census)
+_F = (heap_cells, heap_hits, heap_census, heap_drops, args_normalized, args_census, store_keys, store_reuse, store_changed, blast_provenance, dup_functions, dup_census, dup_contracts, dup_contract_examples)
 QUERIES = {f.__name__: f for f in _F}
 ORACLE_SQL = {
     "dup_functions": with_sql(["function_copies"], "SELECT iid, repo, has_flow, content FROM function_copies QUALIFY row_number() OVER (PARTITION BY iid ORDER BY has_flow DESC, content DESC, repo) = 1"),
     "dup_census": with_sql(["function_copies"], "SELECT iid, count(*) AS copies, count(DISTINCT content) > 1 AS differ FROM function_copies GROUP BY iid HAVING count(*) > 1"),
+    "dup_contracts": with_sql(["route_copies"], _D),
+    "dup_contract_examples": with_sql(["route_copies"], f"WITH d AS ({_D}), k AS (SELECT 'repos' AS kind, iid FROM d WHERE repos > 1 UNION ALL SELECT 'handlers', iid FROM d WHERE handlers > 1 UNION ALL SELECT 'shapes', iid FROM d WHERE shapes > 1) SELECT kind, iid FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY iid) <= 5"),
     "heap_cells": with_sql(_C, _SINKS + " SELECT * FROM f"),
     "heap_hits": with_sql(_C, _SINKS + f" SELECT fn, class, count(*) AS n FROM (SELECT DISTINCT fn, class, w.cell, reader FROM cell_writes w JOIN f ON f.cell = w.cell WHERE {_OK}) GROUP BY fn, class"),
     "heap_census": with_sql(_C, _SINKS + " SELECT w.cell, writes, writer_fns, coalesce(reader_fns, 0) AS reader_fns, coalesce(sinks, 0) AS sinks, coalesce(classes, '') AS classes FROM (SELECT cell, count(*) AS writes, count(DISTINCT fn) AS writer_fns FROM cell_writes GROUP BY cell) w LEFT JOIN (SELECT cell, count(DISTINCT fn) AS reader_fns FROM cell_reads GROUP BY cell) r ON r.cell = w.cell LEFT JOIN (SELECT cell, count(*) AS sinks, array_to_string(list_sort(list_distinct(list(class))), ',') AS classes FROM f GROUP BY cell) s ON s.cell = w.cell"),

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import route_id, slot_text
+from ..operators import persist, store
 from ..operators import policy as po
-from ..operators import store
 from ..plans import backward
 from ..plans import chains as ch
-from ..plans.taint import Options, Program, analyse, static_facts, viewed_flows
+from ..plans.taint import Options, Program, analyse, dirty, static_facts, viewed_flows
 from ..sources.adapters import relation, with_sql
+from .heap import _hash
 
 RULES = [("sources", 0, "signup", "src.Signup", None, "return"), ("sinks", 0, "purchase", "db.Purchase", None, "any"), ("sanitizers", 0, "clean", "san.Clean", None, "any")]
 
 
-def program(spark, sf_dir) -> Program:
+def program(spark, sf_dir, remote: bool = False) -> Program:
+    """The event flows; remote: every other click goes through a gRPC contract of the user called."""
     none = F.array().cast("array<int>")
     function = relation(spark, sf_dir, "flow_functions").select("iid", "fqn", "repo", F.lit(True).alias("has_flow"), none.alias("source_params"))
     v = relation(spark, sf_dir, "flow_vertices")
@@ -26,7 +28,14 @@ def program(spark, sf_dir) -> Program:
     callsite = calls.select("fn", "cs", F.lit(0).alias("kind"), "callee_fqn", one.alias("argc"), one.alias("resultc"), F.lit(False).alias("recv"), "dispatch_confidence", F.lit(0).alias("stream_op"), F.lit(False).alias("stream_client"), F.lit(0).cast("bigint").alias("error_results"))
     t = relation(spark, sf_dir, "flow_targets")
     target = t.select(F.concat(F.lit("U"), "user_id").alias("fn"), F.col("cs").cast("int").alias("cs"), F.concat(F.lit("U"), "target").alias("callee"))
-    return Program(function, vertex, relation(spark, sf_dir, "flow_edges"), callsite, target)
+    edge = relation(spark, sf_dir, "flow_edges")
+    if not remote:
+        return Program(function, vertex, edge, callsite, target)
+    t = relation(spark, sf_dir, "flow_remote").select(F.concat(F.lit("U"), "user_id").alias("fn"), F.col("cs").cast("int").alias("cs"), F.concat(F.when(F.col("remote"), "K").otherwise("U"), "target").alias("callee"), "remote")
+    callsite = callsite.drop("kind").join(t.select("fn", "cs", "remote"), ["fn", "cs"], "left").withColumn("kind", F.when(F.col("remote"), 2).otherwise(0)).drop("remote")
+    shape = F.lit(False)
+    contract = relation(spark, sf_dir, "flow_contracts").select("iid", "handler", F.lit(0).alias("kind"), shape.alias("client_streaming"), shape.alias("server_streaming"), none.alias("gql_param_idx"), none.alias("request_params"), "full_name", "repo")
+    return Program(function, vertex, edge, callsite, t.drop("remote"), contract)
 
 
 def _rules(spark):
@@ -89,6 +98,52 @@ def views_merged(spark, sf_dir):
     return viewed_flows(r.flows, shape).select("fn", "in_slot", "out_slot")
 
 
+def _remote(spark, sf_dir):
+    p = program(spark, sf_dir, remote=True)
+    return p, analyse(p, _rules(spark), Options())
+
+
+def chains_remote(spark, sf_dir):
+    """The chains of the program whose calls go through contracts: those of the direct one."""
+    p, r = _remote(spark, sf_dir)
+    return ch.chains(r, p).select("repo", "fn", "class", F.col("cs").cast("long").alias("cs"), "term_fn", F.col("term_cs").cast("long").alias("term_cs"))
+
+
+def flows_remote(spark, sf_dir):
+    f = _remote(spark, sf_dir)[1].flows
+    return f.select("fn", slot_text(F.col("in_slot"), F.col("in_path")).alias("in_slot"), slot_text(F.col("out_slot"), F.col("out_path")).alias("out_slot"))
+
+
+def persist_nodes(spark, sf_dir):
+    return persist.graph(program(spark, sf_dir, remote=True))[0].select("node", F.col("kind").cast("long").alias("kind"), "fqn", "repo")
+
+
+def persist_edges(spark, sf_dir):
+    return persist.graph(program(spark, sf_dir, remote=True))[1].select("src", "dst", F.col("rel").cast("long").alias("rel"), "repo")
+
+
+def persist_invokes(spark, sf_dir):
+    return persist.invokes(*persist.graph(program(spark, sf_dir, remote=True))).select("iid", "repo", "fn")
+
+
+def persist_endpoints(spark, sf_dir):
+    p = program(spark, sf_dir, remote=True)
+    return persist.endpoints(relation(spark, sf_dir, "flow_endpoints"), p.contract, p.function)
+
+
+def summary_keys(spark, sf_dir):
+    """The key of each function's summary: its own body and parameters and what its callees do."""
+    p, r = _result(spark, sf_dir)
+    functions = p.function.select("iid", F.col("fqn").alias("bid"), "source_params")
+    return store.keys(functions, p.target.select(F.col("fn").alias("iid"), "callee"), store.behaviour(store.lines_of(r.flows, r.hits)))
+
+
+def dirty_functions(spark, sf_dir):
+    """The changed functions and all that reach one of them by calls and contracts."""
+    changed = relation(spark, sf_dir, "flow_changed").select("iid")
+    return dirty(program(spark, sf_dir, remote=True), changed).select("iid")
+
+
 def impact_chains(spark, sf_dir):
     """Chains that start or end in a changed function."""
     found = chains(spark, sf_dir)
@@ -144,9 +199,21 @@ def _route_sql() -> str:
     return f"SELECT user_id, {digest(f'{named} || {line} || ' + sized('kind'))} AS route, {digest(f'{named} || ' + sized('kind'))} AS fingerprint FROM flow_hops GROUP BY user_id"
 
 
-_F = (leaf_sites, static_edges, facts_ports, facts_seeds, summary_flows, summary_sinks, chains, chain_by_class, routes, views_merged, impact_chains, backward_verdicts, backward_stats, route_ids)
+_F = (leaf_sites, static_edges, facts_ports, facts_seeds, summary_flows, summary_sinks, chains, chain_by_class, routes, views_merged, chains_remote, flows_remote, persist_nodes, persist_edges, persist_invokes, persist_endpoints, summary_keys, dirty_functions, impact_chains, backward_verdicts, backward_stats, route_ids)
 QUERIES = {f.__name__: f for f in _F}
+_R = ["flow_remote", "flow_contracts", "flow_functions"]
 ORACLE_SQL = {
+    "flows_remote": with_sql(_T, _FLOWS + " SELECT * FROM f UNION ALL SELECT 'K' || substr(fn, 2), in_slot, out_slot FROM f"),
+    "persist_nodes": with_sql(_R, "SELECT iid AS node, CAST(0 AS BIGINT) AS kind, fqn, repo FROM flow_functions UNION ALL SELECT iid, CAST(2 AS BIGINT), full_name, repo FROM flow_contracts"),
+    "persist_edges": with_sql(_R, "SELECT DISTINCT 'U' || user_id AS src, CASE WHEN remote THEN 'K' ELSE 'U' END || target AS dst, CAST(CASE WHEN remote THEN 3 ELSE 0 END AS BIGINT) AS rel, 'r' || (user_id % 5) AS repo FROM flow_remote UNION ALL SELECT iid, handler, CAST(2 AS BIGINT), repo FROM flow_contracts"),
+    "persist_invokes": with_sql(_R, "SELECT DISTINCT 'K' || target AS iid, 'r' || (user_id % 5) AS repo, 'U' || user_id AS fn FROM flow_remote WHERE remote"),
+    "persist_endpoints": with_sql(["flow_endpoints", "flow_contracts", "flow_functions"], "SELECT e.repo, e.iid, min(name) AS name, coalesce(min(f.iid), '') AS handler, coalesce(min(f.fqn), '') AS handler_fqn FROM flow_endpoints e LEFT JOIN flow_contracts c ON c.iid = e.iid LEFT JOIN flow_functions f ON f.iid = c.handler AND f.repo = e.repo GROUP BY e.repo, e.iid"),
+    "dirty_functions": with_sql(["flow_remote", "flow_changed", "flow_contracts"], "WITH RECURSIVE d(iid) AS (SELECT iid FROM flow_changed UNION SELECT 'U' || r.user_id FROM d JOIN flow_remote r ON d.iid = 'U' || r.target) SELECT iid FROM d UNION SELECT 'K' || substr(iid, 2) FROM d"),
+    "summary_keys": with_sql(_T, _H + _FLOWS[len(_B):] + f""",
+l AS (SELECT fn, 'F:' || in_slot || '->' || out_slot AS line FROM f UNION SELECT 'U' || user_id, 'S:param_0:purchase:U' || term || ':' || term_cs FROM h UNION SELECT 'U' || user_id, 'S:source:purchase:U' || term || ':' || term_cs FROM s),
+y AS (SELECT fn, {_hash("p")} AS y FROM (SELECT fn, string_agg(line, chr(10) ORDER BY line) AS p FROM l GROUP BY fn)),
+z AS (SELECT user_id, string_agg('64:' || y, '' ORDER BY y) AS z FROM (SELECT DISTINCT t.user_id, y.y FROM flow_targets t JOIN y ON y.fn = 'U' || t.target) GROUP BY user_id)
+SELECT iid, {_hash("iid", "fqn", "''", "coalesce(z, '')")} AS key FROM flow_functions LEFT JOIN z ON iid = 'U' || user_id"""),
     "leaf_sites": with_sql(_STATIC, "SELECT 'U' || s.user_id AS fn, CAST(s.cs AS BIGINT) AS cs FROM flow_sites s LEFT JOIN flow_targets t ON t.user_id = s.user_id AND t.cs = s.cs WHERE t.target IS NULL"),
     "static_edges": with_sql(_STATIC, "SELECT fn, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, false AS call FROM flow_edges UNION ALL SELECT 'U' || s.user_id, CAST(2 + 2 * s.cs AS BIGINT), CAST(3 + 2 * s.cs AS BIGINT), true FROM flow_sites s LEFT JOIN flow_targets t ON t.user_id = s.user_id AND t.cs = s.cs WHERE t.target IS NULL AND event_type <> 'error'"),
     "facts_ports": with_sql(_STATIC, "SELECT 'U' || user_id AS fn, CAST(2 + 2 * cs AS BIGINT) AS vid, CAST(cs AS BIGINT) AS cs, 'U' || target AS callee, 'param_0' AS slot FROM flow_targets"),
@@ -162,3 +229,4 @@ ORACLE_SQL = {
     "chain_by_class": with_sql(_T, _H + " SELECT 'purchase' AS class, count(*) AS n FROM s"),
     "views_merged": with_sql(_T, _FLOWS + " SELECT DISTINCT 'Kr1' AS fn, CASE in_slot WHEN 'param_0' THEN 'param_1' ELSE in_slot END AS in_slot, out_slot FROM f JOIN flow_functions ON iid = fn WHERE repo = 'r1'"),
 }
+ORACLE_SQL["chains_remote"] = ORACLE_SQL["chains"]  # contracts change the way, not the findings

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "conversations")
 
 SQL: dict[str, str] = {
-    # Call graph: customers call the parts they order, parts call suppliers' contracts, contracts bind customers.
+    # Call graph: customers call the parts they order, parts call suppliers' contracts, contracts of solvent suppliers bind customers.
     "cg_nodes": """
         SELECT 'C' || c_custkey AS node, 0 AS kind, 'cust.' || c_mktsegment || '.C' || c_custkey AS fqn, n_name AS repo,
                'src/' || lower(c_mktsegment) || '/c' || (c_custkey % 10) || '.go' AS span_file, CAST(c_custkey AS BIGINT) AS line
@@ -23,7 +23,7 @@ SQL: dict[str, str] = {
     "cg_edges": """
         SELECT DISTINCT 'C' || o_custkey AS src, 'P' || l_partkey AS dst, 0 AS rel FROM orders JOIN lineitem ON o_orderkey = l_orderkey
         UNION ALL SELECT DISTINCT 'P' || l_partkey, 'S' || l_suppkey, 3 FROM lineitem
-        UNION ALL SELECT 'S' || s_suppkey, 'C' || c_custkey, 2 FROM supplier JOIN customer ON c_custkey = s_suppkey""",
+        UNION ALL SELECT 'S' || s_suppkey, 'C' || c_custkey, 2 FROM supplier JOIN customer ON c_custkey = s_suppkey WHERE s_acctbal >= 0""",
     "cg_invokes": """
         SELECT DISTINCT 'S' || l_suppkey AS iid, p_brand AS repo, 'P' || l_partkey AS fn, 'src/' || lower(p_type) || '.go' AS file, CAST(p_size AS BIGINT) AS line
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
@@ -55,6 +55,14 @@ SQL: dict[str, str] = {
         SELECT 'U' || user_id AS fn, CAST(cs AS INT) AS cs,
                CASE event_type WHEN 'signup' THEN 'src.Signup' WHEN 'purchase' THEN 'db.Purchase' WHEN 'error' THEN 'san.Clean' WHEN 'view' THEN 'lib.View' ELSE 'app.Click' END AS callee_fqn,
                CASE WHEN event_id % 3 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS dispatch_confidence FROM flow_sites""",
+    # The same program with every other click sent through a contract of the user called.
+    "flow_remote": """
+        SELECT t.user_id, t.cs, t.target, s.event_id % 2 = 1 AS remote FROM flow_targets t JOIN flow_sites s ON s.user_id = t.user_id AND s.cs = t.cs""",
+    "flow_contracts": """
+        SELECT DISTINCT 'K' || user_id AS iid, 'U' || user_id AS handler, 'grpc.K' || user_id AS full_name, 'r' || (user_id % 5) AS repo FROM events""",
+    # Endpoints: what a repository says it serves; a fifth belongs to another repository than its handler.
+    "flow_endpoints": """
+        SELECT 'r' || (CASE WHEN event_type = 'error' THEN user_id + 1 ELSE user_id END % 5) AS repo, 'K' || user_id AS iid, event_type || user_id AS name FROM events""",
     "flow_changed": """
         SELECT 'U' || user_id AS iid FROM flow_sites WHERE cs = n_sites - 1 AND event_type = 'error'""",
     "flow_hops": """
@@ -63,6 +71,9 @@ SQL: dict[str, str] = {
     # Copies of functions: a customer's orders are copies of one function in several repositories.
     "function_copies": """
         SELECT 'F' || o_custkey AS iid, o_orderpriority AS repo, o_orderstatus <> 'P' AS has_flow, o_orderstatus AS content FROM orders""",
+    # Contracts by route template, as several handlers and methods give them.
+    "route_copies": """
+        SELECT path AS iid, substr(handler, 1, 1) AS repo, handler, method FROM http_routes""",
     # Arguments by name: a conversation's turns are ports named by role, checked against a contract's names.
     "named_ports": """
         SELECT conv_id AS site, conv_id % 7 AS contract, turn AS idx, CASE WHEN turn % 5 = 4 THEN '' ELSE role || '_' || (turn % 6) END AS name FROM conversations""",
@@ -97,9 +108,11 @@ SQL: dict[str, str] = {
 }
 #: What each relation is made of, other relations first.
 NEEDS = {
-    **{n: ["flow_sites"] for n in ("flow_targets", "flow_vertices", "flow_edges", "flow_calls", "flow_changed", "flow_hops")}, 
+    **{n: ["flow_sites"] for n in ("flow_targets", "flow_vertices", "flow_edges", "flow_calls", "flow_changed", "flow_hops")},
+    "flow_remote": ["flow_sites", "flow_targets"],
     "http_routes": ["http_parts"],
     "http_clients": ["http_parts"],
+    "route_copies": ["http_parts", "http_routes"],
 }
 
 

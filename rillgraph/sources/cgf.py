@@ -224,6 +224,19 @@ def resolve_duplicates(functions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ranked.where("_r = 1").drop("_r"), copies.where("copies > 1")
 
 
+def contract_copies(contracts: DataFrame, shape: list[str]) -> DataFrame:
+    """(iid, copies, repos, handlers, shapes) of contracts that several repositories, handlers or shapes give."""
+    found = contracts.groupBy("iid").agg(F.count("*").alias("copies"), F.countDistinct("repo").alias("repos"), F.countDistinct("handler").alias("handlers"), F.countDistinct(F.struct(*shape)).alias("shapes"))
+    return found.where("repos > 1 or handlers > 1 or shapes > 1")
+
+
+def examples(copies: DataFrame, kinds: list[str], most: int = 5) -> DataFrame:
+    """(kind, iid): of each kind of difference the first `most` ids; a report, so it has an end."""
+    each = copies.select("iid", F.explode(F.filter(F.array(*[F.when(F.col(k).cast("long") > 1, F.lit(k)) for k in kinds]), lambda k: k.isNotNull())).alias("kind"))
+    first = Window.partitionBy("kind").orderBy("iid")
+    return each.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).select("kind", "iid")
+
+
 def keyed_contracts(contracts: DataFrame) -> DataFrame:
     """Contracts with an id and a handler, each once; an HTTP id of several handlers is keyed by the handler too."""
     from ..functions.scalars import hash_parts
