@@ -1,4 +1,4 @@
-"""Command line: taint, summary and graph-dump over folders of packages, query over persisted graphs."""
+"""Command line: taint, summary, impact and graph-dump over folders of packages, query over persisted graphs."""
 
 from __future__ import annotations
 
@@ -23,11 +23,17 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--backward", action="store_true", help="add each finding's verdict")
     t.add_argument("--prune", action="store_true", help="leave refuted findings out")
     t.add_argument("--unmodeled", action="store_true", help="report library calls that no rule models, on stderr")
+    t.add_argument("--unmodeled-report", help="folder that the same report is written to as JSON, whole")
+    t.add_argument("--endpoint", help="keep findings whose source function has this in its name")
     t.add_argument("--phases", action="store_true", help="a line per phase on stderr")
     s = sub.add_parser("summary", help="flows and sinks of functions")
     s.add_argument("folder", nargs="+")
     s.add_argument("--policy", required=True)
     s.add_argument("--fn", required=True, help="part of a qualified name")
+    i = sub.add_parser("impact", help="what a change of packages does to the findings")
+    i.add_argument("before")
+    i.add_argument("after")
+    i.add_argument("--policy", required=True)
     q = sub.add_parser("query", help="the persisted call graph")
     q.add_argument("what", choices=("blast", "reach", "path"))
     q.add_argument("--graph", required=True)
@@ -49,8 +55,9 @@ def main(argv: list[str] | None = None) -> int:
     from .functions.scalars import slot_text
     from .operators import callgraph, persist, render, store
     from .plans import backward, chains
+    from .plans.fixpoint import stable
     from .plans.phases import Phases
-    from .plans.taint import Options, analyse
+    from .plans.taint import Options, analyse, dirty
     from .sources import cgf, policy
 
     spark = SparkSession.builder.appName("rillgraph").getOrCreate()
@@ -82,6 +89,25 @@ def main(argv: list[str] | None = None) -> int:
         for r in flows.unionByName(sinks).distinct().orderBy("fqn", "line").collect():
             print(f"{r.fqn}: {r.line}")
         return 0
+    if a.command == "impact":
+        old, new = cgf.program(spark, [a.before]), cgf.program(spark, [a.after])
+        changes = stable(store.changes(old, new))
+        options = Options(ignore_types=rules.ignore_types)
+        first = analyse(old, rules.rules(spark), options)
+        result = analyse(new, rules.rules(spark), options, before=first, changed=changes)
+        nodes, edges = persist.graph(new)
+        up = callgraph.upstream(edges, changes.select(F.col("iid").alias("node")))
+        hit = store.impact(chains.chains(result, new), changes, up, chains.routes(result, new))
+        again = new.function.join(dirty(new, changes), "iid", "left_semi").count()
+        report = {
+            "changed": [r.asDict() for r in changes.orderBy("iid").collect()],
+            "chains": render.rows(hit),
+            "repos": sorted(r.repo for r in callgraph.repos_of(up, nodes).collect()),
+            "endpoints": sorted(r.full_name for r in callgraph.endpoints_of(up, nodes).collect()),
+            "summaries": {"made again": again, "kept": new.function.count() - again},
+        }
+        sys.stdout.write(json.dumps(report, indent=2, sort_keys=True) + "\n")
+        return 0
     wanted = [c for c in a.fail_on.split(",") if c]
     if set(wanted) - rules.sink_classes():
         print("--fail-on names a class that the policy has not", file=sys.stderr)
@@ -92,11 +118,13 @@ def main(argv: list[str] | None = None) -> int:
     if a.graph:
         with phases.phase("persist"):
             persist.save(program, a.graph)
-    flags = {"no_error_leaf": a.no_error_leaf, "pb_getters": a.pb_getters, "unmodeled": a.unmodeled}
+    flags = {"no_error_leaf": a.no_error_leaf, "pb_getters": a.pb_getters, "unmodeled": a.unmodeled or bool(a.unmodeled_report)}
     with phases.phase("analyse", flows=lambda: result.flows, hits=lambda: result.hits):
         result = analyse(program, rules.rules(spark), Options(**flags, ignore_types=rules.ignore_types))
     key = ["fn", "class", "cs", "term_fn", "term_cs"]
     found = chains.chains(result, program)
+    if a.endpoint:
+        found = found.join(program.function.where(F.col("fqn").contains(a.endpoint)).select(F.col("iid").alias("fn")), "fn", "left_semi")
     if a.backward or a.prune:
         with phases.phase("backward", checked=lambda: checked):
             checked = backward.confirm(found, result, program)
@@ -107,6 +135,8 @@ def main(argv: list[str] | None = None) -> int:
     if a.unmodeled:
         for r in chains.unmodeled(result, program).orderBy(F.desc("chains"), "callee_fqn").limit(15).collect():
             print(f"unmodeled: {r.callee_fqn} chains={r.chains} sites={r.sites} sources={r.sources}", file=sys.stderr)
+    if a.unmodeled_report:
+        chains.unmodeled(result, program).write.mode("overwrite").json(a.unmodeled_report)
     if a.store:
         lines = store.behaviour(store.lines_of(result.flows, result.hits))
         store.save(lines.select("iid", F.col("behaviour").alias("key")), a.store, namespace(rules.digest, flags))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_parts, slot_text
+from ..plans.taint import Program
 
 
 def behaviour(lines: DataFrame) -> DataFrame:
@@ -60,16 +61,37 @@ def save(summaries: DataFrame, path: str, namespace: str) -> None:
     own.write.mode("append").partitionBy("namespace").parquet(path)
 
 
-def impact(chains: DataFrame, changes: DataFrame, up: DataFrame | None = None) -> DataFrame:
-    """Chains (with fn, term_fn) that start or end in a changed function, or in one upstream of it; from: how."""
+def changes(before: Program, after: Program) -> DataFrame:
+    """(iid, change) between two programs: functions by body, parameters that are sources and targets of their
+    calls; contracts by handlers and shapes."""
+
+    def known(p: Program) -> DataFrame:
+        calls = p.target.groupBy(F.col("fn").alias("iid")).agg(F.array_sort(F.collect_set(F.struct("cs", "callee"))).alias("calls"))
+        out = p.function.join(calls, "iid", "left").select("iid", F.sha2(F.to_json(F.struct("bid", "has_flow", F.array_sort("source_params").alias("source_params"), "calls")), 256).alias("key"))
+        if p.contract is None:
+            return out
+        shape = F.struct("handler", "kind", "client_streaming", "server_streaming", "gql_param_idx", "request_params")
+        return out.unionByName(p.contract.groupBy("iid").agg(F.sha2(F.to_json(F.array_sort(F.collect_set(shape))), 256).alias("key")))
+
+    return changed(known(before), known(after))
+
+
+def impact(chains: DataFrame, changes: DataFrame, up: DataFrame | None = None, routes: DataFrame | None = None) -> DataFrame:
+    """Chains (with fn, term_fn) that start or end in a changed function, whose route (hops) passes one, or that start upstream of one; via_change: how."""
     ids = changes.select("iid", F.lit(True).alias("hit"))
     out = chains.join(ids.select(F.col("iid").alias("fn"), F.col("hit").alias("at_source")), "fn", "left").join(ids.select(F.col("iid").alias("term_fn"), F.col("hit").alias("at_sink")), "term_fn", "left")
     if up is not None:
         out = out.join(up.select(F.col("node").alias("fn"), F.lit(True).alias("above")), "fn", "left")
     else:
         out = out.withColumn("above", F.lit(None).cast("boolean"))
-    how = F.when(F.col("at_source") & F.col("at_sink"), "both").when(F.col("at_source"), "source").when(F.col("at_sink"), "sink").when(F.col("above"), "upstream")
-    return out.withColumn("via_change", how).where("via_change is not null").drop("at_source", "at_sink", "above")
+    if routes is not None:
+        key = ["fn", "class", "cs", "term_fn", "term_cs"]
+        passed = routes.select(*key, F.explode("hops").alias("hop")).withColumn("iid", F.split_part("hop", F.lit("#"), F.lit(1)))
+        out = out.join(passed.join(ids, "iid").select(*key, F.lit(True).alias("passes")).distinct(), key, "left")
+    else:
+        out = out.withColumn("passes", F.lit(None).cast("boolean"))
+    how = F.when(F.col("at_source") & F.col("at_sink"), "both").when(F.col("at_source"), "source").when(F.col("at_sink"), "sink").when(F.col("passes"), "route").when(F.col("above"), "upstream")
+    return out.withColumn("via_change", how).where("via_change is not null").drop("at_source", "at_sink", "above", "passes")
 
 
 def provenance(a: DataFrame, b: DataFrame, column: str, names: tuple[str, str] = ("chains", "upstream")) -> DataFrame:

@@ -24,10 +24,15 @@ def by_class(found: DataFrame) -> DataFrame:
 
 
 def unmodeled(result: Result, program: Program) -> DataFrame:
-    """(callee_fqn, chains, sites, sources) of library calls that may write what no rule models."""
+    """(callee_fqn, chains, sites, sources, examples) of library calls that may write what no rule models; examples are the first three."""
     own = result.hits.where(F.col("class") == UNMODELED).where("in_slot = 'source'")
     name = program.callsite.select(F.col("fn").alias("term_fn"), F.col("cs").alias("term_cs"), "callee_fqn")
-    return own.join(name, ["term_fn", "term_cs"]).groupBy("callee_fqn").agg(F.count("*").alias("chains"), F.countDistinct("term_fn", "term_cs").alias("sites"), F.countDistinct("fn").alias("sources"))
+    own = own.join(name, ["term_fn", "term_cs"])
+    first = Window.partitionBy("callee_fqn").orderBy("fn", "term_fn", "term_cs", "cs")
+    some = own.withColumn("_r", F.row_number().over(first)).where("_r <= 3").withColumn("_e", F.struct("_r", F.concat_ws(" -> ", "fn", F.concat_ws("#", "term_fn", "term_cs")).alias("e")))
+    some = some.groupBy("callee_fqn").agg(F.transform(F.array_sort(F.collect_list("_e")), lambda x: x["e"]).alias("examples"))
+    counted = own.groupBy("callee_fqn").agg(F.count("*").alias("chains"), F.countDistinct("term_fn", "term_cs").alias("sites"), F.countDistinct("fn").alias("sources"))
+    return counted.join(some, "callee_fqn")
 
 
 def routes(result: Result, program: Program, depth: int = MAX_DEPTH) -> DataFrame:

@@ -291,7 +291,10 @@ def resummarise(facts: Facts, program: Program, changed: DataFrame, reach: DataF
     different, or whose contracts are. A summary rests on its callees alone, so only functions
     above a changed one are closed again; the others keep their rows.
     """
-    stale = stable(dirty(program, changed).select(F.col("iid").alias("fn")))
+    # Stream ports of helpers come and go with the program's first stream call, wherever that is.
+    was = reach.select("fn", "seed").distinct()
+    moved = facts.seeds.join(reach, ["fn", "seed", "vid"], "left_anti").select("fn").unionByName(was.join(facts.seeds, ["fn", "seed"], "left_anti").select("fn"))
+    stale = stable(dirty(program, changed.select("iid").unionByName(moved.select(F.col("fn").alias("iid")))).select(F.col("iid").alias("fn")))
     clean = stable(flows.join(stale, "fn", "left_anti"))
     if program.contract is not None:  # a contract of several handlers keeps what the clean ones show
         clean = stable(clean.unionByName(viewed_flows(clean, program.contract)).distinct())
@@ -359,17 +362,27 @@ def cell_hits(flows: DataFrame, hits: DataFrame, rounds: int = 1000) -> DataFram
     return found.join(written, "cell").where(fits).select(*found.columns).distinct()
 
 
-def analyse(program: Program, rules: DataFrame, options: Options | None = None) -> Result:
-    """Summaries and hits, in three strata: without contracts; cells from their result; all together."""
+def analyse(program: Program, rules: DataFrame, options: Options | None = None, before: Result | None = None, changed: DataFrame | None = None) -> Result:
+    """Summaries and hits, in three strata: without contracts; cells from their result; all together.
+
+    before and changed(iid): the result of the program before a change under the same rules and options, and
+    what the change touched; summaries of functions that rest on none of it are taken over.
+    """
     options = options or Options()
+
+    def final(facts: Facts) -> tuple[DataFrame, DataFrame]:
+        return summarise(facts, program.contract) if before is None else resummarise(facts, program, changed, before.reach, before.flows)
+
     facts = static_facts(program, rules, options, contracts=False)
-    reach, flows = summarise(facts, None)
-    heap = None
+    heap = reach = flows = None
     if not facts.writes.isEmpty():
+        reach, flows = summarise(facts, None) if program.contract is not None else final(facts)
         heap = stable(cell_hits(flows, find_hits(reach, facts, None, None).select(*HIT).distinct()))
     if program.contract is not None:
         facts = static_facts(program, rules, options, contracts=True)
-        reach, flows = summarise(facts, program.contract)
+        reach, flows = final(facts)
+    elif reach is None:
+        reach, flows = final(facts)
     steps = find_hits(reach, facts, program.contract, heap)
     hits = steps.select(*HIT).distinct()
     if program.contract is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rillgraph.__main__ import main
 from rillgraph.functions.hashes import hash_bytes
 from rillgraph.functions.scalars import hash_parts
-from rillgraph.operators import render
+from rillgraph.operators import persist, render
 from rillgraph.sources import cgf, policy
 
 POLICY = """
@@ -127,3 +127,37 @@ def test_sarif_and_gate():
     assert log["version"] == "2.1.0" and result["level"] == "error" and len(result["codeFlows"][0]["threadFlows"][0]["locations"]) == 2
     assert result["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "a%20dir/%C3%BC.go"
     assert render.gate(found, ["exec"], {"sqli", "exec"}) == 0 and render.gate(found, ["sqli"], {"sqli"}) == 3 and render.gate(found, ["x"], {"sqli"}) == 2
+
+
+def test_impact_of_a_change_between_two_folders(spark, folder, tmp_path, capsys):
+    after = tmp_path / "after"
+    after.mkdir()
+    server, client = packages()
+    server["functions"][0]["id"]["bid"] = iid(77)
+    for k, p in enumerate((server, client)):
+        (after / f"{k}.pb").write_bytes(cgf.encode(p))
+    assert main(["impact", str(folder), str(after), "--policy", str(folder / "policy.toml")]) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["changed"] == [{"iid": iid(1), "change": "changed"}] and report["repos"] == ["app", "srv"]
+    assert [(c["fn"], c["term_fn"], c["via_change"]) for c in report["chains"]] == [(iid(2), iid(1), "sink")]
+    assert report["summaries"] == {"made again": 2, "kept": 0} and len(report["endpoints"]) == 1
+    assert main(["impact", str(folder), str(folder), "--policy", str(folder / "policy.toml")]) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["changed"] == report["chains"] == [] and report["summaries"] == {"made again": 0, "kept": 2}
+    assert main(["taint", str(folder), "--policy", str(folder / "policy.toml"), "--endpoint", "nobody"]) == 0
+    assert json.loads(capsys.readouterr().out) == []
+
+
+def test_contracts_that_several_give(spark):
+    rows = [("a", "r1", "f", 0), ("a", "r2", "f", 0), ("b", "r1", "f", 0), ("b", "r1", "f", 0), ("c", "r1", "f", 0), ("c", "r1", "g", 1)]
+    got = cgf.contract_copies(spark.createDataFrame(rows, "iid string, repo string, handler string, kind int"), ["kind"])
+    assert {tuple(r) for r in got.collect()} == {("a", 2, 2, 1, 1), ("c", 2, 1, 2, 2)}
+    assert {tuple(r) for r in cgf.examples(got, ["repos", "handlers", "shapes"]).collect()} == {("repos", "a"), ("handlers", "c"), ("shapes", "c")}
+
+
+def test_endpoints_bind_functions_of_their_own_repository(spark):
+    endpoint = spark.createDataFrame([("r", "k", "n"), ("r", "k", "m"), ("q", "k", "n"), ("r", "z", "n")], "repo string, iid string, name string")
+    contract = spark.createDataFrame([("k", "f"), ("k", "g"), ("z", "gone")], "iid string, handler string")
+    function = spark.createDataFrame([("f", "r", "F"), ("g", "r", "G")], "iid string, repo string, fqn string")
+    got = {tuple(r) for r in persist.endpoints(endpoint, contract, function).collect()}
+    assert got == {("r", "k", "m", "f", "F"), ("q", "k", "n", "", ""), ("r", "z", "n", "", "")}

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from rillgraph.functions.scalars import slot_text
 from rillgraph.operators import policy as po
+from rillgraph.operators import store
 from rillgraph.plans import chains
-from rillgraph.plans.taint import Options, analyse
+from rillgraph.plans.taint import Options, analyse, dirty
 from tests.program import Builder
 
 SQLI = [("sinks", 0, "sqli", "db.Exec", None, "any")]
@@ -231,3 +232,47 @@ def test_queries_follow_calls_of_any_depth(spark, tmp_path):
     assert {tuple(x) for x in r.flows.select("fn", slot_text(F.col("in_slot"), F.col("in_path")), slot_text(F.col("out_slot"), F.col("out_path"))).collect()} == flows
     assert {tuple(x) for x in r.hits.select("fn", "in_slot", "cs", "term_fn", "term_cs").collect()} == sinks
     assert {tuple(x) for x in chains.chains(r, p).select("fn", "cs", "term_fn", "term_cs").collect()} == want
+
+
+def _random_program(rng, names, bodies=None):
+    """Functions that pass one of two parameters on to others, some through contracts or a cell."""
+    bodies = dict(bodies or {})
+    for n in names:
+        if n not in bodies:
+            callees = rng.choices([*names, *(f"K{x}" for x in names)], k=2)
+            flows = rng.sample(["P0->A0@0", "P1->A0@1", "R0@0->ret0", "R0@1->ret0", "R0@0->A0@1", "P0->ret0", "P1->A0@2", "R0@1->A0@2", "R0@3->A0@0", "R0@1->F0{cell}", "G0{cell}->A0@2"], 5)
+            bodies[n] = (flows, [{"callee": c, "targets": [c], "resultc": 1, "kind": 2 if c[0] == "K" else 0} for c in callees] + [EXEC, {"callee": "http.Form", "argc": 0, "resultc": 1}])
+    b = Builder()
+    for n in names:
+        b.function(n, *bodies[n])
+        b.contract(f"K{n}", n)
+    return bodies, b
+
+
+def test_summaries_after_a_change_equal_those_made_anew(spark):
+    """Of six functions one gets another body and one goes; the rest keep what does not rest on them."""
+    import random
+
+    rng = random.Random(1)
+    names = [f"f{k}" for k in range(6)]
+    rules = spark.createDataFrame([*SQLI, ("sources", 0, "http", "http.Form", None, "return")], po.SCHEMA)
+    bodies, b = _random_program(rng, names)
+    before = analyse(b.build(spark), rules)
+    _, b = _random_program(rng, names[:-1], {n: x for n, x in bodies.items() if n != "f3"})
+    program = b.build(spark)
+    touched = spark.createDataFrame([("f3",), ("f5",), ("Kf5",)], "iid string")
+    whole, part = analyse(program, rules), analyse(program, rules, before=before, changed=touched)
+    for name in ("flows", "hits", "reach"):
+        a, z = (sorted(map(str, getattr(r, name).collect())) for r in (whole, part))
+        assert a == z, name
+
+
+def test_impact_tells_how_a_chain_meets_the_change(spark):
+    b = Builder().function("S", ["R0@0->A0@1"], [{"callee": "http.Form", "argc": 0, "resultc": 1}, {"callee": "M", "targets": ["M"]}])
+    b.function("M", ["P0->A0@0"], [{"callee": "L", "targets": ["L"]}]).function("L", ["P0->A0@0"], [EXEC])
+    program, r = run(spark, b, [*SQLI, ("sources", 0, "http", "http.Form", None, "return")])
+    found, way = chains.chains(r, program), chains.routes(r, program)
+    how = lambda *ids, **k: [x.via_change for x in store.impact(found, spark.createDataFrame([(i,) for i in ids], "iid string"), **k).collect()]
+    assert how("S") == ["source"] and how("L") == ["sink"] and how("S", "L") == ["both"]
+    assert how("M") == [] and how("M", routes=way) == ["route"] and how("elsewhere", routes=way) == []
+    assert how("elsewhere", up=spark.createDataFrame([("S",)], "node string")) == ["upstream"]
