@@ -166,7 +166,7 @@ def test_registered_paths_go_as_deep_as_their_limit_asks(spark, tmp_path):
         "region": ([(0, "r")], "r_regionkey long, r_name string"),
         "nation": ([(0, "n")], "n_nationkey long, n_name string"),
         "customer": ([(1, "HOUSEHOLD", 0), (2, "BUILDING", 0)], "c_custkey long, c_mktsegment string, c_nationkey long"),
-        "supplier": ([(1, 0), (2, 0)], "s_suppkey long, s_nationkey long"),
+        "supplier": ([(1, 0, 1.0), (2, 0, 1.0)], "s_suppkey long, s_nationkey long, s_acctbal double"),
         "part": ([(1, "red widget", "b", "T", 1), (2, "blue bolt", "b", "T", 1)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int"),
         "orders": ([(1, 1)], "o_orderkey long, o_custkey long"),
         "lineitem": ([(1, 2, 2), (2, 1, 1)], "l_orderkey long, l_partkey long, l_suppkey long"),
