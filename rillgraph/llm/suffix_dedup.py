@@ -17,12 +17,16 @@ its anchor, and equal strings have equal anchors at the same place.
     all repeat there, and one of them goes on; so a long common passage is parted only near its ends.
 
 Equal texts share their rows (a text is named by a 64-bit hash), so copies are compared once.
+
+A passage of many words may well be shorter than `length` bytes. The words of passages that another document
+holds too are counted apart, by the same anchors over words instead of bytes: an anchor's context that two texts
+hold is shared wholly, and of the others each window of `words` words goes by its fingerprint.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -35,6 +39,8 @@ from .ngram_join import _P, _P_INVERSE, _TABLE, _mix, _power
 
 LENGTH, K = 400, 100
 MOST = 2048  # contexts that are compared in one task, about 1.4 MB and 40 MB of lengths
+WORDS, WORDS_K = 51, 12  # the shortest passage, of over 50 words, and the words of an anchor; they differ by less than 63
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def _sums(raw: np.ndarray) -> np.ndarray:
@@ -57,16 +63,32 @@ def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.nd
     The texts together are shorter than 2**24 bytes, or one text is taken in pieces.
     """
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    stops = np.cumsum([len(t) for t in texts])
-    n = len(raw)
+    return _anchors(_sums(raw), np.cumsum([len(t) for t in texts], dtype=np.int64), length, k)
+
+
+def _word_sums(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, stops): as those of the texts' bytes, of their words' fingerprints. Words are runs of other bytes than 0x20 and 0x09-0x0D."""
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    edges = np.flatnonzero(np.diff(~_SPACE[raw], prepend=False))
+    words = _prints(_sums(raw), edges[::2], edges[1::2])
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _power(_P, len(words)))))
+    return sums, np.searchsorted(edges[::2], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))
+
+
+def word_anchors(texts: list[bytes], words: int = WORDS, k: int = WORDS_K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As anchors, of all passages of `words` words; positions count words."""
+    return _anchors(*_word_sums(texts), words, k)
+
+
+def _places(sums: np.ndarray, stops: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, place): the strings of `length` symbols within one text, and where each has its anchor."""
+    n = len(sums) - 1
     if n < length:
-        none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), none, none, none
-    sums = _sums(raw)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.arange(n - k + 1)
     prints = _prints(sums, at, at + k)
     wide, step = length - k + 1, (1 << 24) - length
-    found = []
+    starts, places = [], []
     for first in range(0, n - length + 1, step):
         some = prints[first : first + step + wide - 1]
         # The smallest of every `wide`, the leftmost if equal in their upper bits: by doubling.
@@ -80,9 +102,16 @@ def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.nd
         place = (low & np.uint64((1 << 24) - 1)).astype(np.int64) + first
         start = np.arange(first, first + len(place))
         bound = stops[np.searchsorted(stops, start, "right")]
-        place = place[start + length <= bound]  # strings within one text
-        found.append(place[np.concatenate(([True], place[1:] != place[:-1]))] if len(place) else place)
-    found = np.unique(np.concatenate(found))
+        within = start + length <= bound
+        starts.append(start[within])
+        places.append(place[within])
+    return np.concatenate(starts), np.concatenate(places)
+
+
+def _anchors(sums: np.ndarray, stops: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(sums) - 1
+    found = _places(sums, stops, length, k)[1]
+    found = np.unique(found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found)
     text = np.searchsorted(stops, found, "right")
     begin, end = np.concatenate(([0], stops))[text], stops[text]
     lo, hi = np.maximum(found - (length - k), begin), np.minimum(found + length, end)
@@ -91,7 +120,7 @@ def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.nd
     left, right = found - half >= begin, found + length - half <= end
     before = np.where(left, _prints(sums, np.maximum(found - half, 0), found + k) >> np.uint64(32) | np.uint64(1), np.uint64(0))
     behind = np.where(right, _prints(sums, found, np.minimum(found + length - half, n)) >> np.uint64(32) | np.uint64(1), np.uint64(0))
-    return text, found - begin, prints[found], context, before << np.uint64(32) | behind
+    return text, found - begin, _prints(sums, found, found + k), context, before << np.uint64(32) | behind
 
 
 def _context(raw: bytes, at: int, length: int, k: int) -> tuple[int, bytes]:
@@ -202,13 +231,8 @@ def _among(rows: DataFrame, column: str, name: str):
     return having(True), having(False)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
-    """(row, spans) of each text that holds bytes of repeated strings; docs has row, a name for the text, and text.
-
-    spans are [start, stop) pairs of byte positions, in no order; they may overlap.
-    """
-    spark = docs.sparkSession
-    texts = docs.select("row", "text")
+def _anchored(texts: DataFrame, find: Callable[[list[bytes]], tuple], copies: int) -> DataFrame:
+    """(row, at, mark, context, sides): the anchors that `find` tells of the texts (row, text); of copies in a task the first ones' alone."""
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
@@ -216,13 +240,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, most: int
             rows, some, size = [], [], 0
 
             def told():
-                text, at, marks, contexts, sides = anchors(some, length, k)
+                text, at, marks, contexts, sides = find(some)
                 columns = (np.array(rows, np.int64)[text], at.astype(np.int32), marks.view(np.int64), contexts.view(np.int64), sides.view(np.int64))
                 return pa.record_batch([pa.array(c) for c in columns], names=["row", "at", "mark", "context", "sides"])
 
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 seen[row] = seen.get(row, 0) + 1
-                if seen[row] > 2:  # two copies say as much as more
+                if seen[row] > copies:
                     continue
                 rows.append(row)
                 some.append(text.as_py() or b"")
@@ -233,7 +257,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, most: int
             if rows:
                 yield told()
 
-    found, drop = written(texts.mapInArrow(lean(anchored), "row long, at int, mark long, context long, sides long"))
+    return texts.mapInArrow(lean(anchored), "row long, at int, mark long, context long, sides long")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
+    """(row, spans) of each text that holds bytes of repeated strings; docs has row, a name for the text, and text.
+
+    spans are [start, stop) pairs of byte positions, in no order; they may overlap.
+    """
+    spark = docs.sparkSession
+    texts = docs.select("row", "text")
+
+    found, drop = written(_anchored(texts, lambda some: anchors(some, length, k), 2))  # two copies say as much as more
     # Most anchors occur once: they leave before anything else is dealt out.
     several = found.groupBy("mark").agg(F.count("*").alias("all"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("all > 1").select("mark", (F.col("lo") < F.col("hi")).alias("mixed"))
     several, drop_several = written(several)
@@ -307,6 +342,73 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, most: int
     return out
 
 
+def shared_passages(docs: DataFrame, words: int = WORDS, k: int = WORDS_K) -> DataFrame:
+    """(row, passages) of each text that shares a passage of `words` words with another one or has copies; docs has row, a name for the text, and text.
+
+    passages are (at, starts): bit l of starts tells that the passage that starts l words before word `at` is
+    shared, if the text has one there. at -1 says that the whole text has copies.
+    """
+    spark = docs.sparkSession
+    texts = docs.select("row", "text")
+    copied = texts.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row", F.lit(-1).alias("at"), F.lit(-1).cast("long").alias("starts"))
+    found, drop = written(_anchored(texts, lambda some: word_anchors(some, words, k), 1))
+    several = found.groupBy("mark").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("first < last").select("mark", (F.col("lo") < F.col("hi")).alias("mixed"))
+    several, drop_several = written(several)
+    freed(spark)
+    again, drop_again = written(_among(several, "mark", "mark")[0](found))
+    drop()
+    # A context tells its anchor. One that two texts hold is shared wholly.
+    kinds = again.groupBy("mark", "context").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.min(F.struct("row", "at", "sides")).alias("one"))
+    kinds, drop_kinds = written(kinds.join(several, "mark"))
+    whole = kinds.where("first < last").select("context", F.lit(-1).cast("long").alias("starts"))
+    # A passage that two contexts share has all words of one side or of the other in common.
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("one.sides", 32).alias("print")), F.struct(F.lit(1).alias("side"), F.col("one.sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("print")))
+    reach = kinds.where("mixed").select("mark", "context", "first", "last", "one.row", "one.at", F.explode(sides).alias("s")).where("s.print <> 0").select("mark", "context", "first", "last", "row", "at", "s.side", "s.print")
+    met = reach.groupBy("mark", "side", "print").agg(F.count("*").alias("n"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("n > 1 and lo < hi").select("mark", "side", "print")
+    need = reach.join(met, ["mark", "side", "print"]).groupBy("row").agg(F.collect_set(F.struct("at", "context", "first", "last")).alias("work"))
+    need, drop_need = written(need)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, work in zip(batch.column("text").cast(pa.binary()), batch.column("work"), strict=True):
+                at, context, first, last = (work.values.field(c).to_numpy() for c in ("at", "context", "first", "last"))
+                order = np.argsort(at)
+                sums, stops = _word_sums([text.as_py()])
+                start, place = _places(sums, stops, words, k)
+                one = order[np.minimum(np.searchsorted(at, place, sorter=order), len(at) - 1)]
+                here = at[one] == place
+                start, place, one = start[here], place[here], one[here]
+                columns = context[one], np.int64(1) << (place - start), _prints(sums, start, start + words).view(np.int64), first[one], last[one]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["context", "start", "passage", "first", "last"])
+
+    may, _ = _among(need, "row", "row")
+    held = may(texts).groupBy("row").agg(F.first("text").alias("text"))
+    passages, drop_passages = written(held.join(need, "row").select("text", "work").mapInArrow(lean(cut), "context long, start long, passage long, first long, last long"))
+    common, drop_common = written(passages.groupBy("passage").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("passage"))
+    freed(spark)
+    hits = _among(common, "passage", "passage")[0](passages).join(common, "passage").select("context", F.col("start").alias("starts"))
+    hits, drop_hits = written(whole.unionByName(hits).groupBy("context").agg(F.bit_or("starts").alias("starts")))
+    places = again.select("row", "at", "context").join(hits, "context").select("row", "at", "starts").unionByName(copied)
+    out, _ = written(places.groupBy("row").agg(F.collect_set(F.struct("at", "starts")).alias("passages")))
+    for gone in (drop_several, drop_again, drop_kinds, drop_need, drop_passages, drop_common, drop_hits):
+        gone()
+    freed(spark)
+    return out
+
+
+def _n_shared(raw: bytes, at: np.ndarray, starts: np.ndarray, words: int, k: int) -> int:
+    """How many words of the text lie in its shared passages."""
+    n = len(raw.split())
+    if n < words:
+        return 0
+    if (at < 0).any():
+        return n
+    l = np.arange(words - k + 1)
+    start = (at[:, None] - l)[(starts[:, None] >> l) & 1 == 1]
+    start = start[(start >= 0) & (start <= n - words)]
+    return sum(b - a for a, b in _union(start, start + words))
+
+
 def _compared(batches: Iterator[pa.RecordBatch], length: int, k: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """(row, a, b): spans of repeated strings, of whole groups (key, row, at, before, piece, lo, hi), some at a time."""
 
@@ -352,24 +454,28 @@ def _cut_rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["mark", "row", "lo", "before", "piece"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
-    """Every document without its repeated bytes: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, text (kept as text).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST, words: int = WORDS, words_k: int = WORDS_K) -> DataFrame:
+    """Every document without its repeated bytes: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, text (kept as text),
+    n_shared_words.
 
     Null texts are empty; texts under `length` bytes lose nothing. Repeated rows are copies
-    as any others. In `text` a character that a cut parts is U+FFFD. Rows may share or lack a doc_id. Other columns are not read.
+    as any others. n_shared_words are the words of the document in passages of at least `words` words that another
+    document holds too, whatever white space parts them; they stay, if no string of `length` bytes covers them. In `text` a character that a cut parts is U+FFFD. Rows may share or lack a doc_id. Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     own = _named(docs, F.col("doc_id").cast("long").alias("doc_id"))
     spans = repeated_spans(own, length, k, most)
-    may, clean = _among(spans, "row", "row")
+    shared = shared_passages(own, words, words_k)
+    may, clean = _among(spans.select("row").union(shared.select("row")), "row", "row")
     # A text without repeats passes by; only the others meet their spans.
-    told = may(own).join(spans, "row", "left").select("doc_id", "text", "spans")
-    told = told.unionByName(clean(own.select("row", "text", "doc_id")).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
+    told = may(own).join(spans, "row", "left").join(shared, "row", "left").select("doc_id", "text", "spans", "passages")
+    none = [F.lit(None).cast(df.schema[c].dataType).alias(c) for df, c in ((spans, "spans"), (shared, "passages"))]
+    told = told.unionByName(clean(own.select("row", "text", "doc_id")).select("doc_id", "text", *none))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             rows = []
-            for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+            for doc_id, text, spans, passages in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
                 raw = text.as_py()
                 n = len(raw)
                 runs: list[tuple[int, int]] = []
@@ -382,12 +488,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int
                     parts.append(raw[at:a])
                     at = b
                 rest = b"".join([*parts, raw[at:]])
-                rows.append((doc_id, n, n - len(rest), len(runs), rest, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace")))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            types = [pa.int64()] * 4 + [pa.binary(), pa.string(), pa.string()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "text"])
+                n_shared = _n_shared(raw, *(passages.values.field(c).to_numpy() for c in ("at", "starts")), words, words_k) if passages.is_valid else 0
+                rows.append((doc_id, n, n - len(rest), len(runs), rest, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace"), n_shared))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            types = [pa.int64()] * 4 + [pa.binary(), pa.string(), pa.string(), pa.int64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "text", "n_shared_words"])
 
-    return told.mapInArrow(lean(kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, text string")
+    return told.mapInArrow(lean(kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, text string, n_shared_words long")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

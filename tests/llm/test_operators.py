@@ -153,6 +153,43 @@ def test_suffix_dedup_equals_brute_force(spark, most):
         assert bytes(got[i].kept) == kept and got[i].text == kept.decode(errors="replace")
 
 
+def test_shared_words_equal_brute_force(spark):
+    rng = random.Random(23)
+    own = lambda n: words(rng, n, 10**6)
+    texts = [own(rng.randrange(1, 200)) for _ in range(10)] + ["a b " * 40, own(200).upper()]
+    for n in (49, 50, 51, 52, 70, 130, 300):
+        passage = own(n)
+        texts += [f"{own(30)} {passage} {own(30)}", f"{passage} {own(5)}", f"{own(7)}\n{passage}", f"{own(40)}  " + passage.replace(" ", "\t\n")]
+        texts += [f"{passage.upper()} {own(9)}", f"{own(3)} {passage[1:]}"]
+    within = own(60)
+    texts += [f"{within} {own(20)} {within}", "a " * 50, "a " * 300, "a " * 51 + "b", " ".join("abc"[i % 3] for i in range(400)), " ".join("abc"[i % 3] for i in range(1, 90))]
+    texts += near_copies(rng, 6, 6) + [texts[0]] * 3 + [own(50)] * 2 + ["short " * 51] * 2 + ODD
+    texts += ["x " + "\x1c".join(own(60).split())] + ["é " * 70, "é " * 60 + "è"]
+    told = [(t or "").encode().split() for t in texts]
+    assert all(x == re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for x, t in zip(told, texts, strict=True))
+    holders = defaultdict(set)
+    for i, x in enumerate(told):
+        for p in range(len(x) - 50):
+            holders[tuple(x[p : p + 51])].add(i)
+    want = []
+    for x in told:
+        covered = set()
+        for p in range(len(x) - 50):
+            if len(holders[tuple(x[p : p + 51])]) > 1:
+                covered.update(range(p, p + 51))
+        want.append(len(covered))
+    assert len(set(want)) > 15 and 0 in want
+    got = {r.doc_id: r.n_shared_words for r in suffix_dedup.remove_repeats(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_short_passages_of_over_50_words_are_told(spark):
+    rng = random.Random(24)
+    passage = " ".join(f"w{i}" for i in range(55))  # 209 bytes: no string of 400 bytes repeats
+    rows = suffix_dedup.remove_repeats(docs(spark, [f"{words(rng, 80)} {passage} {words(rng, 80)}" for _ in range(2)] + [words(rng, 200)])).collect()
+    assert sorted((r.doc_id, r.n_removed, r.n_shared_words) for r in rows) == [(0, 0, 55), (1, 0, 55), (2, 0, 0)]
+
+
 def test_suffix_dedup_of_an_empty_table(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
 
