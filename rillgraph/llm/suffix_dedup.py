@@ -80,15 +80,14 @@ def word_anchors(texts: list[bytes], words: int = WORDS, k: int = WORDS_K) -> tu
     return _anchors(*_word_sums(texts), words, k)
 
 
-def _places(sums: np.ndarray, stops: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, place): the strings of `length` symbols within one text, and where each has its anchor."""
+def _places(sums: np.ndarray, stops: np.ndarray, length: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first, within, place), some at a time: which strings of `length` symbols from `first` on lie within one text, and where each of these has its anchor."""
     n = len(sums) - 1
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.arange(n - k + 1)
-    prints = _prints(sums, at, at + k)
+        return
+    prints = _mix((sums[k:] - sums[:-k]) * _power(_P_INVERSE, n)[: n - k + 1] + np.uint64(k))
+    bound = np.repeat(stops, np.diff(stops, prepend=0))
     wide, step = length - k + 1, (1 << 24) - length
-    starts, places = [], []
     for first in range(0, n - length + 1, step):
         some = prints[first : first + step + wide - 1]
         # The smallest of every `wide`, the leftmost if equal in their upper bits: by doubling.
@@ -100,18 +99,16 @@ def _places(sums: np.ndarray, stops: np.ndarray, length: int, k: int) -> tuple[n
         if wide > span:
             low = np.minimum(low[wide - span :], low[: -(wide - span)])
         place = (low & np.uint64((1 << 24) - 1)).astype(np.int64) + first
-        start = np.arange(first, first + len(place))
-        bound = stops[np.searchsorted(stops, start, "right")]
-        within = start + length <= bound
-        starts.append(start[within])
-        places.append(place[within])
-    return np.concatenate(starts), np.concatenate(places)
+        within = np.arange(first + length, first + length + len(place)) <= bound[first : first + len(place)]
+        yield first, within, place[within]
 
 
 def _anchors(sums: np.ndarray, stops: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(sums) - 1
-    found = _places(sums, stops, length, k)[1]
-    found = np.unique(found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found)
+    found = [np.zeros(0, np.int64)]
+    for _, _, place in _places(sums, stops, length, k):
+        found.append(place[np.concatenate(([True], place[1:] != place[:-1]))] if len(place) else place)
+    found = np.unique(np.concatenate(found))
     text = np.searchsorted(stops, found, "right")
     begin, end = np.concatenate(([0], stops))[text], stops[text]
     lo, hi = np.maximum(found - (length - k), begin), np.minimum(found + length, end)
@@ -251,7 +248,7 @@ def _anchored(texts: DataFrame, find: Callable[[list[bytes]], tuple], copies: in
                 rows.append(row)
                 some.append(text.as_py() or b"")
                 size += len(some[-1])
-                if size > 1 << 18:
+                if size > 1 << 17:
                     yield told()
                     rows, some, size = [], [], 0
             if rows:
@@ -371,14 +368,18 @@ def shared_passages(docs: DataFrame, words: int = WORDS, k: int = WORDS_K) -> Da
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, work in zip(batch.column("text").cast(pa.binary()), batch.column("work"), strict=True):
-                at, context, first, last = (work.values.field(c).to_numpy() for c in ("at", "context", "first", "last"))
+                at, context, low, high = (work.values.field(c).to_numpy() for c in ("at", "context", "first", "last"))
                 order = np.argsort(at)
                 sums, stops = _word_sums([text.as_py()])
-                start, place = _places(sums, stops, words, k)
+                each = list(_places(sums, stops, words, k))
+                if not each:
+                    continue
+                start = np.concatenate([first + np.flatnonzero(within) for first, within, _ in each])
+                place = np.concatenate([place for _, _, place in each])
                 one = order[np.minimum(np.searchsorted(at, place, sorter=order), len(at) - 1)]
                 here = at[one] == place
                 start, place, one = start[here], place[here], one[here]
-                columns = context[one], np.int64(1) << (place - start), _prints(sums, start, start + words).view(np.int64), first[one], last[one]
+                columns = context[one], np.int64(1) << (place - start), _prints(sums, start, start + words).view(np.int64), low[one], high[one]
                 yield pa.record_batch([pa.array(c) for c in columns], names=["context", "start", "passage", "first", "last"])
 
     may, _ = _among(need, "row", "row")
