@@ -406,8 +406,8 @@ def _n_shared(raw: bytes, at: np.ndarray, starts: np.ndarray, words: int, k: int
         return n
     l = np.arange(words - k + 1)
     start = (at[:, None] - l)[(starts[:, None] >> l) & 1 == 1]
-    start = start[(start >= 0) & (start <= n - words)]
-    return sum(b - a for a, b in _union(start, start + words))
+    start = np.unique(start[(start >= 0) & (start <= n - words)])
+    return int(np.minimum(np.diff(start), words).sum()) + words if len(start) else 0
 
 
 def _compared(batches: Iterator[pa.RecordBatch], length: int, k: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
